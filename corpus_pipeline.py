@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import packing, quality_rules
+from faultline.llm import jaccard_join, mixing, packing, pii, quality_rules
 from faultline.llm.common import stored
+from faultline.llm.queries import PACKING_RANKS, tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +14,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return jaccard_join.keep_one(docs, percent=80, width=5)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their personal data redacted."""
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents whose source, language and topic weights follow the targets."""
+    return mixing.sample(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return packing.pack(docs, tokenizer(PACKING_RANKS))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing", mix),
+    ("packing", packed),
+]
 
 #: Tokenization and boosted trees are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
