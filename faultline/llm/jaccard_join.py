@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,14 +17,19 @@ from .common import components, per_batch, small_batches, spread, stored
 
 #: Token groups of a count vector.
 DIMS = 64
+BOX_DIMS = 32
 #: Points in a leaf, and children of a node, of an R-tree.
 FANOUT = 16
 #: Shingles that one join task holds of a block at most, on either side.
 CHUNK_SHINGLES = 1_000_000
+#: Differences of a pair up to which meeting is certain, and untouched groups to expect beyond.
+EXACT_DIFFERENCES, MEETINGS = 48, 18.0
 #: Routing keys that one partition gets on average at most.
 PARTITION_KEYS = 1_500_000
-#: Keys that a task gathers before it combines them.
-COMBINE_KEYS = 2_000_000
+#: Entries that a task gathers before it merges them.
+COMBINE_BOXES = 500_000
+#: Key blocks up to this size are compared pair by pair, larger ones through an R-tree.
+SMALL_BLOCK = 24
 #: Documents in blocks are broadcast to the texts up to this many, else joined by a shuffle.
 BROADCAST_DOCS = 300_000
 CACHE_WORDS = 400_000
@@ -71,16 +78,22 @@ def class_key(digest: str) -> int:
 
 
 class Spaces:
-    """Key spaces in which every linked pair meets.
+    """Key spaces in which linked pairs meet.
 
     Link: ``q * |A & B| >= p * |A | B|``, so sets of total size S differ in
     at most ``(q - p) * S / (p + q)`` shingles. Sizes are split into octaves;
     a pair is within one octave or on both sides of a power of two. In each
-    such space the shingles are dealt by hash to more groups than a pair can
-    differ in, so a linked pair has the same content in some group. Where one
-    of the two has more non-empty groups than differences, that group is not
-    empty; where neither has, both also give their prefix keys (the smallest
-    hashes, one more than a linked set may lack).
+    such space the shingles are dealt by hash to groups, and each non-empty
+    group gives a key of its content.
+
+    Up to ``EXACT_DIFFERENCES`` there are more groups than a pair can differ
+    in, so a linked pair has the same content in some group. If one of the
+    two has more non-empty groups than differences, that group is not empty;
+    if neither has, both also give their prefix keys (the smallest hashes,
+    one more than a linked set may lack). Beyond, k groups are such that of
+    them k * exp(-differences / k) >= ``MEETINGS`` stay untouched on average
+    even for a pair at the threshold; that none does has a chance below
+    exp(-MEETINGS).
     """
 
     def __init__(self, p: int, q: int) -> None:
@@ -107,6 +120,16 @@ class Spaces:
         near = above | ((n >= edge) & (n <= most))
         return 2 * b + 1, self.differ(edge - 1 + most), near
 
+    def groups(self, differ: np.ndarray) -> np.ndarray:
+        """Groups of a space whose pairs differ in at most ``differ`` shingles."""
+        out = np.where(differ == 0, 1, differ + 3 + (differ * 15) // 100)
+        for d in np.unique(differ[differ > EXACT_DIFFERENCES]).tolist():
+            k = 32
+            while k * math.exp(-d / k) < MEETINGS:
+                k += max(1, k // 32)
+            out[differ == d] = min(k, d + 1)
+        return out
+
     def prefix(self, n: int) -> int:
         return n - -(-self.p * n // self.q) + 1
 
@@ -122,7 +145,7 @@ def routing_keys(sets: list[np.ndarray], spaces: Spaces) -> tuple[np.ndarray, np
         if not len(which):
             continue
         n, differ, space = n_all[which], most[which], number[which].astype(U)
-        groups = np.where(differ == 0, 1, differ + 1 + (differ * 15) // 100 + 2)
+        groups = spaces.groups(differ)
         tokens = mix(np.concatenate([sets[i] for i in which]) ^ U(0x5851F42D4C957F2D))
         doc = np.repeat(np.arange(len(which)), n)
         at = (tokens % groups[doc].astype(U)).astype(np.int64)
@@ -138,80 +161,63 @@ def routing_keys(sets: list[np.ndarray], spaces: Spaces) -> tuple[np.ndarray, np
         keys.append(mix(total ^ mix(space[doc] * U(1 << 32) + group)))
         owners.append(which[doc])
         filled = np.bincount(doc, minlength=len(which))
-        for k in np.flatnonzero(filled <= differ):
+        for k in np.flatnonzero((filled <= differ) & (differ <= EXACT_DIFFERENCES)):
             few = sets[which[k]][: spaces.prefix(int(n[k]))]
             keys.append(mix(few ^ mix(np.full(1, int(space[k]) + 1_000_003, U))))
             owners.append(np.full(len(few), which[k]))
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the smallest id of each, and the distinct pairs (smallest id, other id) within keys."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
-    lead = ids[head][np.cumsum(head) - 1] if len(keys) else ids
-    apart = lead != ids
-    pairs = np.unique(np.stack([lead[apart], ids[apart]], 1), axis=0) if apart.any() else np.empty((0, 2), np.int64)
-    return keys[head], ids[head], pairs[:, 0], pairs[:, 1]
-
-
 def _route(docs: DataFrame, spaces: Spaces, width: int) -> DataFrame:
-    """(key, id) rows such that the sets of a linked pair are connected through equal keys."""
-
-    def combined(keys: list, ids: list) -> pa.RecordBatch:
-        k, i, a, b = stars(np.concatenate(keys), np.concatenate(ids))
-        # Pairs found here already: a key of their own carries each to its partner.
-        pair = mix(mix(a.astype(U)) + b.astype(U))
-        keys_out = np.concatenate([k, pair, pair]).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys_out), pa.array(np.concatenate([i, a, b]))], names=["key", "id"]
-        )
+    """(key, id) rows of all texts; equal rows of a batch come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            sets = [s for s in sets if len(s)]
-            if not sets:
-                continue
-            own = np.array([class_key(set_digest(s)) for s in sets], np.int64)
-            k, which = routing_keys(sets, spaces)
-            keys.append(k)
-            ids.append(own[which])
-            held += len(k)
-            if held >= COMBINE_KEYS:
-                yield combined(keys, ids)
-                keys, ids, held = [], [], 0
-        if held:
-            yield combined(keys, ids)
+            by_id = {class_key(set_digest(s)): s for s in sets if len(s)}
+            if by_id:
+                keys, which = routing_keys(list(by_id.values()), spaces)
+                ids = np.fromiter(by_id, np.int64, len(by_id))[which]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.astype(np.int64)), pa.array(ids)], names=["key", "id"]
+                )
 
     small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "key long, id long")
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (key, id), the distinct ones whose key has several ids; holds one batch and one row."""
+    key = row = None  # the open key, and its first row while no second id has come
     for batch in batches:
-        keys.append(batch.column("key").to_numpy())
-        ids.append(batch.column("id").to_numpy())
-    _, _, a, b = stars(np.concatenate(keys), np.concatenate(ids))
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        k, i = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        if row is not None:
+            k, i = np.concatenate([[row[0]], k]), np.concatenate([[row[1]], i])
+        if not len(k):
+            continue
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])])
+        k, i = k[fresh], i[fresh]
+        before = np.concatenate([[row is None and k[0] == key], k[1:] == k[:-1]])
+        emit = before | np.append(k[1:] == k[:-1], False)
+        row = None if emit[-1] else (k[-1], i[-1])
+        key = k[-1]
+        if emit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[emit]), pa.array(i[emit])], names=["key", "id"])
 
 
 class CountRTree:
-    """R-tree over count vectors, packed by sort-tile-recursive order.
+    """R-tree over count vectors, or over boxes of them, packed by sort-tile-recursive order.
 
     A node keeps its box's upper corner and its range of set sizes. The
     overlap of a query with anything below a node is at most the sum of the
-    coordinate minima of the query and that corner.
+    coordinate minima of the query's corner and the node's.
     """
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, p: int, q: int) -> None:
+    def __init__(self, corners: np.ndarray, least: np.ndarray, most: np.ndarray, p: int, q: int) -> None:
         self.p, self.q = p, q
-        order = self._tiles(counts, sizes, np.arange(len(sizes)), [-1, *np.argsort(-counts.var(0))[:2]])
-        self.order = order
-        level = (counts[order], sizes[order], sizes[order])
+        axes = [-1, *np.argsort(-corners.var(0))[:2]]
+        order = self.order = self._tiles(corners, least, np.arange(len(least)), axes)
+        level = (corners[order], least[order], most[order])
         self.levels = [level]
         while len(level[1]) > FANOUT:
             cut = np.arange(0, len(level[1]), FANOUT)
@@ -222,26 +228,27 @@ class CountRTree:
             )
             self.levels.append(level)
 
-    def _tiles(self, counts: np.ndarray, sizes: np.ndarray, rows: np.ndarray, axes: list) -> np.ndarray:
+    def _tiles(self, corners: np.ndarray, sizes: np.ndarray, rows: np.ndarray, axes: list) -> np.ndarray:
         if not axes or len(rows) <= FANOUT:
             return rows
-        by = sizes[rows] if axes[0] == -1 else counts[rows, axes[0]]
+        by = sizes[rows] if axes[0] == -1 else corners[rows, axes[0]]
         rows = rows[np.argsort(by, kind="stable")]
         leaves = -(-len(rows) // FANOUT)
         slabs = max(1, round(leaves ** (1 / len(axes))))
         width = -(-leaves // slabs) * FANOUT
         return np.concatenate(
-            [self._tiles(counts, sizes, rows[i : i + width], axes[1:]) for i in range(0, len(rows), width)]
+            [self._tiles(corners, sizes, rows[i : i + width], axes[1:]) for i in range(0, len(rows), width)]
         )
 
-    def search(self, counts: np.ndarray, size: int) -> np.ndarray:
-        """Points that may link with a query, by descending bound."""
+    def search(self, corner: np.ndarray, least: int, most: int) -> np.ndarray:
+        """Entries that may link with a query, by descending bound."""
+        p, q = self.p, self.q
         nodes = np.arange(len(self.levels[-1][1]))
         bound = None
-        for depth, (corner, least, most) in enumerate(reversed(self.levels)):
-            bound = np.minimum(corner[nodes], counts).sum(1)
-            ok = (self.p + self.q) * bound >= self.p * (size + least[nodes])
-            ok &= (least[nodes] * self.p <= size * self.q) & (size * self.p <= most[nodes] * self.q)
+        for depth, (corners, low, high) in enumerate(reversed(self.levels)):
+            bound = np.minimum(corners[nodes], corner).sum(1)
+            ok = (p + q) * bound >= p * (least + low[nodes])
+            ok &= (low[nodes] * p <= most * q) & (least * p <= high[nodes] * q)
             nodes, bound = nodes[ok], bound[ok]
             if depth < len(self.levels) - 1:
                 below = len(self.levels[-2 - depth][1])
@@ -250,6 +257,139 @@ class CountRTree:
         return self.order[nodes[np.argsort(-bound, kind="stable")]]
 
 
+def count_vector(shingles: np.ndarray, dims: int) -> np.ndarray:
+    return np.bincount((shingles >> U(40)).astype(np.int64) % dims, minlength=dims)
+
+
+@dataclass
+class Boxes:
+    """Entries of key blocks: a key, an id, a range of set sizes and the upper corner of count vectors."""
+
+    keys: np.ndarray
+    ids: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    corners: np.ndarray
+
+    NAMES = ("key", "id", "least", "most", "corner")
+
+    def take(self, rows: np.ndarray) -> Boxes:
+        return Boxes(self.keys[rows], self.ids[rows], self.least[rows], self.most[rows], self.corners[rows])
+
+    @staticmethod
+    def joined(parts: list[Boxes]) -> Boxes:
+        return Boxes(*(np.concatenate([getattr(b, n) for b in parts]) for n in ("keys", "ids", "least", "most", "corners")))
+
+    @staticmethod
+    def read(batch: pa.RecordBatch) -> Boxes:
+        raw = b"".join(batch.column("corner").to_pylist())
+        corners = np.frombuffer(raw, np.uint16).reshape(-1, BOX_DIMS)
+        return Boxes(*(batch.column(n).to_numpy() for n in Boxes.NAMES[:4]), corners)
+
+    def batch(self) -> pa.RecordBatch:
+        width = 2 * BOX_DIMS
+        raw = np.ascontiguousarray(self.corners, np.uint16).tobytes()
+        corner = pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
+        longs = [pa.array(x.astype(np.int64)) for x in (self.keys, self.ids, self.least, self.most)]
+        return pa.RecordBatch.from_arrays([*longs, corner], names=list(self.NAMES))
+
+    def may(self, a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
+        """Whether the bounds allow entries ``a`` and ``b`` to link."""
+        bound = np.minimum(self.corners[a], self.corners[b]).sum(1, dtype=np.int64)
+        ok = (p + q) * bound >= p * (self.least[a] + self.least[b])
+        return ok & (self.least[b] * p <= self.most[a] * q) & (self.least[a] * p <= self.most[b] * q)
+
+    def may_link(self, p: int, q: int) -> tuple[Boxes, np.ndarray]:
+        """Merge entries of a key whose bounds allow a link, transitively.
+
+        Returns one entry, boxed around its parts, for each group of a key,
+        and the distinct pairs (smallest id, other id) within the groups.
+        """
+        self = self.take(np.lexsort((self.ids, self.keys)))
+        n = len(self.keys)
+        head = np.concatenate([[True], self.keys[1:] != self.keys[:-1]]) if n else np.empty(0, bool)
+        first = np.flatnonzero(head)
+        held = np.diff(np.append(first, n))
+        group = np.arange(n)
+        for m in np.unique(held[(held > 1) & (held <= SMALL_BLOCK)]).tolist():
+            at = first[held == m]
+            x, y = np.triu_indices(m, 1)
+            step = max(1, 200_000 // len(x))
+            for cut in range(0, len(at), step):
+                a = (at[cut : cut + step, None] + x).ravel()
+                b = (at[cut : cut + step, None] + y).ravel()
+                ok = self.may(a, b, p, q)
+                a, b = a[ok], b[ok]
+                while True:  # smallest label over the pairs, within these blocks
+                    low = np.minimum(group[a], group[b])
+                    if (group[a] == low).all() and (group[b] == low).all():
+                        break
+                    np.minimum.at(group, a, low)
+                    np.minimum.at(group, b, low)
+        for at, m in zip(first[held > SMALL_BLOCK].tolist(), held[held > SMALL_BLOCK].tolist()):
+            part = self.take(np.arange(at, at + m))
+            tree = CountRTree(part.corners.astype(np.int64), part.least, part.most, p, q)
+            label = np.full(m, -1)
+            for seed in range(m):
+                stack = [seed] if label[seed] < 0 else []
+                label[stack] = seed
+                while stack:
+                    x = stack.pop()
+                    near = tree.search(part.corners[x], int(part.least[x]), int(part.most[x]))
+                    near = near[label[near] < 0]
+                    label[near] = seed
+                    stack += near.tolist()
+            group[at : at + m] = at + label
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.empty(0, int)
+        merged = self.take(group[cut])
+        if n:
+            merged.least = np.minimum.reduceat(self.least[order], cut)
+            merged.most = np.maximum.reduceat(self.most[order], cut)
+            merged.corners = np.maximum.reduceat(self.corners[order], cut)
+        pairs = np.stack([self.ids[group], self.ids[order]], 1)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return merged, np.unique(pairs, axis=0)
+
+
+def _box_combine(p: int, q: int):
+    """Merges entries in a task before the shuffle, so that a key which very many documents hold sends a few boxes."""
+
+    def combined(parts: list[Boxes]) -> pa.RecordBatch:
+        boxes, pairs = Boxes.joined(parts).may_link(p, q)
+        # Pairs found here already: a key of their own carries them, in boxes that always meet.
+        n = len(pairs)
+        key = mix(mix(pairs[:, 0].astype(U)) + pairs[:, 1].astype(U)).astype(np.int64)
+        ones, full = np.ones(2 * n, np.int64), np.full((2 * n, BOX_DIMS), 65535, np.uint16)
+        carried = Boxes(np.concatenate([key, key]), np.concatenate([pairs[:, 0], pairs[:, 1]]), ones, ones, full)
+        return Boxes.joined([boxes, carried]).batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(Boxes.read(batch))
+                held += batch.num_rows
+            if held >= COMBINE_BOXES:
+                yield combined(parts)
+                parts, held = [], 0
+        if held:
+            yield combined(parts)
+
+    return run
+
+
+def _box_meet(p: int, q: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [Boxes.read(b) for b in batches if b.num_rows]
+        if parts:
+            pairs = Boxes.joined(parts).may_link(p, q)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
 class Union:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -276,16 +416,16 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, p: int, q: int) -> lis
     group of near copies takes about as many verifications as it has members.
     """
     n = np.array([len(s) for s in sets], np.int64)
-    counts = np.stack([np.bincount((s >> U(40)).astype(np.int64) % DIMS, minlength=DIMS) for s in sets])
+    counts = np.stack([count_vector(s, DIMS) for s in sets])
     both = side.any()
     indexed = np.flatnonzero(side == 0)
     asked = np.flatnonzero(side == 1) if both else indexed
     if not len(indexed) or not len(asked):
         return []
-    tree = CountRTree(counts[indexed], n[indexed], p, q)
+    tree = CountRTree(counts[indexed], n[indexed], n[indexed], p, q)
     groups, links = Union(len(sets)), []
     for a in asked.tolist():
-        for b in indexed[tree.search(counts[a], int(n[a]))].tolist():
+        for b in indexed[tree.search(counts[a], int(n[a]), int(n[a]))].tolist():
             if (not both and b >= a) or groups.find(a) == groups.find(b):
                 continue
             x, y = (sets[a], sets[b]) if n[a] < n[b] else (sets[b], sets[a])
@@ -298,6 +438,26 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, p: int, q: int) -> lis
     return links
 
 
+def _with_texts(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``members`` (rep, digest, ...) with a text that has the digest.
+
+    The members' count is checked: few are broadcast to the texts, more are
+    joined by a shuffle. Rows that share a doc_id may differ in text; only
+    the text of the class counts.
+    """
+    few = members.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    found = docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep")).drop("doc_id")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist())
+            yield batch.filter(pa.array([set_digest(shingle_set(t, width)) == d for t, d in pairs], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    shared = docs.groupBy("doc_id").count().filter("`count` > 1")
+    return found if shared.isEmpty() else found.mapInArrow(same, found.schema)
+
+
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
     """Class of every document under Jaccard links of word shingles: doc_id, n_shingles, component_id.
 
@@ -310,11 +470,13 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     links; other columns are ignored; an empty table gives no rows.
 
     Steps: documents with equal sets become one class. Classes are routed by
-    ``Spaces`` keys, combined in each task before the shuffle, and connected
-    into blocks. Each block is joined by an R-tree over count vectors; a
-    survivor of the bound is verified on whole sets. A block with more than
-    ``CHUNK_SHINGLES`` is cut by hash into chunks, and each pair of chunks is
-    joined by a task of its own.
+    ``Spaces`` keys. Entries of a key are compared by the bound on their
+    count vectors, through an R-tree where they are many; those that it
+    allows to link are merged into boxes, in each task before the shuffle and
+    after it, and connected into blocks. Each block is joined by an R-tree
+    over count vectors; a survivor of the bound is verified on whole sets. A
+    block with more than ``CHUNK_SHINGLES`` is cut by hash into chunks, and
+    each pair of chunks is joined by a task of its own.
     """
     spark = docs.sparkSession
     p, q = percent, 100
@@ -324,21 +486,23 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     def figures(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
         digests = [set_digest(s) for s in sets]
+        corners = [np.minimum(count_vector(s, BOX_DIMS), 65535).astype(np.uint16).tobytes() for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.string()),
                 pa.array([None if d is None else class_key(d) for d in digests], pa.int64()),
+                pa.array(corners, pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "digest", "node"],
+            names=["doc_id", "n_shingles", "digest", "node", "corner"],
         )
 
     sized = stored(
         per_batch(
             docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
             figures,
-            "doc_id long, n_shingles long, digest string, node long",
+            "doc_id long, n_shingles long, digest string, node long, corner binary",
         )
     )
     classes = (
@@ -346,10 +510,18 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
         .groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("node").alias("node"))
     )
-    total = sized.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(spread(spark), -(-int(total * 0.4) // PARTITION_KEYS))
-    met = _route(docs, spaces, width).repartition(parts, "key").mapInArrow(_meet, "a long, b long")
-    blocks = components(met)
+    docs_n, total = sized.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
+    parts = max(spread(spark), -(-int((total or 0) * 0.4) // PARTITION_KEYS))
+    ordered = _route(docs, spaces, width).repartition(parts, "key").sortWithinPartitions("key", "id")
+    shared = stored(ordered.mapInArrow(_shared, "key long, id long"))
+    vectors = sized.filter("node is not null").select(
+        F.col("node").alias("id"), F.col("n_shingles").alias("least"), F.col("n_shingles").alias("most"), "corner"
+    )
+    vectors = vectors.dropDuplicates(["id"])
+    entries = shared.join(F.broadcast(vectors) if docs_n <= BROADCAST_DOCS else vectors, "id").select(*Boxes.NAMES)
+    schema = "key long, id long, least long, most long, corner binary"
+    boxes = entries.mapInArrow(_box_combine(p, q), schema).repartition(parts, "key")
+    blocks = components(boxes.mapInArrow(_box_meet(p, q), "a long, b long"))
     members = stored(classes.join(blocks, "node").select("rep", "digest", "n", F.col("root").alias("block")))
     weights = members.groupBy("block").agg(F.sum("n").alias("weight"))
     members = members.join(weights, "block").withColumn(
@@ -357,22 +529,16 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     )
     held = members.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).first()
     units = max(1, -(-(held["n"] or 0) // CHUNK_SHINGLES))
-    few = held["docs"] <= BROADCAST_DOCS
-    texts = docs.join(F.broadcast(members) if few else members, F.col("doc_id") == F.col("rep"))
 
     def as_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-        # Rows that share a doc_id may differ in text; only the text of the class counts.
-        same = [set_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
-        rows = pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("rep", "digest", "block", "chunks")]
-            + [pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["rep", "digest", "block", "chunks", "shingles"],
+        names = ["rep", "digest", "block", "chunks"]
+        sets = [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "shingles"]
         )
-        return rows.filter(pa.array(same, pa.bool_()))
 
     rows = per_batch(
-        texts.select("rep", "digest", "block", "chunks", "text"),
+        _with_texts(docs, members, width).select("rep", "digest", "block", "chunks", "text"),
         as_sets,
         "rep long, digest string, block long, chunks int, shingles binary",
     )
