@@ -90,11 +90,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not steps:
         return edges.sparkSession.createDataFrame([], "node long, root long")
-    # Follow the pointers from the last round back to the first: each vertex leaves in one round only.
+    # Follow the pointers from the last round back to the first. A vertex that others jumped to while it
+    # moved itself has pointers in several rounds; they end at the same root.
     done = steps[-1].select("node", F.col("up").alias("root"))
     for step in reversed(steps[:-1]):
         later = done.select(F.col("node").alias("up"), "root")
         first = step.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
-        done = stored(first.unionByName(done))
+        done = stored(first.unionByName(done).groupBy("node").agg(F.min("root").alias("root")))
     roots = done.select(F.col("root").alias("node")).distinct()
     return done.unionByName(roots.select("node", F.col("node").alias("root")))
