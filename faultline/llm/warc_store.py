@@ -133,13 +133,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_text(rows: DataFrame) -> Column:
-    """The record as it stands in a WARC file."""
-    return F.concat("warc_header", "http_header", F.coalesce("payload", F.lit("")), F.lit("\r\n\r\n"))
+    """The record as it stands in a WARC file, without the two line breaks after it."""
+    return F.concat("warc_header", "http_header", F.coalesce("payload", F.lit("")))
 
 
 def export_warc(rows: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write rebuilt records as WARC files, one after the other."""
-    rows.select(record_text(rows).alias("value")).write.option("lineSep", "").option(
+    rows.select(record_text(rows).alias("value")).write.option("lineSep", "\r\n\r\n").option(
         "compression", compression
     ).text(path)
 
