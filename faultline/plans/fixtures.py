@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +79,12 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(events, sources) of all drafts as a catalogue: three in four public, one in four curated, all titled."""
-    d = drafts(spark, sf_dir)
+    """(events, sources) of all drafts as a catalogue: three in four public, one in four curated, all titled.
+
+    The drafts are kept (spilling to disk), because most queries read them on
+    several branches; an executor that is lost only has its part made again.
+    """
+    d = drafts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     digit = F.conv(F.substring("slug", 7, 1), 16, 10).cast("int")
     e = ev.titled(ev.to_event(d)).withColumns(
         {

@@ -14,7 +14,7 @@ def text(s: str | None) -> str:
 
 
 def rows(table: list[tuple]) -> str:
-    cell = lambda v: text(v) if v is None or isinstance(v, str) else repr(v)
+    cell = lambda v: text(v) if v is None or isinstance(v, str) else f"CAST({v!r} AS DOUBLE)"
     return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in table)
 
 
