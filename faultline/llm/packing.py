@@ -61,14 +61,12 @@ class OpenWindows:
         tree, i = self.tree, least + self.size
         if not tree[i]:
             while True:
-                if i & (i - 1) == 0:  # on the right edge: nothing larger
+                if i & (i + 1) == 0:  # on the right edge: nothing larger
                     return None
                 if not i & 1 and tree[i + 1]:
                     i += 1
                     break
                 i >>= 1
-                if i <= 1:
-                    return None
             while i < self.size:
                 i = 2 * i if tree[2 * i] else 2 * i + 1
         capacity = i - self.size
