@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 #: Payloads shorter than this are never stored by digest; they stay beside their headers.
 LEAST_SHARED = 100
+#: First pages of payloads are broadcast to the texts up to this many, else joined by a shuffle.
+BROADCAST_OWNERS = 100_000
 WARC_DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "page_id long, warc_header string, http_header string, digest string, `check` long, inline string"
@@ -38,8 +40,8 @@ def write_archive(pages: DataFrame, path: str, date: str = WARC_DATE) -> None:
     is an empty payload; a null url gives no target header; line breaks in a
     url are percent-encoded. Repeated rows with the smallest page_id are all
     responses on one stored payload. Only digests, ids and urls are grouped
-    and joined; a payload is moved once, to the join that keeps its first
-    copy. An empty table gives empty tables.
+    and joined; the first copies, whose count is checked, are picked by a
+    broadcast, or by a shuffle that moves each payload once. An empty table gives empty tables.
     """
     html = F.coalesce("html", F.lit(""))
     base = pages.select(
@@ -52,7 +54,7 @@ def write_archive(pages: DataFrame, path: str, date: str = WARC_DATE) -> None:
     )
     key = ["digest", "check", "n"]
     slim = base.select("page_id", "url", *key, F.when(F.col("n") < LEAST_SHARED, F.col("payload")).alias("inline"))
-    owners = slim.filter(F.col("n") >= LEAST_SHARED).groupBy(*key).agg(F.min("page_id").alias("owner"))
+    owners = stored(slim.filter(F.col("n") >= LEAST_SHARED).groupBy(*key).agg(F.min("page_id").alias("owner")))
     owned = slim.join(owners, key, "left")
     revisit = (F.col("owner").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     http = F.concat(
@@ -87,6 +89,8 @@ def write_archive(pages: DataFrame, path: str, date: str = WARC_DATE) -> None:
     )
     records.write.parquet(f"{path}/records")
     first = owners.select(F.col("owner").alias("page_id"), *key)
+    if owners.limit(BROADCAST_OWNERS + 1).count() <= BROADCAST_OWNERS:
+        first = F.broadcast(first)
     kept = base.filter(F.col("n") >= LEAST_SHARED).select("page_id", *key, "payload").join(first, ["page_id", *key])
     again = slim.groupBy("page_id").count().filter("`count` > 1")
     if not again.isEmpty():  # a repeated first row would store its payload twice
@@ -111,8 +115,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     # Revisits and inline payloads need no stored one; their key is null and joins nothing.
     sought = (kind == "response") & F.col("inline").isNull()
     rows = records.withColumn("record_type", kind).withColumn("sought", F.when(sought, F.col("digest")))
-    stored = payloads.select(F.col("digest").alias("sought"), F.col("check").alias("check_"), "payload")
-    rows = rows.join(stored, (rows["sought"] == stored["sought"]) & (rows["check"] == stored["check_"]), "left")
+    kept = payloads.select(F.col("digest").alias("sought"), F.col("check").alias("check_"), "payload")
+    rows = rows.join(kept, (rows["sought"] == kept["sought"]) & (rows["check"] == kept["check_"]), "left")
     rows = rows.select(
         F.nullif(_header("X-Page-ID"), F.lit("")).cast("long").alias("page_id"),
         F.nullif(_header("WARC-Target-URI"), F.lit("")).alias("url"),
