@@ -169,8 +169,87 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_d
 FROM p
 """
 
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], chr(32)) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM reach r JOIN both_ways l ON r.d = l.a)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT d, min(c) AS c FROM reach GROUP BY d) k ON k.d = documents.doc_id
+"""
+
+
+def _canonical_sql(c: str) -> str:
+    out = f"lower(coalesce({c}, ''))"
+    for pattern in (license_scan.COPYRIGHT_LINE, license_scan.RESERVED_LINE):
+        out = f"regexp_replace({out}, '{pattern}', chr(10), 'g')"
+    for a, b in license_scan.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _license_sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in sorted(license_scan.TEXTS.items()))
+    return f"""
+    WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(id) AS license_id FROM (VALUES {known}) AS v(id, t) GROUP BY 1),
+    d AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM documents)
+    SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN known ON digest = canonical_sha256
+    """
+
+
+def _mixing_sql(power: float = 0.7, fraction: float = 0.5, sweeps: int = 8, rounds: int = 12) -> str:
+    parts = [
+        r"""d AS (SELECT doc_id, source, lang,
+          CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN regexp_matches(coalesce(text, ''), '[0-9]{4}') THEN 'record'
+            WHEN contains(coalesce(text, ''), chr(10)) THEN 'lines' ELSE 'prose' END AS topic,
+          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents)""",
+        "c AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL)",
+    ]
+    for x in ("source", "lang", "topic"):
+        parts.append(f"m_{x} AS (SELECT {x}, pow(sum(tokens)::DOUBLE, {power}) AS p FROM c GROUP BY {x})")
+        parts.append(f"t_{x} AS (SELECT {x}, p / (SELECT sum(p) FROM m_{x}) AS target FROM m_{x})")
+    parts.append("w0 AS (SELECT *, tokens::DOUBLE AS w FROM c)")
+    k = 0
+    for _ in range(sweeps):
+        for x in ("source", "lang", "topic"):
+            k += 1
+            parts.append(
+                f"w{k} AS MATERIALIZED (SELECT a.* EXCLUDE (w), w * coalesce(target / nullif(sum(w) OVER (PARTITION BY a.{x}), 0), 0) AS w "
+                f"FROM w{k - 1} a JOIN t_{x} t ON a.{x} IS NOT DISTINCT FROM t.{x})"
+            )
+    parts.append(f"l0 AS (SELECT {fraction} * sum(tokens) / sum(w) AS l FROM w{k})")
+    for i in range(1, rounds):
+        full = f"coalesce(w / nullif(tokens, 0) * (SELECT l FROM l{i - 1}) >= 1, false)"
+        parts.append(
+            f"l{i} AS MATERIALIZED (SELECT greatest((SELECT l FROM l{i - 1}), coalesce(({fraction} * (SELECT sum(tokens) FROM c) - coalesce(sum(tokens) FILTER ({full}), 0)) "
+            f"/ nullif(sum(w) FILTER (NOT {full}), 0), 0)) AS l FROM w{k})"
+        )
+    parts.append(
+        f"p AS (SELECT source, lang, topic, round(coalesce(least(1, w / nullif(tokens, 0) * (SELECT l FROM l{rounds - 1})), 0), 9) AS probability FROM w{k})"
+    )
+    return (
+        "WITH " + ", ".join(parts) + " SELECT doc_id, d.source, d.lang, d.topic, n_tokens, probability, "
+        "('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < probability AS sampled FROM d JOIN p "
+        "ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic"
+    )
+
+
 ORACLE: dict[str, str] = {
     "op2_chat_prefixes": OP2_SQL,
+    "op3_license_digests": _license_sql(),
     "op6_host_quality": OP6_SQL,
+    "op7_count_rtree_join": OP7_SQL,
     "op8_warc_store": OP8_SQL,
+    "op9_raked_mixing": _mixing_sql(),
 }
