@@ -22,6 +22,8 @@ BOX_DIMS = 32
 FANOUT = 16
 #: Shingles that one join task holds of a block at most, on either side.
 CHUNK_SHINGLES = 1_000_000
+#: Shingles of small blocks that share a task on average.
+UNIT_SHINGLES = 200_000
 #: Differences of a pair up to which meeting is certain, and untouched groups to expect beyond.
 EXACT_DIFFERENCES, MEETINGS = 48, 18.0
 #: Routing keys that one partition gets on average at most.
@@ -31,7 +33,7 @@ COMBINE_BOXES = 500_000
 #: Key blocks up to this size are compared pair by pair, larger ones through an R-tree.
 SMALL_BLOCK = 24
 #: Documents in blocks are broadcast to the texts up to this many, else joined by a shuffle.
-BROADCAST_DOCS = 300_000
+BROADCAST_DOCS = 100_000
 CACHE_WORDS = 400_000
 
 U = np.uint64
@@ -528,7 +530,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
         "chunks", F.ceil(F.col("weight") / CHUNK_SHINGLES).cast("int")
     )
     held = members.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).first()
-    units = max(1, -(-(held["n"] or 0) // CHUNK_SHINGLES))
+    units = max(1, -(-(held["n"] or 0) // UNIT_SHINGLES))
 
     def as_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = ["rep", "digest", "block", "chunks"]

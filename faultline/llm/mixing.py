@@ -163,5 +163,6 @@ def mixing_report(docs: DataFrame, **options) -> DataFrame:
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of ``docs`` with their own columns."""
-    columns = docs.columns
-    return mixed(docs, **options).filter("sampled").select(*columns)
+    # The row travels as one column, so none of its names can clash with those of the mixing.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    return mixed(rows, **options).filter("sampled").select("row.*")

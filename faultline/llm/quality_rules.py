@@ -134,5 +134,10 @@ def quality_rules(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that pass, with their columns; texts are not shuffled, only hosts are joined."""
     hosts = _rejected(host_verdicts(with_stats(docs, ["source"]), max_rate))
-    judged = with_stats(docs, docs.columns).filter(~base_failed()).select(*docs.columns)
-    return judged.join(hosts, "source", "left_anti").select(*docs.columns)
+
+    def sound(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = (text_stats(t) for t in batch.column("text").to_pylist())
+        return batch.filter(pa.array([n >= 50 and 100 * r <= 50 * n for n, _, _, _, r in found], pa.bool_()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return per_batch(docs, sound, fields).join(hosts, "source", "left_anti").select(*docs.columns)

@@ -226,5 +226,7 @@ def test_mixing_follows_the_targets(spark):
             scale.setdefault(k, r.probability / (w[k] / cells[k]))
     assert max(scale.values()) / min(scale.values()) < 1 + 1e-4
     assert mixing.mixing_report(df.limit(0)).collect() == []
-    kept = mixing.sample(df.withColumn("mix", F.lit(1)), fraction=0.4, sweeps=4)
-    assert kept.columns == [*df.columns, "mix"] and 0 < kept.count() < 3000
+    clash = df.withColumns({"mix_source": F.lit(1), "weight": F.lit("w"), "probability": F.lit(None)})
+    kept = mixing.sample(clash, fraction=0.4, sweeps=4)
+    assert kept.columns == clash.columns and 0 < kept.count() < 3000
+    assert {tuple(r) for r in kept.select("mix_source", "weight", "probability").distinct().collect()} == {(1, "w", None)}

@@ -9,6 +9,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from faultline.llm import license_scan, packing, pii, quality_rules, token_counts
 from faultline.llm.license_texts import TEXTS
@@ -214,8 +215,9 @@ def test_quality_hosts(spark):
     got = {(r.doc_id, r.kept) for r in quality_rules.quality_rules(df).collect()}
     want = {(d, bool(t) and t == good and s != "spam") for d, t, _, s, _ in rows}
     assert got == want
+    df = df.withColumn("n_words", F.lit("mine")).withColumn("host_rejected", F.lit(1))
     kept = quality_rules.keep_good(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {r.n_words for r in kept.collect()} == {"mine"}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, t, _, s, _ in rows if t == good and s != "spam")
     assert quality_rules.quality_rules(df.limit(0)).collect() == []
 
