@@ -180,6 +180,21 @@ def test_spans_that_base_patterns_lose(detector):
     assert pii.redacted(None, []) is None
 
 
+@pytest.mark.parametrize("mail", ["jane(at)example.com", "jane[at]mail.example.org", "JANE (AT) EXAMPLE (DOT) COM", "jane {at} example.de"])
+def test_spelled_emails_without_an_at_sign(detector, mail):
+    text = f"contact {mail} now"
+    start = text.index(mail)
+    assert ("email", start, start + len(mail)) in pii.candidates(text)
+    assert pii.redacted(text, detector.spans(text)[1]) == "contact <EMAIL> now"
+
+
+def test_held_out_recall_counts_spans_without_a_candidate(monkeypatch):
+    only_at = [(k, re.compile(g.pattern.replace(pii._AT, "@"), g.flags)) if k == "email" else (k, g) for k, g in pii.GENERATORS]
+    monkeypatch.setattr(pii, "GENERATORS", only_at)
+    blind = pii.fit_detector(["the of and in that with this at home."] * 30, examples=1500)
+    assert blind.held_out["email"][1] < 0.4
+
+
 def test_pii_frame(spark, detector):
     rows = [(1, "mail a@b.co now", "en", "s", 15), (1, "mail a@b.co now", "en", "s", 15), (2, None, None, None, None), (3, "", "en", "s", 0)]
     df = spark.createDataFrame(rows, DOCS)
