@@ -18,6 +18,8 @@ from .common import components, per_batch, small_batches, spread, stored
 #: Token groups of a count vector.
 DIMS = 64
 BOX_DIMS = 32
+#: Holds any count of a corner, so that the sum of minima stays an upper bound of the overlap.
+CORNER = np.uint32
 #: Points in a leaf, and children of a node, of an R-tree.
 FANOUT = 16
 #: Shingles that one join task holds of a block at most, on either side.
@@ -285,12 +287,12 @@ class Boxes:
     @staticmethod
     def read(batch: pa.RecordBatch) -> Boxes:
         raw = b"".join(batch.column("corner").to_pylist())
-        corners = np.frombuffer(raw, np.uint16).reshape(-1, BOX_DIMS)
+        corners = np.frombuffer(raw, CORNER).reshape(-1, BOX_DIMS)
         return Boxes(*(batch.column(n).to_numpy() for n in Boxes.NAMES[:4]), corners)
 
     def batch(self) -> pa.RecordBatch:
-        width = 2 * BOX_DIMS
-        raw = np.ascontiguousarray(self.corners, np.uint16).tobytes()
+        width = np.dtype(CORNER).itemsize * BOX_DIMS
+        raw = np.ascontiguousarray(self.corners, CORNER).tobytes()
         corner = pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
         longs = [pa.array(x.astype(np.int64)) for x in (self.keys, self.ids, self.least, self.most)]
         return pa.RecordBatch.from_arrays([*longs, corner], names=list(self.NAMES))
@@ -363,7 +365,7 @@ def _box_combine(p: int, q: int):
         # Pairs found here already: a key of their own carries them, in boxes that always meet.
         n = len(pairs)
         key = mix(mix(pairs[:, 0].astype(U)) + pairs[:, 1].astype(U)).astype(np.int64)
-        ones, full = np.ones(2 * n, np.int64), np.full((2 * n, BOX_DIMS), 65535, np.uint16)
+        ones, full = np.ones(2 * n, np.int64), np.full((2 * n, BOX_DIMS), np.iinfo(CORNER).max, CORNER)
         carried = Boxes(np.concatenate([key, key]), np.concatenate([pairs[:, 0], pairs[:, 1]]), ones, ones, full)
         return Boxes.joined([boxes, carried]).batch()
 
@@ -488,7 +490,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     def figures(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
         digests = [set_digest(s) for s in sets]
-        corners = [np.minimum(count_vector(s, BOX_DIMS), 65535).astype(np.uint16).tobytes() for s in sets]
+        corners = [count_vector(s, BOX_DIMS).astype(CORNER).tobytes() for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),

@@ -116,6 +116,19 @@ def test_rtree_search_is_complete():
         assert set(tree.search(counts[i], int(sizes[i]), int(sizes[i]))) == set(np.flatnonzero(ok))
 
 
+@pytest.mark.parametrize("copies", [2, 30])
+def test_boxes_of_very_long_near_copies_link(copies):
+    n = 2_500_000
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 63, n, np.uint64)
+    own = rng.integers(0, 1 << 63, n // 50, np.uint64)
+    corners = np.stack([jaccard_join.count_vector(s, jaccard_join.BOX_DIMS) for s in (shared, np.append(shared[len(own) :], own))])
+    corners = corners[np.arange(copies) % 2]
+    size, ids = np.full(copies, n, np.int64), np.arange(copies, dtype=np.int64)
+    boxes = jaccard_join.Boxes.read(jaccard_join.Boxes(np.zeros(copies, np.int64), ids, size, size, corners).batch())
+    assert jaccard_join.Boxes.joined([boxes]).may_link(85, 100)[1].tolist() == [[0, i] for i in range(1, copies)]
+
+
 def test_routing_meets_threshold_pairs():
     rng = np.random.default_rng(4)
     spaces = jaccard_join.Spaces(85, 100)
