@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -62,35 +62,93 @@ def exact_duplicates(sources: DataFrame, existing: DataFrame) -> DataFrame:
     return first.unionByName(rest.select("legacy_id", F.col("url_slug").alias("slug"), F.concat(F.lit("url "), "url_key").alias("match")))
 
 
+def grams(c: Column) -> Column:
+    """Distinct trigrams of a text; a shorter text is its own."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - TRIGRAM + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(TRIGRAM))))
+
+
+def similar_titles(classes: DataFrame, window: int, similarity: float) -> DataFrame:
+    """Distinct (block, t, u), t < u: titles of one block, some of them at most a slot apart, with Jaccard of trigrams >= ``similarity``.
+
+    ``classes`` has block, t and day. Exact: grams are ordered by how many
+    titles hold them, rarest first, and two similar titles share one of the
+    first n - ceil(similarity * n) + 1 of each; candidates of that equality
+    join are verified on all grams.
+    """
+    titles = classes.select("t").distinct().withColumn("g", grams(F.col("t")))
+    each = titles.select("t", F.explode("g").alias("gram"))
+    held = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(held, "gram").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    n = F.size("g")
+    # The small term keeps rounding from shortening a prefix.
+    first = n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
+    prefix = ranked.select("t", n.alias("n"), F.explode(F.slice("g", 1, F.least(first, n))["gram"]).alias("gram"))
+    slots = classes.select("block", "t", F.floor(F.col("day") / window).alias("slot")).distinct()
+    keyed = slots.join(prefix, "t")
+    both = keyed.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1))).distinct()
+    other = both.select("block", "slot", "gram", F.col("t").alias("u"), F.col("n").alias("m"))
+    found = both.join(other, ["block", "slot", "gram"]).filter("t < u")
+    sized = (F.col("m") >= F.col("n") * similarity - 1e-9) & (F.col("n") >= F.col("m") * similarity - 1e-9)
+    pairs = found.filter(sized).select("block", "t", "u").distinct()
+    g, h = grams(F.col("t")), grams(F.col("u"))
+    return pairs.filter(F.size(F.array_intersect(g, h)) / F.size(F.array_union(g, h)) >= similarity)
+
+
+def title_links(dated: DataFrame, window: int, similarity: float) -> DataFrame:
+    """(a, b) that connect all records of one block with similar titles at most ``window`` days apart; each is such a pair.
+
+    Records of one block, title and day are one class behind its smallest id.
+    A class is linked with the one before it of its own title, and with the
+    one before it of each similar title; what lies further back is reached
+    over those.
+    """
+    records = dated.filter("title is not null").select("block", F.lower("title").alias("t"), "day", "id")
+    classes = records.groupBy("block", "t", "day").agg(F.min("id").alias("rep"))
+    same = records.join(classes, ["block", "t", "day"]).filter("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    own = Window.partitionBy("block", "t").orderBy("day")
+    before = classes.withColumn("x", F.lag("rep").over(own)).withColumn("x_day", F.lag("day").over(own))
+    pairs = similar_titles(classes, window, similarity)
+    sides = pairs.select("block", "t", "u", F.lit(0).alias("side"), F.col("t").alias("v")).unionByName(
+        pairs.select("block", "t", "u", F.lit(1).alias("side"), F.col("u").alias("v"))
+    )
+    rows = sides.join(classes.withColumnRenamed("t", "v"), ["block", "v"])
+    upto = Window.partitionBy("block", "t", "u").orderBy("day", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda side: F.last(F.when(F.col("side") == side, F.struct(F.col("rep").alias("x"), F.col("day").alias("x_day"))), True).over(upto)
+    rows = rows.withColumns({"l0": last(0), "l1": last(1)}).withColumn("l", F.when(F.col("side") == 0, F.col("l1")).otherwise(F.col("l0")))
+    across = rows.select("day", "rep", "l.x", "l.x_day")
+    linked = before.select("day", "rep", "x", "x_day").unionByName(across).filter(F.col("day") - F.col("x_day") <= window)
+    out = linked.select("x", F.col("rep").alias("y")).unionByName(same)
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def duplicate_tiers(df: DataFrame, days: int = 3, window: int = 14, similarity: float = 0.5) -> DataFrame:
     """(a, b, tier): likely duplicates of records (id, url, operator, occurred_on, place, event_type, title).
 
     Tier 1: equal digest of the normalised URL. Tier 2: equal operator, place
     and type, at most ``days`` apart; blocks are windows of ``window`` days,
-    and each row also enters the next one when it lies near its end. Tier 3:
-    equal operator and type in such a block and Jaccard similarity of title
-    trigrams. A record is compared with the one before it in its block's
-    order (day, or title), so a block of any size gives at most as many rows
-    as it has members and groups come out as chains.
+    and each row also enters the next one when it lies near its end. A record
+    is compared with the one before it, so a block of any size gives at most
+    as many rows as it has members and groups come out as chains. Tier 3:
+    equal operator and type, at most ``window`` days apart and Jaccard
+    similarity of title trigrams; all such pairs are connected, over
+    representatives of equal titles of a day.
     """
     keyed = df.withColumn("u", F.sha2(normalize_url(F.col("url")), 256))
     leads = keyed.filter("u is not null").groupBy("u").agg(F.min("id").alias("a"))
     first = keyed.join(leads, "u")
     one = first.filter("a <> id").select("a", F.col("id").alias("b"), F.lit(1).alias("tier"))
     day = F.unix_date("occurred_on")
-    near = df.filter("occurred_on is not null and operator is not null").withColumn("day", day)
+    dated = df.filter("occurred_on is not null and operator is not null").withColumn("day", day).withColumn("operator", fold_name(F.col("operator")))
     slot = F.floor(F.col("day") / window)
     both = F.when(F.pmod("day", F.lit(window)) >= window - days, F.array(slot, slot + 1)).otherwise(F.array(slot))
-    near = near.withColumn("slot", F.explode(both)).withColumn("operator", fold_name(F.col("operator")))
-    pair = lambda w: near.withColumn("a", F.lag("id").over(w)).withColumn("a_day", F.lag("day").over(w)).withColumn("a_title", F.lag("title").over(w))
+    near = dated.withColumn("slot", F.explode(both))
     chained = Window.partitionBy("operator", "slot", "event_type", "place").orderBy("day", "id")
-    two = pair(chained).filter(F.col("a").isNotNull() & (F.col("day") - F.col("a_day") <= days))
+    two = near.withColumn("a", F.lag("id").over(chained)).withColumn("a_day", F.lag("day").over(chained))
+    two = two.filter(F.col("a").isNotNull() & (F.col("day") - F.col("a_day") <= days))
     two = two.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(2).alias("tier")).filter("a <> b")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - TRIGRAM + 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(TRIGRAM))))
-    by_title = Window.partitionBy("operator", "slot", "event_type").orderBy(F.lower("title"), "id")
-    alike = F.size(F.array_intersect(grams(F.col("title")), grams(F.col("a_title")))) / F.size(F.array_union(grams(F.col("title")), grams(F.col("a_title"))))
-    three = pair(by_title).filter(F.col("a").isNotNull() & (alike >= similarity))
-    three = three.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(3).alias("tier")).filter("a <> b")
+    block = F.to_json(F.array("operator", "event_type"))
+    three = title_links(dated.withColumn("block", block), window, similarity).withColumn("tier", F.lit(3))
     return one.unionByName(two).unionByName(three).groupBy("a", "b").agg(F.min("tier").alias("tier"))
 
 

@@ -111,6 +111,42 @@ def test_duplicate_tiers(spark):
     assert {(r.a, r.b, r.tier) for r in dedupe.duplicate_tiers(df).collect()} == {("1", "2", 1), ("1", "3", 2), ("1", "4", 3)}
 
 
+def test_title_tier_against_all_pairs(spark):
+    import datetime
+    import random
+
+    rnd = random.Random(5)
+    titles = ["Van met AV at night", "A van met AV at night", "Bus stopped", "The bus stopped here", "Cyclist hit door", "x", "Xy", "At night a van met AV"]
+    rows = []
+    for i in range(160):
+        t = rnd.choice(titles) + rnd.choice(["", "", " again", " in Phoenix", f" {rnd.randint(1, 40)}"])
+        day = datetime.date(2024, 1, 1) + datetime.timedelta(rnd.randint(0, 150))
+        rows.append((f"r{i:03d}", None, rnd.choice(["Acme", "acme", "Zoox"]), day, f"p{i}", rnd.choice(["collision", None]), t))
+    for i, (t, n) in enumerate([("Van met AV at night", 1), ("Bus stopped", 2), ("A van met AV at night", 12)]):
+        rows.append((f"s{i}", None, "Solo", datetime.date(1970, 1, 10) + datetime.timedelta(n), f"q{i}", "collision", t))
+    df = spark.createDataFrame(rows, "id string, url string, operator string, occurred_on date, place string, event_type string, title string")
+    grams = lambda t: {t.lower()[i : i + 3] for i in range(max(len(t) - 2, 1))}
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and (a[2].lower(), a[5]) == (b[2].lower(), b[5]) and abs((a[3] - b[3]).days) <= 14:
+                x, y = grams(a[6]), grams(b[6])
+                if 2 * len(x & y) >= len(x | y):
+                    want.add((a[0], b[0]))
+    got = {(r.a, r.b) for r in dedupe.duplicate_tiers(df).collect() if r.tier == 3}
+
+    def groups(pairs):
+        up = {r[0]: r[0] for r in rows}
+        for a, b in pairs:
+            low = min(up[a], up[b])
+            if up[a] == up[b]:
+                continue
+            up = {k: low if v in (up[a], up[b]) else v for k, v in up.items()}
+        return up
+
+    assert got <= want and groups(got) == groups(want) and ("s0", "s2") in got
+
+
 def test_queue_labels_and_counts(spark):
     subs = spark.createDataFrame(
         [(1, "http://a", "pending", None, "x", "a@b.c", "http://b\n\nnote"), (2, "http://c", "pending", "2024-01-02", None, None, None)],
