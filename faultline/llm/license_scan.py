@@ -23,6 +23,12 @@ SPELLINGS = (
 #: A line that states a copyright, and one that says no more than a right reserved.
 COPYRIGHT_LINE = r"(^|\n)[\x20\t]*(copyright|\(c\)|©)[^\n]*"
 RESERVED_LINE = r"(^|\n)[\x20\t]*all rights reserved\.?[\x20\t\r]*"
+#: What may stand before a line's first word: white space and comment marks.
+_LEAD = r"(?:^|(?<=\n))[^\p{L}\p{N}\n(©]*"
+#: A notice as a line of its own; a clause that goes on after "copyright", in this line or the next, is none.
+_CLAUSE = r"(?:notice|holder|owner|law|licen[cs]e|statement|interest|disclaimer|protect|and\b|or\b|in\b|of\b|to\b)"
+NOTICE = rf"{_LEAD}(?:copyright\b(?![^\p{{L}}\p{{N}}(©]*(?:{_CLAUSE}|\z))|\(c\)[\x20\t]*(?:copyright\b|[12][0-9]{{3}})|©)[^\n]*"
+RESERVED = rf"{_LEAD}all rights reserved[^\p{{L}}\p{{N}}\n]*(?=\n|\z)"
 
 
 def canonical(text: Column) -> Column:
@@ -35,24 +41,46 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
 
 
+def unwrapped(text: Column) -> Column:
+    """The canonical form of a text whose line breaks and comment marks say nothing: notices go, then lines are joined."""
+    c = F.lower(F.coalesce(text, F.lit("")))
+    c = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), NOTICE, "")
+    c = F.regexp_replace(c, RESERVED, "")
+    c = F.regexp_replace(F.regexp_replace(c, r"\n[^\p{L}\p{N}\n]*", " "), r"\s+", " ")
+    for a, b in SPELLINGS:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+
+
 def known_licenses(spark, texts: dict[str, str] = TEXTS) -> DataFrame:
-    """(canonical_sha256, license_id) of known texts; of equal canonical texts the first id stays."""
+    """(canonical_sha256, license_id, unwrapped_sha256) of known texts; of equal canonical texts the first id stays."""
     rows = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
     return (
-        rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+        rows.select(
+            "license_id",
+            F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"),
+            F.sha2(unwrapped(F.col("text")), 256).alias("u"),
+        )
         .groupBy("canonical_sha256")
-        .agg(F.min("license_id").alias("license_id"))
+        .agg(F.min("license_id").alias("license_id"), F.min_by("u", "license_id").alias("unwrapped_sha256"))
     )
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Licence of every whole text: doc_id, canonical_sha256, license_id (null: none).
 
-    A text is a known licence when the canonical forms have the same SHA-256.
+    A text is a known licence when the canonical forms have the same SHA-256,
+    or else the unwrapped ones, where ``known`` has unwrapped_sha256.
     A null text is empty and no licence; repeated rows give repeated results;
     other columns are ignored; an empty table gives no rows. The table of
     known digests joins by hash; Spark broadcasts it while it is small.
     """
     known = known_licenses(docs.sparkSession) if known is None else known
-    digests = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
-    return digests.join(known, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
+    digests = docs.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+    exact = known.select("canonical_sha256", "license_id")
+    if "unwrapped_sha256" not in known.columns:
+        return digests.join(exact, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
+    other = known.groupBy("unwrapped_sha256").agg(F.min("license_id").alias("other_id"))
+    digests = digests.withColumn("unwrapped_sha256", F.sha2(unwrapped(F.col("text")), 256)).drop("text")
+    found = digests.join(exact, "canonical_sha256", "left").join(other, "unwrapped_sha256", "left")
+    return found.select("doc_id", "canonical_sha256", F.coalesce("license_id", "other_id").alias("license_id"))

@@ -250,6 +250,28 @@ def test_license_canonical_forms(spark):
     assert len({r.canonical_sha256 for r in known}) == len(TEXTS)
 
 
+def test_licenses_in_other_wrapping_and_comments(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for name, t in TEXTS.items():
+        paragraphs = [" ".join(p.split()) for p in t.strip().split("\n\n")]
+        notice = ["Copyright (c) 2021 J Doe"]
+        copies = ["\n\n".join(notice + paragraphs), "\n".join(" ".join(p.split()) for p in t.split()), t.replace("\n", "\r\n")]
+        for width in (24, 40, 63, 79, 100):
+            lines = [x for p in notice + paragraphs for x in [*textwrap.wrap(p, width, break_on_hyphens=False), ""]]
+            copies.append("\n".join(lines))
+            copies += ["\n".join(mark + x for x in lines) for mark in ("# ", " * ", "// ")]
+            copies.append("/*\n * Copyright Jane Doe\n * All rights reserved.\n" + "\n".join(" * " + x for x in lines[2:]) + "\n */")
+        for c in copies:
+            want[len(rows)] = name
+            rows.append((len(rows), c))
+    mit = TEXTS["MIT"].replace("copyright notice and this permission", "permission")
+    rows += [(9000, "# " + mit), (9001, TEXTS["ISC"].replace("provided that", "given that"))]
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**want, 9000: None, 9001: None}
+
+
 def test_rank_file_has_the_vocabulary_of_the_library():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
