@@ -208,36 +208,44 @@ def _license_sql() -> str:
     """
 
 
-def _mixing_sql(power: float = 0.7, fraction: float = 0.5, sweeps: int = 8, rounds: int = 12) -> str:
+def _mixing_sql(power: float = 0.7, fraction: float = 0.5, rounds: int = 12) -> str:
+    dims = mixing.DIMS
+    full = f"w >= tokens * {mixing.FULL!r}"
     parts = [
         r"""d AS (SELECT doc_id, source, lang,
           CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN regexp_matches(coalesce(text, ''), '[0-9]{4}') THEN 'record'
             WHEN contains(coalesce(text, ''), chr(10)) THEN 'lines' ELSE 'prose' END AS topic,
           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents)""",
-        "c AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL)",
+        "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
+        f"t AS (SELECT {fraction} * sum(tokens) AS wanted FROM c)",
     ]
-    for x in ("source", "lang", "topic"):
-        parts.append(f"m_{x} AS (SELECT {x}, pow(sum(tokens)::DOUBLE, {power}) AS p FROM c GROUP BY {x})")
-        parts.append(f"t_{x} AS (SELECT {x}, p / (SELECT sum(p) FROM m_{x}) AS target FROM m_{x})")
-    parts.append("w0 AS (SELECT *, tokens::DOUBLE AS w FROM c)")
-    k = 0
-    for _ in range(sweeps):
-        for x in ("source", "lang", "topic"):
-            k += 1
+    for x in dims:
+        parts.append(f"m_{x} AS (SELECT {x}, sum(tokens) AS held, pow(sum(tokens), {power}) AS pull FROM c GROUP BY {x})")
+        parts.append(f"k_{x}_0 AS (SELECT (SELECT wanted FROM t) / sum(pull) AS k FROM m_{x})")
+        for i in range(rounds):
+            k = f"(SELECT k FROM k_{x}_{i})"
+            over = f"pull * {k} >= held * {mixing.FULL!r}"
             parts.append(
-                f"w{k} AS MATERIALIZED (SELECT a.* EXCLUDE (w), w * coalesce(target / nullif(sum(w) OVER (PARTITION BY a.{x}), 0), 0) AS w "
-                f"FROM w{k - 1} a JOIN t_{x} t ON a.{x} IS NOT DISTINCT FROM t.{x})"
+                f"k_{x}_{i + 1} AS MATERIALIZED (SELECT CASE WHEN sum(CASE WHEN {over} THEN 0 ELSE pull END) > 0 THEN "
+                f"((SELECT wanted FROM t) - sum(CASE WHEN {over} THEN held ELSE 0 END)) / sum(CASE WHEN {over} THEN 0 ELSE pull END) ELSE {k} END AS k FROM m_{x})"
             )
-    parts.append(f"l0 AS (SELECT {fraction} * sum(tokens) / sum(w) AS l FROM w{k})")
-    for i in range(1, rounds):
-        full = f"coalesce(w / nullif(tokens, 0) * (SELECT l FROM l{i - 1}) >= 1, false)"
-        parts.append(
-            f"l{i} AS MATERIALIZED (SELECT greatest((SELECT l FROM l{i - 1}), coalesce(({fraction} * (SELECT sum(tokens) FROM c) - coalesce(sum(tokens) FILTER ({full}), 0)) "
-            f"/ nullif(sum(w) FILTER (NOT {full}), 0), 0)) AS l FROM w{k})"
-        )
-    parts.append(
-        f"p AS (SELECT source, lang, topic, round(coalesce(least(1, w / nullif(tokens, 0) * (SELECT l FROM l{rounds - 1})), 0), 9) AS probability FROM w{k})"
-    )
+        parts.append(f"g_{x} AS (SELECT {x}, least(held, pull * (SELECT k FROM k_{x}_{rounds})) AS goal_{x} FROM m_{x})")
+    joins = " ".join(f"JOIN g_{x} ON c.{x} IS NOT DISTINCT FROM g_{x}.{x}" for x in dims)
+    parts.append(f"w0 AS (SELECT c.*, {', '.join(f'goal_{x}' for x in dims)}, tokens * {fraction} AS w FROM c {joins})")
+    parts.append("e0 AS (SELECT 1.0 AS off)")
+    n = 0
+    for block in range(mixing.SWEEPS // mixing.BLOCK):
+        for x in dims * mixing.BLOCK:
+            s, f = (f"sum({v}) OVER (PARTITION BY {x})" for v in ("w", f"CASE WHEN {full} THEN w ELSE 0 END"))
+            factor = f"CASE WHEN goal_{x} > s THEN greatest(1, coalesce((goal_{x} - f) / nullif(s - f, 0), 1)) ELSE coalesce(goal_{x} / nullif(s, 0), 1) END"
+            parts.append(
+                f"w{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (w, s, f), CASE WHEN (SELECT off FROM e{block}) <= {mixing.TOLERANCE!r} THEN w ELSE least(tokens, w * {factor}) END AS w "
+                f"FROM (SELECT *, {s} AS s, {f} AS f FROM w{n}))"
+            )
+            n += 1
+        off = ", ".join(f"(SELECT sum(abs(s - g)) FROM (SELECT sum(w) AS s, min(goal_{x}) AS g FROM w{n} GROUP BY {x}))" for x in dims)
+        parts.append(f"e{block + 1} AS MATERIALIZED (SELECT greatest({off}) / (SELECT wanted FROM t) AS off)")
+    parts.append(f"p AS (SELECT source, lang, topic, round(coalesce(w / nullif(tokens, 0), 0), 9) AS probability FROM w{n})")
     return (
         "WITH " + ", ".join(parts) + " SELECT doc_id, d.source, d.lang, d.topic, n_tokens, probability, "
         "('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < probability AS sampled FROM d JOIN p "
