@@ -50,6 +50,12 @@ def partial_date_sort_key(date: Column, precision: Column) -> Column:
     return F.coalesce(F.date_format(pin_to_period(date, precision), "yyyy-MM-dd"), F.lit(""))
 
 
+def format_iso_date(c: Column) -> Column:
+    """``17 May 2024`` of an ISO text; a text that is no ISO date stays as it is."""
+    date = F.when(F.regexp_like(c, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.try_to_date(c, "yyyy-MM-dd"))
+    return F.coalesce(F.date_format(date, "d MMMM yyyy"), c)
+
+
 def format_partial_date(date: Column, precision: Column, unknown: str | None = "Date unknown") -> Column:
     """``17 May 2024``, ``May 2024``, ``2024``, or the text for unknown."""
     return F.coalesce(

@@ -54,10 +54,19 @@ def slug_from_title(c: Column, most: int = 80, least: int = 24) -> Column:
 
     A slug above ``most`` characters becomes the longest one, of at least
     ``least`` characters, of a prefix of the title that ends at a clause mark;
-    failing that it is cut at its last dash.
+    failing that it is cut at its last dash. A title of any length is read
+    only as far as its slug can depend on it: of two letters or digits, at
+    least one stays in the slug.
     """
+    kept = f"A-Za-z0-9{MARKED}{MARKED.upper()}"
+    head = F.regexp_extract(c, rf"^(?:[^{kept}]*[{kept}]){{0,{2 * most + 40}}}[^{kept}]?", 0)
+    # As an element of an array, the head is made once for all that is asked of it.
+    return F.get(F.transform(F.array(head), lambda t: _slug_of_head(t, most, least)), F.lit(0))
+
+
+def _slug_of_head(c: Column, most: int, least: int) -> Column:
     full = slug_base(c)
-    # Prefixes that end before a clause mark: , ; : ( ) or dashes, or a point at the end of a sentence.
+    # Prefixes that end before a clause mark: , ; : or dashes, or a point at the end of a sentence.
     ends = F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1)))
     marked = F.filter(
         ends,
@@ -143,5 +152,10 @@ def last_start(c: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def context_snippet(c: Column, pattern: str, pad: int = 60) -> Column:
-    """The first match with up to ``pad`` characters on either side, widened to whole words."""
-    return F.trim(F.regexp_extract(c, rf"(?i)\S*[\s\S]{{0,{pad}}}(?:{pattern})[\s\S]{{0,{pad}}}\S*", 0))
+    """The first match with up to ``pad`` characters on either side, widened to whole words; empty without a match."""
+    p = f"(?i){pattern}"
+    found, at = F.regexp_extract(c, p, 0), F.regexp_instr(c, F.lit(p))
+    start, end = F.greatest(at - pad, F.lit(1)), at + F.length(found) + pad
+    word = F.regexp_extract(F.substring(c, F.lit(1), start - 1), r"\S*\z", 0)
+    rest = F.regexp_extract(F.substring(c, end, F.length(c)), r"\A\S*", 0)
+    return F.when(at > 0, F.trim(F.concat(word, F.substring(c, start, end - start), rest))).otherwise(F.substring(c, 1, 0))

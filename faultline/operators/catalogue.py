@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,39 @@ def newest_first():
     return [key.desc(), F.collate("title", "UNICODE").asc(), F.col("slug").asc()]
 
 
+def keyset_page(df: DataFrame, key: str, after=None, size: int = PAGE_SIZE) -> DataFrame:
+    """The next ``size`` rows by a unique key after a known one. A page costs the same however deep it lies."""
+    rows = df if after is None else df.filter(F.col(key) > F.lit(after))
+    return rows.orderBy(key).limit(size)
+
+
+def keyset_scan(df: DataFrame, key: str, size: int = PAGE_SIZE) -> DataFrame:
+    """All rows with ``page``, by a unique key: each page but the last has ``size`` rows, none is left out or comes twice.
+
+    One shuffle by ranges of the key; the driver sees one count for each
+    partition. The ranges are kept (spilling to disk), so the counts and the
+    rows are of one and the same split.
+    """
+    cols = df.columns
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_row", F.monotonically_increasing_id())
+    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.shiftright("_row", 33)
+    before, upto = [], 0
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before.append((r["part"], upto))
+        upto += r["count"]
+    start = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    at = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = ranged.withColumn("_part", part).join(F.broadcast(start), "_part")
+    return rows.select(*cols, (F.floor(at / size) + 1).alias("page"))
+
+
+def select_imports(records: DataFrame, collection: str | None = None) -> DataFrame:
+    """Manifest records that are to be imported, of one collection if it is named."""
+    out = records.filter("decision = 'import'")
+    return out if collection is None else out.filter(F.col("collection") == collection)
+
+
 def page(df: DataFrame, number, size: int = PAGE_SIZE, order=None) -> tuple[DataFrame, dict]:
     """Rows of one page, and {matched, page, pages}. Pages start at 1; a bad number is page 1, a high one the last page."""
     matched = df.count()

@@ -55,20 +55,14 @@ def narrative_score(text: Column) -> Column:
     return sum((hit(p) for p in EVENT_WORDS), F.lit(0)) - 2 * sum((hit(p) for p in FILING_PHRASES), F.lit(0))
 
 
-def representative_text(reports: Column) -> Column:
-    """The narrative that says most of the event: best score, then longest, then by generation and report id."""
-    told = F.filter(reports, lambda r: r["narrative"].isNotNull())
-    ranked = F.transform(
-        told,
-        lambda r: F.struct(
-            (-narrative_score(r["narrative"])).alias("score"),
-            (-F.length(r["narrative"])).alias("length"),
-            r["reporting_generation"].alias("generation"),
-            r["report_id"].alias("report"),
-            r["narrative"].alias("text"),
-        ),
-    )
-    return F.array_min(ranked)["text"]
+def representative_text() -> Column:
+    """An aggregate: the narrative that says most of the event by best score, then longest, then generation and report id.
+
+    Narratives are scored before the shuffle, and not at all where nobody asks for the text.
+    """
+    t = F.col("narrative")
+    rank = F.struct(-narrative_score(t), -F.length(t), F.col("reporting_generation"), F.col("report_id"))
+    return F.min_by(t, F.when(t.isNotNull(), rank))
 
 
 def agreed_date(reports: Column) -> tuple[Column, Column]:
@@ -87,15 +81,18 @@ def build_candidates(reports: DataFrame) -> DataFrame:
 
     One shuffle, on a key that is never null. The group's reports travel with
     the candidate as an array in input order, so evidence, classification and
-    source rows need no join back. A candidate is its reports, so a group has
-    to fit a row; ``group_size_stats`` shows the largest.
+    source rows need no join back; columns that are added to the reports
+    before travel along. A candidate is its reports, so a group has to fit a
+    row; ``group_size_stats`` shows the largest.
     """
     fields = [c for c in reports.columns if c != "first_ord"]
     rank = F.when(F.col("reporting_generation") == "historical", 0).otherwise(1)
     row = F.struct(rank.alias("rank"), F.col("first_ord").alias("first_ord"), *fields)
     key = identity_key(F.col("same_incident_id"), F.col("reporting_generation"), F.col("report_id"))
     grouped = reports.groupBy(key.alias("candidate_id")).agg(
-        F.array_sort(F.collect_list(row)).alias("reports"), F.first("same_incident_id").alias("same_incident_id")
+        F.array_sort(F.collect_list(row)).alias("reports"),
+        F.first("same_incident_id").alias("same_incident_id"),
+        representative_text().alias("narrative"),
     )
     r = F.col("reports")
     wide = grouped.select("*", *(distinct_in_order(r, f).alias(f"_{c}") for c, f in MIRRORED.items()))
@@ -114,7 +111,7 @@ def build_candidates(reports: DataFrame) -> DataFrame:
         F.col("_date.date").alias("incident_date"),
         F.col("_date.precision").alias("incident_date_precision"),
         F.lit("US").alias("country_code"),
-        representative_text(r).alias("narrative"),
+        "narrative",
         F.filter(conflicts, lambda x: x.isNotNull()).alias("disagreements"),
         F.transform(
             r, lambda x: F.struct(x["reporting_generation"].alias("generation"), x["report_id"].alias("report_id"))
@@ -159,6 +156,12 @@ def group_size_stats(candidates: DataFrame) -> DataFrame:
     )
 
 
+def cross_entity_groups(candidates: DataFrame) -> DataFrame:
+    """(candidate_id, same_incident_id, entities): candidates whose reports come from several reporting entities."""
+    entities = distinct_in_order(F.col("reports"), "reporting_entity")
+    return candidates.select("candidate_id", "same_incident_id", entities.alias("entities")).filter(F.size("entities") > 1)
+
+
 def reports_of(candidates: DataFrame, reports: DataFrame) -> DataFrame:
     """Contributing reports of candidates that carry only keys: candidate_id, ord, and the report's columns."""
     keys = candidates.select("candidate_id", F.posexplode("report_keys").alias("ord", "k"))

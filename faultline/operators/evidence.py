@@ -46,12 +46,24 @@ def hedges(text: Column) -> Column:
     return F.filter(F.array(*(one(t, p) for t, p in R.HEDGES.items())), lambda x: x.isNotNull())
 
 
+def marked_reports(reports: DataFrame) -> DataFrame:
+    """Reports with ``cue`` and ``hedges`` read from their narratives, before they are grouped: plain columns, one pass."""
+    t = F.col("narrative")
+    return reports.withColumns({"cue": engagement_cue(t), "hedges": hedges(t)})
+
+
 def report_cues(candidates: DataFrame) -> DataFrame:
-    """Adds ``cues`` and ``hedge_list``, read from every contributing report, each with its report's key."""
+    """Adds ``cues`` and ``hedge_list``, read from every contributing report, each with its report's key.
+
+    Reports that ``marked_reports`` has seen are not read again.
+    """
+    marked = {"cue", "hedges"} <= set(candidates.schema["reports"].dataType.elementType.names)
+    cue = lambda r: r["cue"] if marked else engagement_cue(r["narrative"])
+    hedged = lambda r: r["hedges"] if marked else hedges(r["narrative"])
     keyed = lambda r, **more: F.struct(
         r["reporting_generation"].alias("generation"), r["report_id"].alias("report_id"), *(c.alias(k) for k, c in more.items())
     )
-    said = F.transform("reports", lambda r: keyed(r, cue=engagement_cue(r["narrative"]), hedges=hedges(r["narrative"])))
+    said = F.transform("reports", lambda r: keyed(r, cue=cue(r), hedges=hedged(r)))
     out = candidates.withColumn("_said", said)
     cues = F.transform(
         F.filter("_said", lambda x: x["cue"].isNotNull()),

@@ -6,31 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import location_tokens
+from .places_data import CITIES, COUNTRIES, OVERRIDES, REGIONS
 
 LOOKUP_SCHEMA = "key string, level string, country_code string, region_code string, city_name string, latitude double, longitude double, display_name string"
 OVERRIDE_SCHEMA = "location_text string, location_country_code string, lookup_key string, rationale string"
-#: Reference points for display. A fuller table is a parameter of the operators.
-PLACES = [
-    ("US", "country", "US", None, None, 39.8283, -98.5795, "United States"),
-    ("AZ|US", "region", "US", "AZ", None, 33.4484, -112.074, "Arizona, US"),
-    ("CA|US", "region", "US", "CA", None, 38.5816, -121.4944, "California, US"),
-    ("TX|US", "region", "US", "TX", None, 30.2672, -97.7431, "Texas, US"),
-    ("PHOENIX|AZ|US", "city", "US", "AZ", "Phoenix", 33.4484, -112.074, "Phoenix, Arizona"),
-    ("SAN FRANCISCO|CA|US", "city", "US", "CA", "San Francisco", 37.7749, -122.4194, "San Francisco, California"),
-]
-OVERRIDES = [
-    ("California, US", "US", "SAN FRANCISCO|CA|US", "stated as a state, known to be the city"),
-    ("somewhere", "US", None, "cannot be placed"),
-    (None, "US", "US", "country only"),
-]
-
-
-def lookup(spark: SparkSession, rows: list = PLACES) -> DataFrame:
+
+
+def _places() -> list[tuple]:
+    """Lookup rows with their keys: upper-case parts joined by a bar."""
+    names = {c: name for c, _, _, name in COUNTRIES}
+    rows = [(c, "country", c, None, None, la, lo, name) for c, la, lo, name in COUNTRIES]
+    rows += [(f"{r}|{c}", "region", c, r, None, la, lo, f"{name}, {c}") for r, c, la, lo, name in REGIONS]
+    for city, r, c, la, lo in CITIES:
+        key = "|".join(x for x in (city.upper(), r, c) if x)
+        rows.append((key, "city", c, r, city.upper(), la, lo, f"{city}, {r}, {c}" if r else f"{city}, {names[c]}"))
+    return rows
+
+
+PLACES = _places()
+
+
+def lookup(spark: SparkSession, rows=PLACES) -> DataFrame:
     return spark.createDataFrame(rows, LOOKUP_SCHEMA)
 
 
-def overrides(spark: SparkSession, rows: list = OVERRIDES) -> DataFrame:
-    return spark.createDataFrame(rows, OVERRIDE_SCHEMA)
+def overrides(spark: SparkSession, rows=OVERRIDES) -> DataFrame:
+    return spark.createDataFrame(list(rows), OVERRIDE_SCHEMA)
 
 
 def load_reference_data(rows: DataFrame) -> DataFrame:

@@ -164,6 +164,15 @@ def lacks_child(parents: DataFrame, children: DataFrame, key: str, child_key: st
     return parents.join(children.select(F.col(child_key).alias(key)), key, "left_anti")
 
 
+def target_set_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of an explicit list of ids, and no others; an id that comes twice or that no row has is an error."""
+    twice = ids.groupBy(key).count().filter("`count` > 1")
+    lost = ids.select(key).join(df.select(key), key, "left_anti")
+    if not (twice.isEmpty() and lost.isEmpty()):
+        raise ValueError("the list has ids twice, or ids that no row has")
+    return df.join(ids, key)
+
+
 def promotion_states(candidates: DataFrame, events: DataFrame, sources: DataFrame, records: DataFrame) -> DataFrame:
     """Records (candidate_id, slug, expected sources) with ``state``: A linked and whole, B nothing there yet, C neither."""
     n = sources.groupBy(F.col("event_slug").alias("slug")).agg(F.count(F.lit(1)).alias("have_sources"))

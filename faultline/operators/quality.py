@@ -50,8 +50,8 @@ class Check:
     message: Column | str
 
 
-def violations(df: DataFrame, key: str, checks: list[Check]) -> DataFrame:
-    """Failing checks of each row; a predicate that is null does not fail."""
+def with_violations(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """``df`` with ``violations``: an array of (rule, message) of the checks that a row fails; a null predicate does not fail."""
     found = [
         F.when(
             F.coalesce(c.fails, F.lit(False)),
@@ -62,8 +62,30 @@ def violations(df: DataFrame, key: str, checks: list[Check]) -> DataFrame:
         )
         for c in checks
     ]
-    long = F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return df.select(F.col(key).cast("string").alias("key"), long.alias("v")).select("key", "v.*")
+    return df.withColumn("violations", F.filter(F.array(*found), lambda x: x.isNotNull()))
+
+
+def exploded(checked: DataFrame, key: str) -> DataFrame:
+    """(key, rule, message) of rows with ``violations``."""
+    # Exploding an expression, not the column: Spark infers a filter from a column and copies all rules below.
+    each = F.explode(F.filter("violations", lambda x: x.isNotNull()))
+    long = checked.select(F.col(key).cast("string").alias("key"), each.alias("v"))
+    return long.select("key", "v.*")
+
+
+def sound(checked: DataFrame) -> DataFrame:
+    """Rows whose ``violations`` are empty, without that column.
+
+    A generator of one row or none drops the others: a filter would be pushed
+    below the labels and copy their rules into itself many times over.
+    """
+    one = F.explode(F.when(F.size("violations") == 0, F.array(F.lit(True))))
+    return checked.select("*", one.alias("_sound")).drop("_sound", "violations")
+
+
+def violations(df: DataFrame, key: str, checks: list[Check]) -> DataFrame:
+    """(key, rule, message): the failing checks of each row."""
+    return exploded(with_violations(df, checks), key)
 
 
 def said(text: str, *cols: Column) -> Column:
@@ -113,7 +135,7 @@ def missing_references(df: DataFrame, key: str, column: str, target: DataFrame,
     return lost.select(F.col(key).cast("string").alias("key"), F.lit(rule).alias("rule"), said(f"{column} not found: ", F.col(column)).alias("message"))
 
 
-def validate_drafts(drafts: DataFrame) -> DataFrame:
+def draft_checks(columns: list[str]) -> list[Check]:
     """Rules over classified candidates: vocabularies, precision, use of evidence, and attribution that evidence bears out."""
     c = F.col
     label = {f: c(f"{f}.value") for f in ("event_type", "valence", "automation_status", "causation_status")}
@@ -164,12 +186,19 @@ def validate_drafts(drafts: DataFrame) -> DataFrame:
             for f in ("event_type", "valence")
         ),
     ]
-    found = violations(drafts, "candidate_id", checks)
     for rule, names in (("4", NEVER_IN_DRAFTS), ("12-13", NEVER_PUBLIC_IN_DRAFTS)):
-        for n in names:
-            if n in drafts.columns:
-                found = found.unionByName(violations(drafts, "candidate_id", [Check(rule, F.lit(True), f"drafts carry no {n}")]))
-    return found
+        checks += [Check(rule, F.lit(True), f"drafts carry no {n}") for n in names if n in columns]
+    return checks
+
+
+def with_draft_violations(drafts: DataFrame) -> DataFrame:
+    """Drafts with what they fail as ``violations``."""
+    return with_violations(drafts, draft_checks(drafts.columns))
+
+
+def validate_drafts(drafts: DataFrame) -> DataFrame:
+    """(key, rule, message) of all drafts that fail a rule."""
+    return exploded(with_draft_violations(drafts), "candidate_id")
 
 
 def hedges_carried(evidence: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -382,6 +411,13 @@ def corpus_invariants(events: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def count_differences(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """(name, actual, expected) of counts (name, n) that differ, or that one side lacks."""
+    a, e = (df.select("name", F.col("n").alias(k)) for df, k in ((actual, "actual"), (expected, "expected")))
+    both = a.join(e, "name", "full_outer")
+    return both.filter(~F.col("actual").eqNullSafe(F.col("expected"))).select("name", "actual", "expected")
+
+
 def assert_counts(actual: dict[str, int], expected: dict[str, int]) -> None:
     """Raise when a count differs from the approved one."""
     off = {k: (actual.get(k), v) for k, v in expected.items() if actual.get(k) != v}

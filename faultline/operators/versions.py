@@ -27,10 +27,14 @@ def placeholder_counts(raw: DataFrame) -> DataFrame:
 
 
 def split_malformed_versions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with an id and a version of digits, trimmed and with numeric ``version``; and the rest as they came."""
+    """Rows with an id and a version of digits, trimmed and with numeric ``version``; and the rest as they came.
+
+    A version that no long holds (above 18 digits, zeros in front apart) is
+    malformed, so it shows up among the rest and never loses in silence.
+    """
     report, text = trim_or_null(F.col("report_id")), trim_or_null(F.col("report_version"))
-    good = F.coalesce(report.isNotNull() & F.regexp_like(text, F.lit("^[0-9]+$")), F.lit(False))
-    kept = raw.filter(good).withColumn("report_id", report).withColumn("version", F.try_to_number(text, F.lit("9" * 18)).cast("long"))
+    good = F.coalesce(report.isNotNull() & F.regexp_like(text, F.lit("^0*[0-9]{1,18}$")), F.lit(False))
+    kept = raw.filter(good).withColumn("report_id", report).withColumn("version", text.try_cast("long"))
     return kept, raw.filter(~good)
 
 

@@ -7,9 +7,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
+from ..operators import geo
 from . import pipelines
 
-RAW_REPORTS = """
+#: Sentences of our own; each rule of the evidence fires on some and not on others. None: no narrative.
+NARRATIVES = (
+    "The Level 4 ADS was engaged. A pickup truck made contact with the rear of the Waymo AV.",
+    "The test driver disengaged L3 ADS. The AV made contact with a curb.",
+    "GM is submitting a duplicate report solely to avoid doubt under the Standing General Order and has not investigated the alleged incident.",
+    "A car ran a red light and entered the AV's lane of travel.",
+    "Following the contact, the safety driver assumed control of the vehicle.",
+    "The teleoperator took over and the AV made contact with a fence.",
+    "A passenger in the Waymo AV then opened the rear driver side door.",
+    "A sedan struck a van, the van collided with a bus, and the bus rear-ended the AV.",
+    "The AV made no contact with the debris. It may have slowed.",
+    "The AV was traveling in autonomous mode, braked and came to a stop. A cyclist made contact with the stopped AV.",
+    "The driver took manual control, then the ADS was engaged in autonomous mode.",
+    None,
+    "A fire engine with lights and sirens was responding to a call and made contact with the AV.",
+    "The AV slowed for debris and did not touch it. A passenger vehicle behind met another passenger vehicle, which sustained damage.",
+    "The ADS began a lane change and the driver took over before the AV made contact with a pole.",
+    "The rider alleged minor injury after the AV stopped.",
+    "The other driver reportedly left. It is not clear which lane they were in.",
+    "A deer ran out; the AV braked and reduced speed.",
+    "The AV was in manual mode when it made a left turn.",
+    "A passenger in the other vehicle opened the rear left door.",
+    "The operator became aware of the event and began a review. The ADS was not engaged.",
+    "A sedan crossed the double yellow line and entered the AV's lane.",
+    "A pickup truck struck the stopped AV near a planter.",
+    "The AV, operating in autonomous mode, made contact with a gate.",
+)
+N_NARRATIVES = len(NARRATIVES)
+NARRATIVE_CASES = " ".join(
+    "WHEN {} THEN '{}'".format(i, t.replace("'", "''")) for i, t in enumerate(NARRATIVES) if t
+)
+
+RAW_REPORTS = f"""
 WITH n AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, o_orderdate, s_name, s_nationkey,
          row_number() OVER (PARTITION BY l_orderkey
@@ -20,7 +53,7 @@ SELECT
   CASE WHEN l_orderkey % 2 = 0 THEN 'historical' ELSE 'current' END AS generation,
   l_orderkey * 100 + seq AS src_ord,
   CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey % 2 AS STRING) AS report_id,
-  CASE WHEN seq = 9 THEN 'draft' ELSE CAST(seq AS STRING) END AS report_version,
+  CASE WHEN seq = 9 THEN 'draft' WHEN seq = 8 THEN '99999999999999999999' ELSE CAST(seq AS STRING) END AS report_version,
   CASE WHEN l_suppkey % 40 = 0 THEN 'No New or Updated Incident Reports' ELSE 'Incident' END AS report_type,
   CASE WHEN l_orderkey % 50 < 2 THEN ' ' ELSE 'I' || CAST(l_orderkey - l_orderkey % 2 AS STRING) END AS same_incident_id,
   s_name AS reporting_entity,
@@ -35,28 +68,26 @@ SELECT
   CASE s_nationkey % 5 WHEN 0 THEN 'AZ' WHEN 3 THEN 'TX' ELSE 'CA' END AS state,
   CASE l_suppkey % 5 WHEN 0 THEN 'Verified Engaged' WHEN 1 THEN 'Verified Not Engaged' WHEN 2 THEN 'Alleged Engaged'
        WHEN 3 THEN 'Unknown - see Narrative' ELSE NULL END AS engagement_status,
-  CASE l_partkey % 7 WHEN 0 THEN 'Animal' WHEN 1 THEN 'Non-Motorist: Cyclist' WHEN 2 THEN 'First Responder Vehicle'
-       WHEN 3 THEN 'Other, see Narrative' WHEN 4 THEN NULL ELSE 'Passenger Car' END AS crash_with,
+  CASE l_partkey % 9 WHEN 0 THEN 'Animal' WHEN 1 THEN 'Non-Motorist: Cyclist' WHEN 2 THEN 'First Responder Vehicle'
+       WHEN 3 THEN 'Other, see Narrative' WHEN 4 THEN NULL WHEN 5 THEN 'Non-Motorist: Pedestrian' WHEN 6 THEN 'Other Fixed Object'
+       ELSE 'Passenger Car' END AS crash_with,
   CASE l_suppkey % 4 WHEN 0 THEN 'Stopped' WHEN 1 THEN 'Parked' WHEN 2 THEN 'Making Left Turn' ELSE NULL END AS sv_movement,
   CASE l_partkey % 3 WHEN 0 THEN 'Proceeding Straight' WHEN 1 THEN 'Changing Lanes' ELSE NULL END AS cp_movement,
   CASE l_partkey % 4 WHEN 0 THEN 'No Injuries Reported' WHEN 1 THEN 'Minor' ELSE NULL END AS injury,
-  CASE (l_partkey + l_suppkey) % 12
-    WHEN 0 THEN 'The Level 4 ADS was engaged. A pickup truck made contact with the rear of the Waymo AV.'
-    WHEN 1 THEN 'The test driver disengaged L3 ADS. The AV made contact with a curb.'
-    WHEN 2 THEN 'GM is submitting a duplicate report solely to avoid doubt under the Standing General Order and has not investigated the alleged incident.'
-    WHEN 3 THEN 'A car ran a red light and entered the AV''s lane of travel.'
-    WHEN 4 THEN 'Following the contact, the safety driver assumed control of the vehicle.'
-    WHEN 5 THEN 'The teleoperator took over and the AV made contact with a fence.'
-    WHEN 6 THEN 'A passenger in the Waymo AV then opened the rear driver side door.'
-    WHEN 7 THEN 'A sedan struck a van, the van collided with a bus, and the bus rear-ended the AV.'
-    WHEN 8 THEN 'The AV made no contact with the debris. It may have slowed.'
-    WHEN 9 THEN 'The AV was traveling in autonomous mode, braked and came to a stop. A cyclist made contact with the stopped AV.'
-    WHEN 10 THEN 'The driver took manual control, then the ADS was engaged in autonomous mode.'
-    ELSE NULL END AS narrative
+  CASE (l_partkey + l_suppkey) % {N_NARRATIVES} {NARRATIVE_CASES} END AS narrative
 FROM n
 """
 
 
+#: Besides the classified texts, some that the fixture's curated events have.
+OVERRIDES = (
+    *geo.OVERRIDES,
+    ("CA, US", "US", "SAN FRANCISCO|CA|US", "stated as a state, known to be the city"),
+    ("Phoenix, AZ, US", "US", "AZ|US", "known to be elsewhere in the state"),
+    ("Kingwood, TX, US", "US", None, "known to be wrong"),
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,22 +106,33 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.normalize(candidates(spark, sf_dir))
+    return pipelines.drafts_of(raw_reports(spark, sf_dir))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(events, sources) of all drafts as a catalogue: three in four public, one in four curated, all titled.
+def events(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    """All drafts as titled events of a catalogue: three in four public, one in four curated.
 
-    The drafts are kept (spilling to disk), because most queries read them on
-    several branches; an executor that is lost only has its part made again.
+    Not kept, a query computes only what it reads. Kept (spilling to disk), the
+    narrow rows are computed once for queries that read them on several
+    branches; an executor that is lost only has its part made again.
     """
-    d = drafts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    e = ev.titled(ev.to_event(drafts(spark, sf_dir)))
     digit = F.conv(F.substring("slug", 7, 1), 16, 10).cast("int")
-    e = ev.titled(ev.to_event(d)).withColumns(
+    e = e.withColumns(
         {
             "is_public": digit % 4 != 0,
             "origin": F.when(digit >= 12, "curated").otherwise("source-derived"),
             "first_published_at": F.lit(None).cast("timestamp"),
         }
     )
-    return e, ev.to_event_source(d)
+    return e.persist(StorageLevel.MEMORY_AND_DISK) if keep else e
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source rows of all candidates; no classification is needed for them."""
+    return ev.to_event_source(candidates(spark, sf_dir))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(events, sources), the events kept."""
+    return events(spark, sf_dir, keep=True), sources(spark, sf_dir)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..functions.text import MARKED, PLAIN
 from ..operators import dictionary, evidence, geo, quality
 from ..operators import rules_data as R
 from ..operators.consolidate import EVENT_WORDS, FILING_PHRASES, MIRRORED
 from ..operators.events import EVENT_TYPE_LABELS
-from .fixtures import RAW_REPORTS
+from .fixtures import OVERRIDES, RAW_REPORTS
 
 
 def text(s: str | None) -> str:
@@ -47,7 +48,7 @@ def chain(rules: list[tuple[str, str]], default: str) -> str:
 
 
 ADMIN = "'No New or Updated Incident Reports'"
-GOOD = "regexp_full_match(trim(report_version), '[0-9]+')"
+GOOD = "regexp_full_match(trim(report_version), '0*[0-9]{1,18}')"
 LATEST = f"""
 raw AS ({RAW_REPORTS}),
 good AS (SELECT *, CAST(trim(report_version) AS BIGINT) AS version FROM raw
@@ -217,7 +218,7 @@ qa AS (SELECT 'public' AS rule FROM be WHERE is_public UNION ALL SELECT 'enum:va
   UNION ALL SELECT 'duplicate-external-id' FROM twice UNION ALL SELECT 'no-source' FROM bare)
 """
 PLACES = f"places(key, level, country_code, region_code, city_name, latitude, longitude, display_name) AS (VALUES {rows(geo.PLACES)})"
-OVER = f"over(location_text, location_country_code, lookup_key, rationale) AS (VALUES {rows(geo.OVERRIDES)})"
+OVER = f"over(location_text, location_country_code, lookup_key, rationale) AS (VALUES {rows(OVERRIDES)})"
 MAP = f"""{CORPUS}, {PLACES}, {OVER},
 tokens AS (SELECT slug, event_type, valence, developer_or_operator, location_country_code AS cc,
   CASE WHEN location_text LIKE '%,%,%' THEN upper(trim(split_part(location_text, ',', 1))) END AS ct,
@@ -240,7 +241,14 @@ tgt AS (SELECT * FROM reports WHERE first_ord % 3 <> 0),
 src AS (SELECT * REPLACE (report_version + CASE WHEN first_ord % 5 = 0 THEN 1 ELSE 0 END AS report_version,
   CASE WHEN first_ord % 7 = 0 THEN 'Elsewhere' ELSE city END AS city) FROM reports)
 """
+def slug_base_sql(c: str) -> str:
+    plain = f"translate(lower({c}), '{MARKED}', '{PLAIN}')"
+    plain = f"regexp_replace(regexp_replace({plain}, '([a-z0-9])[''’`´]s\\b', '\\1', 'g'), '[''’`´]', '', 'g')"
+    return f"regexp_replace({SLUGIFY.format(plain)}, '^(?:a|an|the)-', '')"
+
+
 SLUGIFY = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+KEPT = f"A-Za-z0-9{MARKED}{MARKED.upper()}"
 URL_KEY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '^www\\.', ''), '[?#].*$', ''), '/+$', '')"
 CAND_COLS = ", ".join(["c.candidate_id", "same_incident_id", *MIRRORED, "incident_date_precision", "country_code", "narrative"])
 
@@ -308,10 +316,13 @@ ORACLE: dict[str, str] = {
     "m2_merge_candidates": w(CANDIDATES, """, x AS (SELECT same_incident_id, state, CAST(substr(same_incident_id, 2) AS BIGINT) AS n FROM cand WHERE same_incident_id IS NOT NULL)
         SELECT same_incident_id, CASE WHEN n % 8 = 0 AND (n % 3 = 0 OR n % 4 <> 0) THEN 'NV' ELSE state END AS state, CASE WHEN n % 3 <> 0 AND n % 4 = 0 THEN 'approved' ELSE 'pending' END AS status,
         CASE WHEN n % 3 = 0 THEN 'insert' WHEN n % 4 = 0 THEN 'frozen' ELSE 'noop' END AS action FROM x""").replace("\n, x AS", ", x AS"),
-    "m3_merge_singletons": w(CANDIDATES, "SELECT 'insert' AS action, count(*) AS n FROM cand WHERE same_incident_id IS NULL"),
+    "m3_merge_singletons": w(CANDIDATES, """, x AS (SELECT city, CAST('0x' || substr(md5(candidate_id), 1, 1) AS INT) AS d FROM cand WHERE same_incident_id IS NULL)
+        SELECT CASE WHEN d % 2 = 1 THEN 'insert' WHEN d % 8 = 0 THEN 'frozen' WHEN d % 4 = 0 AND city IS DISTINCT FROM 'Elsewhere' THEN 'update' ELSE 'noop' END AS action,
+        CASE WHEN d % 2 = 0 AND d % 8 = 0 THEN 'approved' ELSE 'pending' END AS status, count(*) AS n FROM x GROUP BY ALL""").replace("\n, x AS", ", x AS"),
     "m7_publish": w(CORPUS, "SELECT slug, CASE WHEN substr(slug, 6 + 0, 1) < '8' THEN title END AS title, substr(slug, 6, 1) < '8' AS is_public, CASE WHEN substr(slug, 6, 1) < '8' THEN 'update' ELSE 'noop' END AS action, substr(slug, 6, 1) < '8' AS stamped FROM events"),
-    "m9_upsert": """SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 = 0 THEN 'renamed' ELSE p_name END AS p_name,
-        CASE WHEN p_partkey % 3 = 0 THEN 'insert' WHEN p_partkey % 5 <> 0 AND p_partkey % 7 = 0 AND p_name <> 'renamed' THEN 'update' ELSE 'noop' END AS action FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 5 <> 0""",
+    "m9_upsert": """WITH x AS (SELECT *, p_partkey % 3 = 0 OR p_partkey % 5 <> 0 AS sourced, p_partkey % 7 = 0 AS renamed FROM part)
+        SELECT p_partkey, CASE WHEN sourced AND renamed THEN 'renamed' ELSE p_name END AS p_name,
+        CASE WHEN p_partkey % 3 = 0 THEN 'insert' WHEN sourced AND renamed AND p_name <> 'renamed' THEN 'update' ELSE 'noop' END AS action FROM x""",
     "m10_delete": w(CORPUS, "SELECT (SELECT count(*) FROM events WHERE substr(slug, 6, 1) <> '0') AS events, (SELECT count(*) FROM sources WHERE substr(event_slug, 6, 1) <> '0') AS sources, (SELECT count(*) FROM events WHERE substr(slug, 6, 1) <> '0') AS links"),
     "m11_backfill": w(CORPUS, f", {PLACES}, {OVER} SELECT slug, CASE WHEN origin = 'curated' AND p.level IS NOT NULL THEN p.level ELSE 'unknown' END AS location_precision, CASE WHEN origin = 'curated' AND p.level IS NOT NULL THEN 'update' ELSE 'noop' END AS action FROM events e LEFT JOIN (SELECT o.*, level FROM over o JOIN places ON key = lookup_key) p ON e.location_text IS NOT DISTINCT FROM p.location_text AND e.location_country_code IS NOT DISTINCT FROM p.location_country_code").replace("\n, places", ", places"),
     "m13_submissions": "SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'accepted' ELSE 'pending' END AS status, CASE WHEN page_id % 9 = 0 THEN 'known' WHEN page_id % 3 = 0 THEN 'submission-' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) END AS linked_event_id FROM pages",
@@ -322,7 +333,7 @@ ORACLE: dict[str, str] = {
     "j3_classify_writes": w(SNAP, "SELECT CASE WHEN t.report_id IS NULL THEN 'insert' WHEN s.report_version <> t.report_version THEN 'update' ELSE 'noop' END AS action, count(*) AS n FROM src s LEFT JOIN tgt t ON s.reporting_generation = t.reporting_generation AND s.report_id = t.report_id GROUP BY 1"),
     "j6_children": "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents",
     "j9_snapshot_diff": w(SNAP, ", x AS (SELECT t.reporting_generation || ':' || t.report_id AS k, concat_ws(',', CASE WHEN s.report_version <> t.report_version THEN 'report_version' END, CASE WHEN s.city IS DISTINCT FROM t.city THEN 'city' END) AS changed FROM src s JOIN tgt t ON s.reporting_generation = t.reporting_generation AND s.report_id = t.report_id) SELECT * FROM x WHERE changed <> ''").replace("\n, x AS", ", x AS"),
-    "u3_set_difference": "WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0) SELECT o_custkey, 'left' AS side FROM a WHERE o_custkey NOT IN (SELECT * FROM b) UNION ALL SELECT o_custkey, 'right' FROM b WHERE o_custkey NOT IN (SELECT * FROM a)",
+    "u3_set_difference": "WITH a AS (SELECT c_custkey AS custkey FROM customer), b AS (SELECT DISTINCT CASE WHEN o_custkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS custkey FROM orders) SELECT custkey, 'left' AS side FROM a WHERE custkey NOT IN (SELECT custkey FROM b) UNION ALL SELECT custkey, 'right' FROM b WHERE custkey NOT IN (SELECT custkey FROM a)",
     "w3_event_map": w(MAP, "SELECT * FROM points"),
     "a16_resolution_report": w(MAP, "SELECT origin, count(*) FILTER (resolved_level = 'city') AS city, count(*) FILTER (resolved_level = 'region') AS region, count(*) FILTER (resolved_level = 'country') AS country, count(*) FILTER (resolved_level IS NULL) AS unmapped, count(*) FILTER (location_precision = 'city' AND resolved_level IN ('region', 'country') OR location_precision = 'region' AND resolved_level = 'country') AS coarser_than_stated FROM events e LEFT JOIN points p ON e.slug = p.slug WHERE is_public GROUP BY origin"),
     "a17_before_after": w(CORPUS, f", {PLACES}, {OVER}, x AS (SELECT CASE WHEN origin = 'curated' AND p.level IS NOT NULL THEN p.level ELSE 'unknown' END AS a FROM events e LEFT JOIN (SELECT o.*, level FROM over o JOIN places ON key = lookup_key) p ON e.location_text IS NOT DISTINCT FROM p.location_text AND e.location_country_code IS NOT DISTINCT FROM p.location_country_code) SELECT v AS value, CASE WHEN v = 'unknown' THEN (SELECT count(*) FROM x) ELSE 0 END AS before, (SELECT count(*) FROM x WHERE a = v) AS after, CASE WHEN v = 'unknown' THEN (SELECT count(*) FROM x WHERE a <> 'unknown') ELSE 0 END AS changed FROM (SELECT DISTINCT a AS v FROM x UNION SELECT 'unknown')").replace("\n, places", ", places"),
@@ -337,6 +348,15 @@ ORACLE: dict[str, str] = {
     "a11_valence_stats": w(CORPUS, "SELECT count(*) AS total, count(*) FILTER (valence = 'failure-or-challenging') AS failure_or_challenging, count(*) FILTER (valence = 'successful-handling') AS successful_handling, count(*) FILTER (valence = 'neutral-or-unclear') AS neutral_or_unclear FROM events"),
     "a18_cube": "SELECT c_mktsegment AS collection, o_orderstatus AS decision, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY CUBE (c_mktsegment, o_orderstatus)",
     "p12_hash_slugs": f"SELECT p_partkey, 'nhtsa-' || substr(md5(p_name), 1, 8) AS slug, {SLUGIFY.format('p_name')} AS plain FROM part",
+    "p18_title_slugs": f"""WITH t AS (SELECT doc_id, regexp_extract(text, '^(?:[^{KEPT}]*[{KEPT}]){{0,200}}[^{KEPT}]?') AS t FROM documents),
+        b AS (SELECT *, {slug_base_sql("t")} AS f,
+          list_filter(list_transform(list_filter(range(1, greatest(length(t), 1)), lambda i: regexp_matches(t[i + 1], '^[;:,–—]$') OR t[i + 1] = '.' AND regexp_full_match(t[i + 2], '\\s?')),
+            lambda i: {slug_base_sql("t[1:i]")}), lambda s: length(s) BETWEEN 24 AND 80) AS c FROM t),
+        m AS (SELECT *, list_sort(list_transform(c, lambda s: {{'n': length(s), 's': s}}), 'DESC')[1].s AS best, regexp_extract(f, '^(.{{1,79}})-', 1) AS cut FROM b),
+        s AS (SELECT doc_id, CASE WHEN length(f) <= 80 THEN f WHEN best IS NOT NULL THEN best WHEN cut = '' THEN f[1:80] ELSE regexp_replace(cut, '-+$', '') END AS slug,
+          CASE WHEN length(f) <= 80 THEN 'full' WHEN best IS NOT NULL THEN 'clause-cut' ELSE 'word-truncated' END AS method FROM m),
+        k AS (SELECT *, count(*) OVER (PARTITION BY slug) > 1 OR slug = 'none' AS held FROM s)
+        SELECT doc_id AS legacy_id, CASE WHEN held THEN slug || '-' || doc_id ELSE slug END AS slug, CASE WHEN held THEN method || '+disambiguated' ELSE method END AS method FROM k""",
     "p19_part_slugs": f"WITH s AS (SELECT p_partkey, {SLUGIFY.format('p_name')} AS raw FROM part), k AS (SELECT *, count(*) OVER (PARTITION BY raw) AS n FROM s) SELECT p_partkey AS legacy_id, CASE WHEN n > 1 THEN raw || '-' || p_partkey ELSE raw END AS slug, CASE WHEN n > 1 THEN 'full+disambiguated' ELSE 'full' END AS method FROM k",
     "p20_urls": f"SELECT page_id, {URL_KEY} AS url_key FROM pages",
     "p22_url_lines": "SELECT page_id, 3::BIGINT AS lines, url || ' https://a.example/x' AS hrefs FROM pages",

@@ -20,16 +20,21 @@ def build_incidents(raw: DataFrame) -> DataFrame:
     return consolidate.build_candidates(latest_reports(raw))
 
 
+def drafts_of(raw: DataFrame) -> DataFrame:
+    """Raw rows to classified drafts; narratives are read before the reports are grouped."""
+    return normalize(consolidate.build_candidates(evidence.marked_reports(latest_reports(raw))))
+
+
 def normalize(candidates: DataFrame) -> DataFrame:
     """Candidates to classified drafts: narrow work only."""
     return classify.classify(evidence.extract_evidence(candidates))
 
 
 def records(drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, sources, violations) of drafts; drafts with violations give no event."""
-    found = quality.validate_drafts(drafts)
-    good = drafts.join(found.select(F.col("key").alias("candidate_id")), "candidate_id", "left_anti")
-    return events.to_event(good), events.to_event_source(good), found
+    """(events, sources, violations) of drafts; drafts with violations give no event. Each is one narrow pass."""
+    checked = quality.with_draft_violations(drafts)
+    good = quality.sound(checked)
+    return events.to_event(good), events.to_event_source(good), quality.exploded(checked, "candidate_id")
 
 
 def catalogue_page(corpus: DataFrame, names: DataFrame, number=1, size: int = catalogue.PAGE_SIZE, **facets) -> dict:
@@ -81,7 +86,7 @@ def exception_report(found: DataFrame) -> DataFrame:
 def curated_import(records: DataFrame, existing: DataFrame, overrides: DataFrame, target: DataFrame) -> dict:
     """Imports of a manifest: checked, given slugs, and upserted."""
     found = quality.manifest_violations(records, existing)
-    imports = records.filter("decision = 'import'")
+    imports = catalogue.select_imports(records)
     slugs = dedupe.title_slugs(imports, "proposed_title", existing, overrides)
     rows = slugs.select(*(c for c in target.columns if c in slugs.columns))
     return {"violations": found, "slugs": slugs, "events": merge.upsert_by_key(target, rows, ["slug"])}

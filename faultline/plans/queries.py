@@ -153,7 +153,7 @@ def p15_event_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p16_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.corpus(spark, sf)[0].select("slug", "title")
+    return fixtures.events(spark, sf).select("slug", "title")
 
 
 def v1_draft_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,18 +253,28 @@ def m2_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m3_merge_singletons(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports without an incident: half are linked to a candidate from before, of which half have other data, half of those reviewed."""
     c = fixtures.candidates(spark, sf).filter("same_incident_id is null")
     k = F.get("report_keys", F.lit(0))
     source = c.withColumns({"reporting_generation": k["generation"], "report_id": k["report_id"]}).drop("reports", "report_keys", "disagreements")
-    reports = pipelines.latest_reports(fixtures.raw_reports(spark, sf)).withColumn("candidate_id", F.lit(None).cast("string"))
-    target = source.drop("reporting_generation", "report_id").limit(0)
-    return merge.merge_singletons(target, reports, source).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    digit = F.conv(F.substring(F.md5("candidate_id"), 1, 1), 16, 10).cast("int")
+    old = source.filter(digit % 2 == 0).withColumns(
+        {
+            "city": F.when(digit % 4 == 0, F.lit("Elsewhere")).otherwise(F.col("city")),
+            "status": F.when(digit % 8 == 0, F.lit("approved")).otherwise(F.lit("pending")),
+        }
+    )
+    links = old.select("reporting_generation", "report_id", "candidate_id")
+    reports = pipelines.latest_reports(fixtures.raw_reports(spark, sf)).join(links, ["reporting_generation", "report_id"], "left")
+    out = merge.merge_singletons(old.drop("reporting_generation", "report_id"), reports, source)
+    return out.groupBy("action", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def m9_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """All parts on one side or both: two of three in the target, and in the source those that it lacks and four of five others."""
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     target = p.filter("p_partkey % 3 <> 0")
-    source = p.filter("p_partkey % 5 <> 0").withColumn("p_name", F.when(F.col("p_partkey") % 7 == 0, "renamed").otherwise(F.col("p_name")))
+    source = p.filter("p_partkey % 3 = 0 or p_partkey % 5 <> 0").withColumn("p_name", F.when(F.col("p_partkey") % 7 == 0, "renamed").otherwise(F.col("p_name")))
     return merge.upsert_by_key(target, source, ["p_partkey"])
 
 
@@ -279,7 +289,7 @@ def m10_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m7_publish(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
+    e = fixtures.events(spark, sf)
     e = e.withColumn("is_public", F.lit(False))
     batch = e.filter(F.substring("slug", 6, 1) < "8").select("slug", "title")
     out = merge.publish(e.withColumn("title", F.lit(None).cast("string")), batch, "2026-09-10 00:00:00")
@@ -287,9 +297,9 @@ def m7_publish(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m11_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
+    e = fixtures.events(spark, sf)
     e = e.withColumns({"location_precision": F.lit("unknown")})
-    return merge.backfill_where_unknown(e, geo.overrides(spark), geo.lookup(spark)).select("slug", "location_precision", "action")
+    return merge.backfill_where_unknown(e, geo.overrides(spark, fixtures.OVERRIDES), geo.lookup(spark)).select("slug", "location_precision", "action")
 
 
 def m13_submissions(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,8 +358,10 @@ def j6_children(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def u3_set_difference(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
-    return merge.set_difference(o.filter("o_orderkey % 2 = 0").select("o_custkey"), o.filter("o_orderkey % 3 = 0").select("o_custkey"))
+    """Customers, and customers with orders: those that one side lacks; some orders name a customer that is not there."""
+    k = F.col("o_custkey")
+    named = table(spark, sf, "orders").select(F.when(k % 7 == 0, -k).otherwise(k).alias("custkey"))
+    return merge.set_difference(table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey")), named)
 
 
 def v10_transitions(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,51 +387,51 @@ def v11_submissions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w3_event_map(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
-    return geo.event_map(e, geo.overrides(spark), geo.lookup(spark))
+    e = fixtures.events(spark, sf, keep=True)
+    return geo.event_map(e, geo.overrides(spark, fixtures.OVERRIDES), geo.lookup(spark))
 
 
 def a16_resolution_report(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
-    return geo.resolution_report(e, geo.event_map(e, geo.overrides(spark), geo.lookup(spark)))
+    e = fixtures.events(spark, sf, keep=True)
+    return geo.resolution_report(e, geo.event_map(e, geo.overrides(spark, fixtures.OVERRIDES), geo.lookup(spark)))
 
 
 def a17_before_after(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
+    e = fixtures.events(spark, sf, keep=True)
     before = e.withColumn("location_precision", F.lit("unknown"))
-    after = merge.backfill_where_unknown(before, geo.overrides(spark), geo.lookup(spark))
+    after = merge.backfill_where_unknown(before, geo.overrides(spark, fixtures.OVERRIDES), geo.lookup(spark))
     return geo.before_after(before, after, "slug", "location_precision")
 
 
 def w5_map_query(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
-    return pipelines.map_query(e, geo.overrides(spark), geo.lookup(spark), dictionary.names(spark), BOX, valence="neutral-or-unclear", name="Waymo")
+    e = fixtures.events(spark, sf, keep=True)
+    return pipelines.map_query(e, geo.overrides(spark, fixtures.OVERRIDES), geo.lookup(spark), dictionary.names(spark), BOX, valence="neutral-or-unclear", name="Waymo")
 
 
 def j10_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
+    e = fixtures.events(spark, sf)
     return dictionary.canonicalise(e, dictionary.names(spark)).select("slug", "canonical")
 
 
 def a12_facets(spark: SparkSession, sf: str) -> DataFrame:
-    return dictionary.facet_options(fixtures.corpus(spark, sf)[0], dictionary.names(spark))
+    return dictionary.facet_options(fixtures.events(spark, sf), dictionary.names(spark))
 
 
 def a13_canonical_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return dictionary.canonical_counts(fixtures.corpus(spark, sf)[0], dictionary.names(spark))
+    return dictionary.canonical_counts(fixtures.events(spark, sf), dictionary.names(spark))
 
 
 def a14_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return dictionary.dictionary_coverage(dictionary.names(spark), fixtures.corpus(spark, sf)[0])
+    return dictionary.dictionary_coverage(dictionary.names(spark), fixtures.events(spark, sf, keep=True))
 
 
 def f3_filter_events(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
+    e = fixtures.events(spark, sf)
     return dictionary.filter_events(e, dictionary.names(spark), "collision", "neutral-or-unclear", "WAYMO LLC").select("slug")
 
 
 def f5_filter_raw(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
+    e = fixtures.events(spark, sf, keep=True)
     return dictionary.filter_raw_in(e, dictionary.names(spark), "Waymo").select("slug", "developer_or_operator")
 
 
@@ -436,7 +448,7 @@ def s7_read_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a11_valence_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return catalogue.valence_stats(fixtures.corpus(spark, sf)[0])
+    return catalogue.valence_stats(fixtures.events(spark, sf))
 
 
 def a18_cube(spark: SparkSession, sf: str) -> DataFrame:
@@ -455,7 +467,7 @@ def p12_hash_slugs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p18_title_slugs(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("legacy_id"), F.substring("text", 1, 120).alias("title"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("legacy_id"), F.col("text").alias("title"))
     none = spark.createDataFrame([("none",)], "slug string")
     return dedupe.title_slugs(d, "title", none).select("legacy_id", "slug", "method")
 
@@ -490,9 +502,9 @@ def j13_frozen_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d1_duplicate_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    e, _ = fixtures.corpus(spark, sf)
+    e = fixtures.events(spark, sf, keep=True)
     return dedupe.duplicate_tiers(
-        e.select(F.col("slug").alias("id"), F.lit(None).cast("string").alias("url"), F.col("developer_or_operator").alias("operator"),
+        e.select(F.col("slug").alias("id"), F.concat(F.lit("https://www.example.org/r/"), F.substring("slug", 8, 4), F.lit("/?from=feed")).alias("url"), F.col("developer_or_operator").alias("operator"),
                  "occurred_on", F.col("location_text").alias("place"), "event_type", "title")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,20 +13,34 @@ from ..operators.catalogue import nested_sources
 CORRUPT = "_corrupt"
 
 
-def read_generation(spark: SparkSession, path: str, generation: str, columns: list[str], strict: bool = True) -> DataFrame:
-    """Rows of a quoted CSV with a header, all text, with ``generation`` and ``src_ord``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; a new local one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+def read_generation(
+    spark: SparkSession, path: str, generation: str, columns: list[str], strict: bool = True, multiline: bool = True
+) -> DataFrame:
+    """Rows of quoted CSV files with a header, all text, with ``generation`` and ``src_ord``.
 
     Quoted commas, line breaks, doubled quotes and a byte-order mark are read
     as they should. A short row is padded with nulls. A row with more fields
     than the header is an error if ``strict``, and dropped otherwise: Spark
     marks short and long rows alike, and only a long one has a last column.
+    A file whose fields hold line breaks can't be split, so it is one task;
+    without such fields, ``multiline=False`` lets Spark split it.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, CORRUPT)])
     rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -36,13 +52,28 @@ def read_generation(spark: SparkSession, path: str, generation: str, columns: li
         bad = rows.select(F.when(long, F.lit(1)).alias("bad")).filter("bad = 1").limit(1).count()
         if bad:
             raise ValueError(f"{path}: a row has more fields than the header")
-    kept = rows.filter(~long).drop(CORRUPT)
-    return with_source_order(kept.withColumn("generation", F.lit(generation)))
+    kept = with_source_order(rows).filter(~long).drop(CORRUPT)
+    return kept.withColumn("generation", F.lit(generation))
 
 
 def with_source_order(df: DataFrame) -> DataFrame:
-    """Adds ``src_ord``, which follows the order of the input; call it right at the scan."""
-    return df.withColumn("src_ord", F.monotonically_increasing_id())
+    """Adds ``src_ord``, which follows the order of the input: files by path, then rows as they stand. Call it right at the scan.
+
+    Spark packs files and parts of files into tasks by size. A task reads a
+    part in order, so a part's place in its file and the row's in the task
+    order all rows: twice the place, because a part has fewer rows than bytes.
+    """
+    files = sorted(df.inputFiles())
+    if len(files) > 1 << 20:
+        raise ValueError("more than 2**20 files")
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "_n long, _file string")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    at = F.col("_metadata.file_block_start") * 2 + row
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), at.alias("_at"))
+    numbered = placed.join(F.broadcast(numbers), "_file", "left")
+    missing = F.raise_error(F.lit("a row of a file that the table does not list"))
+    order = F.coalesce("_n", missing.cast("long")) * F.lit(1 << 43) + F.col("_at")
+    return numbered.select(*df.columns, order.alias("src_ord"))
 
 
 def with_raw_row(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
