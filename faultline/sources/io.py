@@ -63,13 +63,13 @@ def with_source_order(df: DataFrame) -> DataFrame:
     part in order, so a part's place in its file and the row's in the task
     order all rows: twice the place, because a part has fewer rows than bytes.
     """
-    files = sorted(df.inputFiles())
+    files = sorted(f.replace(":///", ":/") for f in df.inputFiles())
     if len(files) > 1 << 20:
         raise ValueError("more than 2**20 files")
     numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "_n long, _file string")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     at = F.col("_metadata.file_block_start") * 2 + row
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), at.alias("_at"))
+    placed = df.select("*", F.replace("_metadata.file_path", F.lit(":///"), F.lit(":/")).alias("_file"), at.alias("_at"))
     numbered = placed.join(F.broadcast(numbers), "_file", "left")
     missing = F.raise_error(F.lit("a row of a file that the table does not list"))
     order = F.coalesce("_n", missing.cast("long")) * F.lit(1 << 43) + F.col("_at")
