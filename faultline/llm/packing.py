@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,18 +131,20 @@ def pack(docs: DataFrame, ranks_path: str, window: int = 1024, group_pieces: int
     capacities finds. Sequence ids hold the group in the upper bits, so they
     are unique and the same after a task is run again. Ties are ordered by
     document, start and checksum. Repeated rows are packed as often as they
-    come; an empty table gives no rows.
+    come, and so is a row whose doc_id is null; other columns are ignored; an
+    empty table gives no rows.
     """
     cut = stored(pieces(docs, ranks_path, window))
     groups = max(1, -(-cut.count() // group_pieces))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
+    def one(rows: pa.Table) -> pa.Table:  # Arrow, not pandas: a null beside it would make a long id a float
+        rows = rows.sort_by(order)
         seq, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
-        base = int(rows["packing_group"].iloc[0]) << 32
-        return rows[names].assign(sequence_id=base + seq, offset=offset)
+        base = rows["packing_group"][0].as_py() << 32
+        return rows.select(names).append_column("sequence_id", pa.array(base + seq)).append_column("offset", pa.array(offset))
 
     dealt = cut.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
     schema = f"doc_id {_kind(docs)}, {PIECE_SCHEMA}, sequence_id long, offset long"
-    return dealt.groupBy("packing_group").applyInPandas(one, schema)
+    return dealt.groupBy("packing_group").applyInArrow(one, schema)
