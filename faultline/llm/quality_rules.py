@@ -16,6 +16,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A host's rule failures count from this many rejected hosts on through a shuffled join.
 BROADCAST_HOSTS = 50_000
+#: Rows that a prior weighs as at most.
+MOST_WEIGHT = 1e6
 
 
 def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -71,12 +73,14 @@ def host_verdicts(stats: DataFrame, max_rate: float = 0.5, sds: float = 2.0) ->
     """Hosts with their shrunk failure rate for each rule and a verdict.
 
     ``stats`` has ``source`` and the rule columns' inputs. For each rule, a
-    beta prior is fitted to the hosts' raw rates by moments (mean and
-    variance, one row of figures); a host's rate is its posterior mean. A host
+    beta prior is fitted to the hosts' raw rates by moments (mean, and the
+    variance less that of sampling, one row of figures); a host's rate is its
+    posterior mean. A host
     is rejected when, for some rule, posterior mean less ``sds`` posterior
     standard deviations exceeds ``max_rate``. A null source is no host. A
     single host, or hosts that all agree, get a prior of weight 2 around the
-    mean. No rows give no hosts.
+    mean; hosts that differ no more than chance makes them get the mean as
+    their rate (weight ``MOST_WEIGHT``). No rows give no hosts.
     """
     rules = rule_failures()
     counted = stored(
@@ -88,13 +92,15 @@ def host_verdicts(stats: DataFrame, max_rate: float = 0.5, sds: float = 2.0) ->
     moments = counted.agg(
         *(F.avg(r).alias(f"m{i}") for i, r in enumerate(rates)),
         *(F.var_pop(r).alias(f"v{i}") for i, r in enumerate(rates)),
+        F.avg(1 / F.col("n")).alias("noise"),
     ).first()
     out, rejected = counted, F.lit(False)
     for i, k in enumerate(rules):
         mean = min(max(moments[f"m{i}"] or 0.0, 1e-3), 1 - 1e-3)
-        var = moments[f"v{i}"] or 0.0
-        weight = mean * (1 - mean) / var - 1 if var > 0 else 2.0
-        weight = min(max(weight, 2.0), 1e6)
+        # Small hosts' rates scatter by chance alone; only what is beyond that tells hosts apart.
+        var = (moments[f"v{i}"] or 0.0) - mean * (1 - mean) * (moments["noise"] or 0.0)
+        weight = mean * (1 - mean) / var - 1 if var > 0 else MOST_WEIGHT if moments[f"v{i}"] else 2.0
+        weight = min(max(weight, 2.0), MOST_WEIGHT)
         a = F.lit(mean * weight) + F.col(f"f_{k}")
         total = F.lit(weight) + F.col("n")
         rate = a / total
@@ -132,7 +138,12 @@ def quality_rules(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that pass, with their columns; texts are not shuffled, only hosts are joined."""
+    """Rows of ``docs`` that pass, with their columns; texts are not shuffled, only hosts are joined.
+
+    A null or wordless text goes; a null source has no host verdict; repeated
+    rows stay or go together; columns of any name stay as they are; an empty
+    table stays empty.
+    """
     hosts = _rejected(host_verdicts(with_stats(docs, ["source"]), max_rate))
 
     def sound(batch: pa.RecordBatch) -> pa.RecordBatch:

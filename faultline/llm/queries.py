@@ -145,9 +145,9 @@ WITH w AS (
     SELECT source, unnest([1, 2, 3]) AS rule, unnest([r1, r2, r3]) AS bad FROM r WHERE source IS NOT NULL)
   GROUP BY source, rule
 ), m AS (
-  SELECT rule, least(greatest(avg(f / n), 1e-3), 1 - 1e-3) AS mean, var_pop(f / n) AS var FROM h GROUP BY rule
+  SELECT rule, least(greatest(avg(f / n), 1e-3), 1 - 1e-3) AS mean, var_pop(f / n) AS raw, var_pop(f / n) - mean * (1 - mean) * avg(1 / n) AS var FROM h GROUP BY rule
 ), k AS (
-  SELECT rule, mean, least(greatest(CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 2 END, 2), 1e6) AS wt FROM m
+  SELECT rule, mean, least(greatest(CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 WHEN raw > 0 THEN 1e6 ELSE 2 END, 2), 1e6) AS wt FROM m
 ), v AS (
   SELECT source, (mean * wt + f) / (wt + n) AS rate, wt + n AS total FROM h JOIN k USING (rule)
 ), x AS (
