@@ -15,8 +15,8 @@ LEAST_SHARED = 100
 BROADCAST_OWNERS = 100_000
 WARC_DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD_SCHEMA = "page_id long, warc_header string, http_header string, digest string, `check` long, inline string"
-PAYLOAD_SCHEMA = "digest string, `check` long, payload string"
+RECORD_SCHEMA = "page_id long, warc_header string, http_header string, digest string, `check` long, inline binary"
+PAYLOAD_SCHEMA = "digest string, `check` long, payload binary"
 
 
 def _uuid(page_id: Column) -> Column:
@@ -43,12 +43,12 @@ def write_archive(pages: DataFrame, path: str, date: str = WARC_DATE) -> None:
     and joined; the first copies, whose count is checked, are picked by a
     broadcast, or by a shuffle that moves each payload once. An empty table gives empty tables.
     """
-    html = F.coalesce("html", F.lit(""))
+    html = F.coalesce("html", F.lit("")).cast("binary")
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").alias("url"),
         html.alias("payload"),
-        F.sha2(html.cast("binary"), 256).alias("digest"),
+        F.sha2(html, 256).alias("digest"),
         F.xxhash64(html).alias("check"),
         F.octet_length(html).cast("long").alias("n"),
     )
@@ -98,52 +98,76 @@ def write_archive(pages: DataFrame, path: str, date: str = WARC_DATE) -> None:
     kept.select("digest", "check", "payload").write.parquet(f"{path}/payloads")
 
 
-def _header(name: str) -> Column:
-    return F.regexp_extract("warc_header", rf"\n{name}: ([^\r\n]*)\r\n", 1)
+def record_bytes() -> Column:
+    """The record as it stands in a WARC file, without the two line breaks after it; a revisit has no payload."""
+    return F.concat(F.col("warc_header").cast("binary"), F.col("http_header").cast("binary"), F.coalesce("payload", F.lit(b"")))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an archive, rebuilt by joining headers with payloads; one row for each record.
-
-    Columns: the fields read from the headers, ``payload`` (null for a
-    revisit) and ``verified``: a response's bytes have the digest and the
-    length that its headers state.
-    """
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """(record): every record of an archive as bytes, headers joined with payloads."""
     records = spark.read.schema(RECORD_SCHEMA).parquet(f"{path}/records")
     payloads = spark.read.schema(PAYLOAD_SCHEMA).parquet(f"{path}/payloads")
-    kind = _header("WARC-Type")
     # Revisits and inline payloads need no stored one; their key is null and joins nothing.
-    sought = (kind == "response") & F.col("inline").isNull()
-    rows = records.withColumn("record_type", kind).withColumn("sought", F.when(sought, F.col("digest")))
+    sought = (_header("WARC-Type") == "response") & F.col("inline").isNull()
+    rows = records.withColumn("sought", F.when(sought, F.col("digest")))
     kept = payloads.select(F.col("digest").alias("sought"), F.col("check").alias("check_"), "payload")
     rows = rows.join(kept, (rows["sought"] == kept["sought"]) & (rows["check"] == kept["check_"]), "left")
-    rows = rows.select(
+    return rows.withColumn("payload", F.coalesce("inline", "payload")).select(record_bytes().alias("record"))
+
+
+def _header(name: str) -> Column:
+    return F.regexp_extract("warc_header", rf"\n{name}: ([^\r\n]*)\r\n", 1)
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """Fields and payload of WARC records (record: bytes), read from the bytes alone; lengths come from the headers."""
+    end = F.lit("\r\n\r\n")
+    head = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1)
+    rows = records.withColumn("warc_header", F.concat(head, end))
+    stated = _header("Content-Length").try_cast("int")
+    rows = rows.withColumn("block", F.substring("record", F.octet_length("warc_header") + 1, stated))
+    rows = rows.withColumn("http_header", F.concat(F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1), end))
+    whole = F.octet_length("record") == F.octet_length("warc_header") + stated
+    rest = F.substring("block", F.octet_length("http_header") + 1, F.octet_length("block"))
+    return rows.select(
         F.nullif(_header("X-Page-ID"), F.lit("")).cast("long").alias("page_id"),
         F.nullif(_header("WARC-Target-URI"), F.lit("")).alias("url"),
-        "record_type",
+        _header("WARC-Type").alias("record_type"),
         F.nullif(_header("X-Refers-To-Page-ID"), F.lit("")).cast("long").alias("refers_to"),
         F.substring(_header("WARC-Payload-Digest"), 8, 64).alias("payload_digest"),
         F.regexp_extract("http_header", r"Content-Length: ([0-9]+)\r\n", 1).cast("long").alias("payload_bytes"),
-        F.coalesce("inline", "payload").alias("payload"),
+        F.when(_header("WARC-Type") == "response", rest).alias("payload"),
         "warc_header",
         "http_header",
+        whole.alias("whole"),
     )
-    whole = (F.sha2(F.col("payload").cast("binary"), 256) == F.col("payload_digest")) & (
-        F.octet_length("payload") == F.col("payload_bytes")
-    )
-    return rows.withColumn(
-        "verified", F.when(F.col("record_type") == "response", F.coalesce(whole, F.lit(False))).otherwise(F.lit(True))
-    )
 
 
-def record_text(rows: DataFrame) -> Column:
-    """The record as it stands in a WARC file, without the two line breaks after it."""
-    return F.concat("warc_header", "http_header", F.coalesce("payload", F.lit("")))
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Records of an archive, rebuilt as bytes and parsed; one row for each record.
+
+    Columns: the fields read from the record, ``payload`` (null for a
+    revisit) and ``verified``. A response is verified when the record has its
+    stated length and the payload's bytes the digest and the length that the
+    headers state; a revisit when the record that it refers to is a response
+    with its digest.
+    """
+    rows = parsed(rebuilt(spark, path))
+    sound = (F.sha2("payload", 256) == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
+    rows = rows.withColumn("sound", F.coalesce(F.col("whole") & sound, F.lit(False)))
+    # Of the records table only headers are read for this; no payload moves.
+    heads = spark.read.schema(RECORD_SCHEMA).parquet(f"{path}/records").filter(_header("WARC-Type") == "response")
+    targets = heads.select(F.col("page_id").alias("refers_to"), F.col("digest").alias("payload_digest"), F.lit(True).alias("there"))
+    revisits = F.when(F.col("record_type") == "revisit", F.col("refers_to"))
+    rows = rows.withColumn("refers_to", revisits).join(targets.distinct(), ["refers_to", "payload_digest"], "left")
+    there = F.coalesce(F.col("whole") & F.col("there"), F.lit(False))
+    verified = F.when(F.col("record_type") == "response", F.col("sound")).otherwise(there)
+    return rows.withColumn("verified", verified).drop("sound", "there", "whole")
 
 
 def export_warc(rows: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write rebuilt records as WARC files, one after the other."""
-    rows.select(record_text(rows).alias("value")).write.option("lineSep", "\r\n\r\n").option(
+    rows.select(record_bytes().cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option(
         "compression", compression
     ).text(path)
 

@@ -173,11 +173,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want)
     assert spark.read.parquet(f"file://{tmp_path}/a/payloads").count() == 3
     back = warc_store.read_archive(spark, f"file://{tmp_path}/a")
-    assert {(r.page_id, r.payload) for r in back.filter("record_type = 'response'").collect()} >= {(2, long), (1, other), (5, "")}
+    found = {(r.page_id, bytes(r.payload).decode()) for r in back.filter("record_type = 'response'").collect()}
+    assert found >= {(2, long), (1, other), (5, "")}
     warc_store.export_warc(back, f"file://{tmp_path}/w", "none")
     whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
     assert whole.count(b"WARC/1.1\r\n") == len(rows) and long.encode() in whole
     assert warc_store.warc_round_trip(df.limit(0), f"file://{tmp_path}/e").collect() == []
+    # Archives with another payload, and without the response that revisits refer to, are found out.
+    for name in ("b", "c"):
+        records = spark.read.parquet(f"file://{tmp_path}/a/records")
+        payloads = spark.read.parquet(f"file://{tmp_path}/a/payloads")
+        gone = records.filter("page_id = 2 and instr(warc_header, 'Type: response') > 0")
+        (records if name == "b" else records.exceptAll(gone)).write.parquet(f"file://{tmp_path}/{name}/records")
+        broken = F.when(F.length("payload") == 207, F.overlay("payload", F.lit(b"z"), F.lit(5))).otherwise(F.col("payload"))
+        (payloads.withColumn("payload", broken) if name == "b" else payloads).write.parquet(f"file://{tmp_path}/{name}/payloads")
+        bad = warc_store.read_archive(spark, f"file://{tmp_path}/{name}").filter("not verified").collect()
+        assert {(r.page_id, r.record_type) for r in bad} == ({(1, "response")} if name == "b" else {(4, "revisit"), (9, "revisit")})
+    wide = df.withColumns({"digest": F.lit("d"), "payload": F.lit(1), "owner": F.lit(None)})
+    assert len(warc_store.warc_round_trip(wide, f"file://{tmp_path}/x").collect()) == len(rows)
 
 
 def test_vectors_against_brute_force(spark):
