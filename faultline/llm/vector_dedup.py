@@ -19,39 +19,53 @@ LEAST_PIVOTS, MOST_PIVOTS = 16, 2048
 #: Nearest pivots that describe a vector, and how many of them two vectors must share.
 PERMUTATION = 8
 SHARED = 2
-#: Vectors of one inverted list that a task holds, on either side.
+#: Vectors of one inverted list that a task holds, on either side, and entries of short lists that share a task on average.
 LIST_ROWS = 1024
+UNIT_ROWS = 20_000
 
-CLASS_SCHEMA = "vec_id long, label string, digest string, dim int, unit binary"
+CLASS_SCHEMA = "vec_id long, label string, digest string, dim int, raw binary"
+
+
+def raw_type(vectors: DataFrame) -> str:
+    """How vectors travel: as they are where their parts are floats, else as doubles."""
+    part = vectors.schema["embedding"].dataType.elementType
+    return "<f4" if part.typeName() == "float" else "<f8"
+
+
+def unit_vectors(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length in double precision, scaled to length 1."""
+    x = np.stack([np.frombuffer(r, kind) for r in raw]).astype(np.float64)
+    # Divide by the largest part first: very large and very small vectors keep their direction.
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def classed(vectors: DataFrame) -> DataFrame:
-    """Every row with its label as text, and digest, length and unit vector; these are null where it can't link."""
+    """Every row with its label as text, and digest, length and parts; these are null where it can't link."""
+    kind = raw_type(vectors)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        digests, dims, units = [], [], []
+        digests, dims, raws = [], [], []
         for label, v in zip(rows.column("label").to_pylist(), rows.column("embedding").to_pylist()):
             x = None
             if label is not None and v and None not in v:
                 x = np.array(v, np.float64)
-                # Divide by the largest part first: very large and very small vectors keep their direction.
-                top = np.abs(x).max()
-                x = x / top if np.isfinite(x).all() and top > 0 else None
+                x = x if np.isfinite(x).all() and x.any() else None
             if x is None:
-                digests.append(None), dims.append(None), units.append(None)
+                digests.append(None), dims.append(None), raws.append(None)
             else:
-                digests.append(hashlib.blake2b(np.array(v, np.float64).tobytes(), digest_size=16).hexdigest())
+                digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest())
                 dims.append(len(v))
-                units.append((x / np.sqrt(x @ x)).tobytes())
+                raws.append(x.astype(kind).tobytes())
         return pa.RecordBatch.from_arrays(
             [
                 rows.column("vec_id"),
                 rows.column("label"),
                 pa.array(digests, pa.string()),
                 pa.array(dims, pa.int32()),
-                pa.array(units, pa.binary()),
+                pa.array(raws, pa.binary()),
             ],
-            names=["vec_id", "label", "digest", "dim", "unit"],
+            names=["vec_id", "label", "digest", "dim", "raw"],
         )
 
     rows = vectors.select(
@@ -60,14 +74,14 @@ def classed(vectors: DataFrame) -> DataFrame:
     return per_batch(rows, batch, CLASS_SCHEMA)
 
 
-def fit_pivots(classes: DataFrame, n: int, seed: str = "pivot") -> dict[int, np.ndarray]:
+def fit_pivots(classes: DataFrame, n: int, kind: str, seed: str = "pivot") -> dict[int, np.ndarray]:
     """At most ``MOST_PIVOTS`` distinct vectors, picked by a hash of their digests, by vector length."""
     want = min(max(n // VECTORS_PER_PIVOT, LEAST_PIVOTS), MOST_PIVOTS)
-    picked = classes.select("dim", "unit").orderBy(F.md5(F.concat(F.lit(seed), "digest")), "label").limit(want)
+    picked = classes.select("dim", "raw").orderBy(F.md5(F.concat(F.lit(seed), "digest")), "label").limit(want)
     by: dict[int, list] = {}
     for r in picked.collect():
-        by.setdefault(r["dim"], []).append(np.frombuffer(bytes(r["unit"])))
-    return {d: np.stack(x) for d, x in by.items()}
+        by.setdefault(r["dim"], []).append(bytes(r["raw"]))
+    return {d: unit_vectors(x, kind) for d, x in by.items()}
 
 
 def pivots_of(pivots: dict[int, np.ndarray], dim: int) -> np.ndarray:
@@ -77,44 +91,41 @@ def pivots_of(pivots: dict[int, np.ndarray], dim: int) -> np.ndarray:
     return pivots[dim]
 
 
-def permutations(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+def permutations(classes: DataFrame, pivots: dict[int, np.ndarray], kind: str) -> DataFrame:
     """``classes`` with ``perm``: numbers of the nearest pivots, nearest first."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        perms = []
-        for dim, unit in zip(rows.column("dim").to_pylist(), rows.column("unit").to_pylist()):
-            at = pivots_of(pivots, dim)
-            near = np.argsort(-(at @ np.frombuffer(unit)), kind="stable")[:PERMUTATION]
-            perms.append(near.tolist())
-        names = ["rep", "copies", "label", "dim", "unit"]
+        dims, raw = np.array(rows.column("dim").to_pylist()), rows.column("raw").to_pylist()
+        perms = [None] * len(raw)
+        for dim in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == dim)
+            near = -(unit_vectors([raw[i] for i in own], kind) @ pivots_of(pivots, dim).T)
+            for i, perm in zip(own.tolist(), np.argsort(near, axis=1, kind="stable")[:, :PERMUTATION].tolist()):
+                perms[i] = perm
+        names = ["rep", "copies", "label", "dim", "raw"]
         return pa.RecordBatch.from_arrays(
             [rows.column(c) for c in names] + [pa.array(perms, pa.list_(pa.int32()))], names=[*names, "perm"]
         )
 
     return per_batch(
-        classes.select("rep", "copies", "label", "dim", "unit"),
+        classes.select("rep", "copies", "label", "dim", "raw"),
         batch,
-        "rep long, copies long, label string, dim int, unit binary, perm array<int>",
+        "rep long, copies long, label string, dim int, raw binary, perm array<int>",
     )
 
 
-def list_links(pdf: pd.DataFrame, least: float, shared: int) -> pd.DataFrame:
-    """Links of one inverted list (or of two chunks of it): spanning pairs, and how many vectors each one links with.
+def list_links(pivot: int, rep: np.ndarray, copies: np.ndarray, units: np.ndarray, perm: np.ndarray, side: np.ndarray | None, least: float, shared: int) -> tuple[np.ndarray, list]:
+    """Links of one inverted list, or across two chunks of it: how many vectors each one links with, and spanning pairs.
 
     Vectors that share at least ``shared`` pivots are candidates; a pair is
     counted only in the list of the smallest pivot that both have, and only
     if its cosine reaches ``least``.
     """
-    pivot, low, high = int(pdf["pivot"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-    rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-    units = np.stack([np.frombuffer(x) for x in pdf["unit"]])
-    perm = np.array(pdf["perm"].tolist())
     names, local = np.unique(perm, return_inverse=True)
     have = np.zeros((len(rep), len(names)), np.float32)
     have[np.arange(len(rep))[:, None], local.reshape(perm.shape)] = 1
     need = min(shared, perm.shape[1])
     before = names < pivot
-    side = pdf["chunk"].to_numpy() == high if low != high else None
     linked, groups, spans = np.zeros(len(rep), np.int64), Union(len(rep)), []
     for start in range(0, len(rep), 256):
         rows = slice(start, start + 256)
@@ -132,13 +143,28 @@ def list_links(pdf: pd.DataFrame, least: float, shared: int) -> pd.DataFrame:
             x, y = x[good], y[good]
             np.add.at(linked, x, copies[y])
             np.add.at(linked, y, copies[x])
-            spans += [(rep[i], rep[j]) for i, j in zip(x.tolist(), y.tolist()) if groups.join(i, j)]
-    counted = np.flatnonzero(linked)
+            spans += [(int(rep[i]), int(rep[j])) for i, j in zip(x.tolist(), y.tolist()) if groups.join(i, j)]
+    return linked, spans
+
+
+def unit_links(pdf: pd.DataFrame, least: float, shared: int, kind: str) -> pd.DataFrame:
+    """Links of all lists that share a task: (a, null, links) for vectors with links and (a, b, 0) for spanning pairs."""
+    rep, copies, chunk = (pdf[c].to_numpy() for c in ("rep", "copies", "chunk"))
+    raw, perms = pdf["raw"].to_numpy(), pdf["perm"].to_numpy()
+    counted, spanning = [], []
+    for (_, _, pivot, low, high), rows in pdf.groupby(["label", "dim", "pivot", "low", "high"], sort=False).indices.items():
+        if len(rows) < 2:
+            continue
+        side = chunk[rows] == high if low != high else None
+        units, perm = unit_vectors(raw[rows], kind), np.stack(perms[rows])
+        linked, spans = list_links(int(pivot), rep[rows], copies[rows], units, perm, side, least, shared)
+        counted += [(int(rep[rows[i]]), int(linked[i])) for i in np.flatnonzero(linked)]
+        spanning += spans
     return pd.DataFrame(
         {
-            "a": [*rep[counted], *(s[0] for s in spans)],
-            "b": [None] * len(counted) + [s[1] for s in spans],
-            "links": [*linked[counted], *(0 for _ in spans)],
+            "a": [*(a for a, _ in counted), *(a for a, _ in spanning)],
+            "b": [None] * len(counted) + [b for _, b in spanning],
+            "links": [*(n for _, n in counted), *(0 for _ in spanning)],
         }
     ).astype({"a": "int64", "b": "Int64", "links": "int64"})
 
@@ -165,28 +191,33 @@ def vector_components(vectors: DataFrame, least: float = 0.98, shared: int = SHA
             F.min("vec_id").alias("rep"),
             F.count(F.lit(1)).alias("copies"),
             F.first("dim").alias("dim"),
-            F.first("unit").alias("unit"),
+            F.first("raw").alias("raw"),
         )
     )
-    pivots = fit_pivots(classes, classes.count())
-    index = stored(permutations(classes.filter(F.col("rep").isNotNull()), pivots))
+    kind = raw_type(vectors)
+    pivots = fit_pivots(classes, classes.count(), kind)
+    index = stored(permutations(classes.filter(F.col("rep").isNotNull()), pivots, kind))
     posts = index.withColumn("pivot", F.explode("perm"))
     key = ["label", "dim", "pivot"]
     sizes = stored(
         posts.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("held"))
         .filter("held > 1")
-        .select(*key, F.ceil(F.col("held") / LIST_ROWS).cast("int").alias("chunks"))
+        .select(*key, "held", F.ceil(F.col("held") / LIST_ROWS).cast("int").alias("chunks"))
     )
+    entries = sizes.filter("chunks = 1").agg(F.sum("held")).first()[0] or 0
     posts = posts.join(sizes, key)
     posts = posts.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     )
     posts = posts.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    # Short lists share tasks; a pair of chunks of a long one has its own.
+    own = F.xxhash64(*key, "low", "high")
+    unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64(*key), F.lit(max(1, -(-entries // UNIT_ROWS))))).otherwise(own)
     found = stored(
-        posts.select(*key, "low", "high", "chunk", "rep", "copies", "unit", "perm")
-        .groupBy(*key, "low", "high")
-        .applyInPandas(lambda pdf: list_links(pdf, least, shared), "a long, b long, links long")
+        posts.select(unit.alias("unit"), *key, "low", "high", "chunk", "rep", "copies", "raw", "perm")
+        .groupBy("unit")
+        .applyInPandas(lambda pdf: unit_links(pdf, least, shared, kind), "a long, b long, links long")
     )
     groups = components(found.filter(F.col("b").isNotNull())).select(F.col("node").alias("rep"), "root")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
