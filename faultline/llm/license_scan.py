@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import TEXTS
+from .license_texts import DIGESTS, TEXTS
 
 #: Equivalent spellings, replaced in this order in lower-cased text. Fixed values.
 SPELLINGS = (
@@ -25,9 +25,11 @@ COPYRIGHT_LINE = r"(^|\n)[\x20\t]*(copyright|\(c\)|©)[^\n]*"
 RESERVED_LINE = r"(^|\n)[\x20\t]*all rights reserved\.?[\x20\t\r]*"
 #: What may stand before a line's first word: white space and comment marks.
 _LEAD = r"(?:^|(?<=\n))[^\p{L}\p{N}\n(©]*"
-#: A notice as a line of its own; a clause that goes on after "copyright", in this line or the next, is none.
-_CLAUSE = r"(?:notice|holder|owner|law|licen[cs]e|statement|interest|disclaimer|protect|and\b|or\b|in\b|of\b|to\b)"
-NOTICE = rf"{_LEAD}(?:copyright\b(?![^\p{{L}}\p{{N}}(©]*(?:{_CLAUSE}|\z))|\(c\)[\x20\t]*(?:copyright\b|[12][0-9]{{3}})|©)[^\n]*"
+#: A dated or marked notice as a line of its own.
+NOTICE = rf"{_LEAD}(?:copyright\b[^\n]{{0,40}}?(?:\(c\)|©|\b[12][0-9]{{3}}\b)|\(c\)[\x20\t]*(?:copyright\b|[12][0-9]{{3}})|©)[^\n]*"
+#: A notice without a date, in the first lines only; a clause that goes on after "copyright" is none.
+_CLAUSE = r"(?:notice|holder|owner|law|licen[cs]e|statement|interest|disclaimer|permission|protect|and\b|or\b|in\b|of\b|to\b|the\b)"
+HEAD_NOTICE = rf"\A((?:[^\n]*\n){{0,3}}?)[^\p{{L}}\p{{N}}\n(©]*copyright\b(?![^\p{{L}}\p{{N}}(©]*(?:{_CLAUSE}|\z))[^\n]*"
 RESERVED = rf"{_LEAD}all rights reserved[^\p{{L}}\p{{N}}\n]*(?=\n|\z)"
 
 
@@ -45,6 +47,7 @@ def unwrapped(text: Column) -> Column:
     """The canonical form of a text whose line breaks and comment marks say nothing: notices go, then lines are joined."""
     c = F.lower(F.coalesce(text, F.lit("")))
     c = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), NOTICE, "")
+    c = F.regexp_replace(c, HEAD_NOTICE, "$1")
     c = F.regexp_replace(c, RESERVED, "")
     c = F.regexp_replace(F.regexp_replace(c, r"\n[^\p{L}\p{N}\n]*", " "), r"\s+", " ")
     for a, b in SPELLINGS:
@@ -52,10 +55,14 @@ def unwrapped(text: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
 
 
-def known_licenses(spark, texts: dict[str, str] = TEXTS) -> DataFrame:
-    """(canonical_sha256, license_id, unwrapped_sha256) of known texts; of equal canonical texts the first id stays."""
+def known_licenses(spark, texts: dict[str, str] = TEXTS, digests: tuple = DIGESTS) -> DataFrame:
+    """(canonical_sha256, license_id, unwrapped_sha256) of known texts; of equal canonical texts the first id stays.
+
+    Licences of which only the digest of the unwrapped form is known have a
+    null canonical_sha256. Without texts and digests the table is empty.
+    """
     rows = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
-    return (
+    short = (
         rows.select(
             "license_id",
             F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"),
@@ -64,6 +71,8 @@ def known_licenses(spark, texts: dict[str, str] = TEXTS) -> DataFrame:
         .groupBy("canonical_sha256")
         .agg(F.min("license_id").alias("license_id"), F.min_by("u", "license_id").alias("unwrapped_sha256"))
     )
+    long = spark.createDataFrame(list(digests), "license_id string, unwrapped_sha256 string")
+    return short.unionByName(long.withColumn("canonical_sha256", F.lit(None).cast("string")))
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -77,7 +86,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = known_licenses(docs.sparkSession) if known is None else known
     digests = docs.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
-    exact = known.select("canonical_sha256", "license_id")
+    exact = known.filter("canonical_sha256 is not null").select("canonical_sha256", "license_id")
     if "unwrapped_sha256" not in known.columns:
         return digests.join(exact, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
     other = known.groupBy("unwrapped_sha256").agg(F.min("license_id").alias("other_id"))

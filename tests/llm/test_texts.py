@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -262,10 +263,43 @@ def test_license_canonical_forms(spark):
     assert [got[i] for i in range(4)] == ["MIT"] * 4
     assert [got[i + 10] for i in range(len(TEXTS))] == list(TEXTS)
     assert [got[i] for i in (50, 51, 52, 53)] == [None] * 4
-    known = license_scan.known_licenses(spark).collect()
+    known = license_scan.known_licenses(spark, digests=()).collect()
     assert len({r.canonical_sha256 for r in known}) == len(TEXTS)
 
 
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not (COMMON / "GPL-3").exists(), reason="no published texts here")
+def test_long_licenses_by_digest(spark):
+    import textwrap
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [], {}
+    for file, name in names.items():
+        whole = (COMMON / file).read_text()
+        copies = [(whole, name), (whole.upper(), name), (whole.replace("\n", "\r\n"), name), (whole[:-300], None), (whole + " more", None)]
+        end = whole.find("END OF TERMS AND CONDITIONS")
+        copies += [(whole[: end + 27], name)] if end > 0 else []
+        for width in (50, 72, 100):
+            lines = []
+            for paragraph in re.split(r"\n\s*\n", whole.strip()):
+                held = []
+                for line in [*map(str.strip, paragraph.split("\n")), None]:
+                    if line is None or re.match(r"(?i)copyright \(c\)", line):
+                        lines += textwrap.wrap(" ".join(held), width, break_on_hyphens=False, break_long_words=False)
+                        lines += [line or ""]
+                        held = []
+                    else:
+                        held.append(line)
+            copies += [("\n".join(lines), name), ("\n".join(" * " + x for x in lines), name)]
+        for text, expected in copies:
+            want[len(rows)] = expected
+            rows.append((len(rows), text))
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_licenses_in_other_wrapping_and_comments(spark):
     import textwrap
 
