@@ -71,11 +71,24 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-(self.base + sum(self._walk(binned, t) for t in self.trees))))
 
 
-def precise_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The smallest score from which on held-out precision stays at ``precision`` or above; above 1 if there is none."""
-    order = np.argsort(-p, kind="stable")
-    p, y = p[order], y[order]
-    good = np.cumsum(y) / np.arange(1, len(y) + 1)
-    last = np.append(p[1:] != p[:-1], True) if len(p) else np.empty(0, bool)
-    ok = np.flatnonzero((good >= precision) & last)
-    return float(p[ok[-1]]) if len(ok) else 1.1
+class Calibration:
+    """Scores to probabilities by isotonic regression: pooled steps that never fall, fitted on examples of their own."""
+
+    def __init__(self, score: np.ndarray, y: np.ndarray) -> None:
+        edges, counts = np.unique(score, return_inverse=True)
+        hits, n = np.bincount(counts, y, len(edges)), np.bincount(counts, minlength=len(edges))
+        pools: list[list[float]] = []  # lowest score, hits, examples
+        for e, h, k in zip(edges.tolist(), hits.tolist(), n.tolist()):
+            pools.append([e, h, k])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+                _, h, k = pools.pop()
+                pools[-1][1] += h
+                pools[-1][2] += k
+        self.start = np.array([x[0] for x in pools])
+        self.value = np.array([x[1] / x[2] for x in pools])
+
+    def probability(self, score: np.ndarray) -> np.ndarray:
+        """The pool's share of hits; scores below all examples get the lowest one, and without examples all get 0."""
+        if not len(self.start):
+            return np.zeros(len(score))
+        return self.value[np.maximum(np.searchsorted(self.start, score, side="right") - 1, 0)]

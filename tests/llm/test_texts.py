@@ -7,6 +7,7 @@ import re
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -189,6 +190,76 @@ def test_detector_on_held_out_examples(detector):
     assert hits / total > 0.93 and false / clean < 0.05
 
 
+# Written by hand, apart from the generator: a sentence and the part of it that is personal data, or None.
+BY_HAND = [
+    ("Please write to maria.lopez (at) correo (dot) es before Friday.", "maria.lopez (at) correo (dot) es"),
+    ("my address is tom[at]firma[dot]de", "tom[at]firma[dot]de"),
+    ("Escriba a juan at empresa dot com hoy", "juan at empresa dot com"),
+    ("contact: info(at)verein.org", "info(at)verein.org"),
+    ("The server at 10[.]0[.]12[.]7 was down", "10[.]0[.]12[.]7"),
+    ("host 192(.)168(.)1(.)20 answered", "192(.)168(.)1(.)20"),
+    ("IP address 2001:db8:85a3:8d3:1319:8a2e:370:7348 again", "2001:db8:85a3:8d3:1319:8a2e:370:7348"),
+    ("Card 4111.1111.1111.1111 was charged", "4111.1111.1111.1111"),
+    ("pay with 5500/0000/0000/0004 now", "5500/0000/0000/0004"),
+    ("Call (030) 555-0199 for help", "(030) 555-0199"),
+    ("telefon 415.555.0132 bitte", "415.555.0132"),
+    ("Tel: 001 202 555 0143", "001 202 555 0143"),
+    ("phone 202-555-0176 or mail", "202-555-0176"),
+    ("Version 3.11.4 was released", None),
+    ("on 2024-05-17 at noon", None),
+    ("ISBN 978-3-16-148410-0 is out", None),
+    ("order 48291 of 3 items, 1,200.50 in all", None),
+    ("Seite 12 von 340 im Buch", None),
+    ("look at the dot on page 4", None),
+    ("they met at home dot by dot", None),
+    ("from 10:15:30 to 11:00:00", None),
+    ("between 1914-1918 and 1939-1945", None),
+    ("ref 123456-123456-12 closed", None),
+    ("card 4111.1111.1111.1112 is wrong", None),
+    ("chapter 300.301.302.303 of the list", None),
+]
+
+
+def test_detector_on_sentences_written_by_hand(detector):
+    hits = false = 0
+    for text, secret in BY_HAND:
+        base, every = detector.spans(text)
+        added = [s for s in every if s not in base]
+        if secret is None:
+            false += bool(added)
+        else:
+            start = text.index(secret)
+            hits += any(a <= start and start + len(secret) <= b for _, a, b in every)
+    assert hits >= 10 and false <= 1, (hits, false)
+
+
+def test_probabilities_are_calibrated(detector):
+    """On examples of another seed, as many candidates are personal data as their probabilities say."""
+    rnd, p, y = random.Random(123), [], []
+    for _ in range(1500):
+        kind, cue, span = pii._planted(rnd)
+        text = f"and the of {cue}{span} in that"
+        start = len("and the of ") + len(cue)
+        found = pii.candidates(text)
+        if found:
+            p += detector.probabilities(text, found).tolist()
+            y += [c == (kind, start, start + len(span)) for c in found]
+    order = sorted(zip(p, y))
+    for low, high in ((0, 0.2), (0.2, 0.8), (0.8, 0.99), (0.99, 1.01)):
+        part = [(a, b) for a, b in order if low <= a < high]
+        if len(part) >= 100:
+            assert abs(sum(a for a, _ in part) - sum(b for _, b in part)) / len(part) < 0.12, (low, len(part))
+
+
+def test_calibration_never_falls():
+    from faultline.llm.boosting import Calibration
+
+    c = Calibration(np.array([0.1, 0.2, 0.2, 0.5, 0.6, 0.9]), np.array([0, 1, 0, 0, 1, 1.0]))
+    got = c.probability(np.array([0.0, 0.15, 0.2, 0.55, 0.6, 1.0]))
+    assert got.tolist() == [0, 0, 1 / 3, 1 / 3, 1, 1]
+    assert Calibration(np.empty(0), np.empty(0)).probability(np.array([0.5])).tolist() == [0]
+
+
 def test_spans_that_base_patterns_lose(detector):
     text = "x@mail.example.com +1 (578) 555-6437 4918187128635271 end"
     base, every = detector.spans(text)
@@ -222,6 +293,10 @@ def test_pii_frame(spark, detector):
     clean = {(r.doc_id, r.text, r.n_chars) for r in pii.redact(df, detector).collect()}
     assert clean == {(1, "mail <EMAIL> now", 16), (2, None, None), (3, "", 0)}
     assert pii.find_personal_data(df.limit(0)).collect() == []
+    long = "12 345 " * 100_000 + "a@b.co"
+    wide = spark.createDataFrame([(None, long)], "doc_id long, text string").withColumns({"spans": F.lit(1), "n_email": F.lit("x")})
+    (r,) = pii.find_personal_data(wide, detector).collect()
+    assert r.doc_id is None and r.n_email == 1 and r.spans.startswith("email:700000:700006")
 
 
 def plain_stats(text):
