@@ -23,7 +23,7 @@ CORNER = np.uint32
 #: Points in a leaf, and children of a node, of an R-tree.
 FANOUT = 16
 #: Shingles that one join task holds of a block at most, on either side.
-CHUNK_SHINGLES = 1_000_000
+CHUNK_SHINGLES = 150_000
 #: Shingles of small blocks that share a task on average.
 UNIT_SHINGLES = 200_000
 #: Differences of a pair up to which meeting is certain, and untouched groups to expect beyond.
@@ -90,7 +90,7 @@ class Spaces:
     such space the shingles are dealt by hash to groups, and each non-empty
     group gives a key of its content.
 
-    Up to ``EXACT_DIFFERENCES`` there are more groups than a pair can differ
+    Up to ``certain`` differences (``EXACT_DIFFERENCES`` by default) there are more groups than a pair can differ
     in, so a linked pair has the same content in some group. If one of the
     two has more non-empty groups than differences, that group is not empty;
     if neither has, both also give their prefix keys (the smallest hashes,
@@ -100,8 +100,9 @@ class Spaces:
     exp(-MEETINGS).
     """
 
-    def __init__(self, p: int, q: int) -> None:
+    def __init__(self, p: int, q: int, certain: int | None = None) -> None:
         self.p, self.q = p, q
+        self.certain = EXACT_DIFFERENCES if certain is None else certain
 
     def differ(self, total: np.ndarray) -> np.ndarray:
         return (self.q - self.p) * total // (self.p + self.q)
@@ -127,7 +128,7 @@ class Spaces:
     def groups(self, differ: np.ndarray) -> np.ndarray:
         """Groups of a space whose pairs differ in at most ``differ`` shingles."""
         out = np.where(differ == 0, 1, differ + 3 + (differ * 15) // 100)
-        for d in np.unique(differ[differ > EXACT_DIFFERENCES]).tolist():
+        for d in np.unique(differ[differ > self.certain]).tolist():
             k = 32
             while k * math.exp(-d / k) < MEETINGS:
                 k += max(1, k // 32)
@@ -165,7 +166,7 @@ def routing_keys(sets: list[np.ndarray], spaces: Spaces) -> tuple[np.ndarray, np
         keys.append(mix(total ^ mix(space[doc] * U(1 << 32) + group)))
         owners.append(which[doc])
         filled = np.bincount(doc, minlength=len(which))
-        for k in np.flatnonzero((filled <= differ) & (differ <= EXACT_DIFFERENCES)):
+        for k in np.flatnonzero((filled <= differ) & (differ <= spaces.certain)):
             few = sets[which[k]][: spaces.prefix(int(n[k]))]
             keys.append(mix(few ^ mix(np.full(1, int(space[k]) + 1_000_003, U))))
             owners.append(np.full(len(few), which[k]))
@@ -385,11 +386,29 @@ def _box_combine(p: int, q: int):
 
 
 def _box_meet(p: int, q: int):
+    """Pairs that may link, of entries in order of keys; holds whole keys up to about ``COMBINE_BOXES`` entries at once."""
+
+    def met(parts: list[Boxes]) -> pa.RecordBatch:
+        pairs = Boxes.joined(parts).may_link(p, q)[1]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [Boxes.read(b) for b in batches if b.num_rows]
-        if parts:
-            pairs = Boxes.joined(parts).may_link(p, q)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        parts, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            boxes = Boxes.read(batch)
+            if held >= COMBINE_BOXES:
+                # The last key may go on in this batch: what comes before its first new key ends the parts.
+                fresh = np.flatnonzero(boxes.keys != parts[-1].keys[-1])
+                if len(fresh):
+                    old = np.arange(fresh[0])
+                    yield met([*parts, boxes.take(old)])
+                    boxes, parts, held = boxes.take(np.arange(fresh[0], len(boxes.keys))), [], 0
+            parts.append(boxes)
+            held += len(boxes.keys)
+        if held:
+            yield met(parts)
 
     return run
 
@@ -413,24 +432,22 @@ class Union:
         return True
 
 
-def block_links(sets: list[np.ndarray], side: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
-    """Links that connect all linked pairs of a block. ``side``: 0, 1, or all 0; with both, pairs across only.
+def block_groups(sets: list[np.ndarray], side: np.ndarray | None, groups: Union, p: int, q: int) -> Union:
+    """Joins the groups of linked pairs of a block; with ``side`` (0 or 1), of pairs across only.
 
-    Pairs that earlier links connect already are not verified again, so a
-    group of near copies takes about as many verifications as it has members.
+    Pairs whose groups are joined already are not verified, so a group of
+    near copies takes about as many verifications as it has members.
     """
     n = np.array([len(s) for s in sets], np.int64)
     counts = np.stack([count_vector(s, DIMS) for s in sets])
-    both = side.any()
-    indexed = np.flatnonzero(side == 0)
-    asked = np.flatnonzero(side == 1) if both else indexed
+    every = np.arange(len(sets))
+    indexed, asked = (every, every) if side is None else (every[side == 0], every[side == 1])
     if not len(indexed) or not len(asked):
-        return []
+        return groups
     tree = CountRTree(counts[indexed], n[indexed], n[indexed], p, q)
-    groups, links = Union(len(sets)), []
     for a in asked.tolist():
         for b in indexed[tree.search(counts[a], int(n[a]), int(n[a]))].tolist():
-            if (not both and b >= a) or groups.find(a) == groups.find(b):
+            if (side is None and b >= a) or groups.find(a) == groups.find(b):
                 continue
             x, y = (sets[a], sets[b]) if n[a] < n[b] else (sets[b], sets[a])
             at = np.searchsorted(y, x)
@@ -438,8 +455,85 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, p: int, q: int) -> lis
             common = int((y[at] == x).sum())
             if q * common >= p * (int(n[a] + n[b]) - common):
                 groups.join(a, b)
-                links.append((a, b))
-    return links
+    return groups
+
+
+def _joined(rows: DataFrame, part: list[str], p: int, q: int) -> DataFrame:
+    """(a, b): a member of each group of linked classes for every other member.
+
+    ``rows`` has unit, rep, digest, shingles and the columns ``part``, by
+    which the blocks that share a unit are told apart. With ``side`` and
+    ``head``, classes of one head are linked already and pairs are looked for
+    across sides only.
+    """
+
+    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, own in pdf.groupby(part, sort=False):
+            names = ["rep", "digest"] + (["side"] if "side" in own else [])
+            own = own.drop_duplicates(names)
+            ids, groups = own["rep"].to_numpy(), Union(len(own))
+            if "side" in own:
+                first = {}
+                for i, head in enumerate(own["head"].tolist()):
+                    groups.join(first.setdefault(head, i), i)
+            sides = own["side"].to_numpy() if "side" in own else None
+            block_groups([np.frombuffer(x, U) for x in own["shingles"]], sides, groups, p, q)
+            found += [(int(ids[i]), int(ids[r])) for i in range(len(own)) if (r := groups.find(i)) != i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("unit").applyInPandas(unit, "a long, b long")
+
+
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``members`` (rep, digest, ...) with their shingles."""
+    names = members.columns
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, width).tobytes() for t in rows.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [*(rows.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "shingles"]
+        )
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema)
+    return per_batch(_with_texts(docs, members, width).select(*names, "text"), batch, f"{fields}, shingles binary")
+
+
+def _split_blocks(docs: DataFrame, large: DataFrame, first: DataFrame, width: int, p: int, q: int) -> DataFrame | None:
+    """Links (a, b) between the chunks of large blocks, whose chunks ``first`` has joined each by itself.
+
+    The heads of the chunks' groups are joined with each other first; that
+    settles a block of near copies, of which each set moved once. Of a block
+    that is still in several groups, the largest group stays in its chunks,
+    and all others are strays that visit each chunk: any pair of two groups
+    has a stray. Strays above ``CHUNK_SHINGLES`` are cut, too.
+    """
+    heads = first.select(F.col("a").alias("rep"), F.col("b").alias("head"))
+    placed = stored(large.join(heads, "rep", "left").withColumn("head", F.coalesce("head", "rep")))
+    own = placed.filter("rep = head")
+    fits = own.groupBy("block").agg(F.sum("n").alias("weight")).filter(F.col("weight") <= CHUNK_SHINGLES).select("block")
+    rows = _sets(docs, own.join(fits, "block").select("rep", "digest", "block"), width)
+    second = stored(_joined(rows.withColumn("unit", F.xxhash64("block")), ["block"], p, q))
+    later = second.select(F.col("a").alias("head"), F.col("b").alias("later"))
+    placed = placed.join(later, "head", "left").withColumn("head", F.coalesce("later", "head")).drop("later")
+    groups = placed.groupBy("block", "head").agg(F.sum("n").alias("weight"))
+    blocks = groups.groupBy("block").agg(
+        F.max_by("head", F.struct("weight", "head")).alias("bulk"),
+        (F.sum("weight") - F.max("weight")).alias("stray"),
+        F.count(F.lit(1)).alias("groups"),
+    )
+    cuts = F.ceil(F.col("stray") / CHUNK_SHINGLES).cast("int")
+    blocks = blocks.filter("groups > 1").select("block", "bulk", cuts.alias("cuts"))
+    split = stored(placed.join(blocks, "block").withColumn("cut", F.pmod(F.xxhash64("digest", F.lit(1)), "cuts").cast("int")))
+    if split.isEmpty():
+        return second
+    cols = ["rep", "digest", "block", "head"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    still = split.select(*cols, "chunk", every("cuts").alias("cut"), F.lit(0).alias("side"))
+    visit = split.filter("head <> bulk").select(*cols, every("chunks").alias("chunk"), "cut", F.lit(1).alias("side"))
+    members = _sets(docs, split.select("rep", "digest").distinct(), width)
+    placed_sets = still.unionByName(visit).join(members, ["rep", "digest"]).withColumn("unit", F.xxhash64("block", "chunk", "cut"))
+    return second.unionByName(_joined(placed_sets, ["block", "chunk", "cut"], p, q))
 
 
 def _with_texts(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -462,7 +556,7 @@ def _with_texts(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     return found if shared.isEmpty() else found.mapInArrow(same, found.schema)
 
 
-def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, certain: int | None = None) -> DataFrame:
     """Class of every document under Jaccard links of word shingles: doc_id, n_shingles, component_id.
 
     Documents link when 100 * intersection >= ``percent`` * union of their
@@ -479,12 +573,15 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     allows to link are merged into boxes, in each task before the shuffle and
     after it, and connected into blocks. Each block is joined by an R-tree
     over count vectors; a survivor of the bound is verified on whole sets. A
-    block with more than ``CHUNK_SHINGLES`` is cut by hash into chunks, and
-    each pair of chunks is joined by a task of its own.
+    block with more than ``CHUNK_SHINGLES`` is cut by hash into chunks, which
+    are joined each by itself, then by the heads of their groups, and then
+    where groups are left (``_split_blocks``). ``certain`` is the number of
+    differing shingles up to which a linked pair is sure to meet; with
+    ``1 << 62`` every pair is, for more keys.
     """
     spark = docs.sparkSession
     p, q = percent, 100
-    spaces = Spaces(p, q)
+    spaces = Spaces(p, q, certain)
     docs = docs.select("doc_id", "text")
 
     def figures(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -524,52 +621,23 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     vectors = vectors.dropDuplicates(["id"])
     entries = shared.join(F.broadcast(vectors) if docs_n <= BROADCAST_DOCS else vectors, "id").select(*Boxes.NAMES)
     schema = "key long, id long, least long, most long, corner binary"
-    boxes = entries.mapInArrow(_box_combine(p, q), schema).repartition(parts, "key")
+    boxes = entries.mapInArrow(_box_combine(p, q), schema).repartition(parts, "key").sortWithinPartitions("key")
     blocks = components(boxes.mapInArrow(_box_meet(p, q), "a long, b long"))
     members = stored(classes.join(blocks, "node").select("rep", "digest", "n", F.col("root").alias("block")))
     weights = members.groupBy("block").agg(F.sum("n").alias("weight"))
     members = members.join(weights, "block").withColumn(
         "chunks", F.ceil(F.col("weight") / CHUNK_SHINGLES).cast("int")
     )
-    held = members.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).first()
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+    held = members.agg(F.sum("n").alias("n"), F.max("chunks").alias("most")).first()
     units = max(1, -(-(held["n"] or 0) // UNIT_SHINGLES))
-
-    def as_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = ["rep", "digest", "block", "chunks"]
-        sets = [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "shingles"]
-        )
-
-    rows = per_batch(
-        _with_texts(docs, members, width).select("rep", "digest", "block", "chunks", "text"),
-        as_sets,
-        "rep long, digest string, block long, chunks int, shingles binary",
-    )
-    chunk = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("chunk", chunk).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    )
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    # Blocks of one chunk share tasks; a pair of chunks has its own.
-    unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block"), F.lit(units))).otherwise(
-        F.xxhash64("block", low, high)
-    )
-    rows = rows.select(
-        unit.alias("unit"), "block", low.alias("low"), high.alias("high"), "chunk", "rep", "digest", "shingles"
-    )
-
-    def join_unit(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (_, low, high), part in pdf.groupby(["block", "low", "high"], sort=False):
-            part = part.drop_duplicates(["rep", "digest"])
-            sets = [np.frombuffer(x, U) for x in part["shingles"]]
-            side = (part["chunk"].to_numpy() == high).astype(int) if low != high else np.zeros(len(part), int)
-            ids = part["rep"].to_numpy()
-            found += [(ids[a], ids[b]) for a, b in block_links(sets, side, p, q)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    links = rows.groupBy("unit").applyInPandas(join_unit, "a long, b long")
+    # Blocks of one chunk share tasks; a chunk of a larger one has its own.
+    unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block"), F.lit(units))).otherwise(F.xxhash64("block", "chunk"))
+    rows = _sets(docs, members.select(unit.alias("unit"), "block", "chunk", "rep", "digest"), width)
+    links = stored(_joined(rows, ["block", "chunk"], p, q))
+    if (held["most"] or 1) > 1:
+        large = members.filter("chunks > 1").select("rep", "digest", "n", "block", "chunk", "chunks")
+        links = links.unionByName(_split_blocks(docs, large, links, width, p, q))
     groups = components(links).select(F.col("node").alias("rep"), "root")
     named = classes.join(groups, "rep", "left").select(
         "digest", F.coalesce("root", "rep").alias("component")
@@ -581,8 +649,9 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id; columns stay.
 
-    Rows that repeat one doc_id count as copies and one of them stays. Rows
-    with a null doc_id stay.
+    Rows that repeat one doc_id count as copies; of those, the one whose
+    columns have the smallest hash stays. Rows with a null doc_id stay, and so
+    do null and wordless texts. An empty table stays empty.
     """
     found = stored(jaccard_components(docs, percent, width))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
@@ -591,5 +660,7 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     again = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("`count` > 1")
     if again.isEmpty():
         return kept
-    known = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.unionByName(kept.filter(F.col("doc_id").isNull()))
+    row = F.struct(*docs.columns)
+    order = F.struct(F.sha2(F.to_json(row), 256), F.xxhash64(*docs.columns))
+    known = kept.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min_by(row, order).alias("kept_row"))
+    return known.select("kept_row.*").unionByName(kept.filter(F.col("doc_id").isNull()))

@@ -86,10 +86,38 @@ def test_jaccard_components(spark, percent, width, monkeypatch):
     got = jaccard_join.jaccard_components(df, percent, width).collect()
     assert len(got) == len(docs)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
-    monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", 500)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_DOCS", 3)
-    got = jaccard_join.jaccard_components(df, percent, width).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    for chunk, boxes in ((500, 40), (2500, 7)):
+        monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", chunk)
+        monkeypatch.setattr(jaccard_join, "COMBINE_BOXES", boxes)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_DOCS", 3)
+        got = jaccard_join.jaccard_components(df, percent, width, certain=1 << 62 if chunk == 500 else None).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_large_blocks_split(spark, monkeypatch):
+    """One group of near copies far above a task's share, with strays that its bounds let in and chains between them."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    base = [rnd.choice(words) for _ in range(120)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3]) if i % 5 else rnd.choice([4, 5, 6, 7])):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        if i % 11 == 0:
+            rnd.shuffle(w)
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = links_of(docs, 85, 4)
+    assert len({c for _, c in want.values()}) > 3
+    seen = []
+    split = jaccard_join._split_blocks
+    monkeypatch.setattr(jaccard_join, "_split_blocks", lambda *a: seen.append(1) or split(*a))
+    for chunk in (300, 1500):
+        monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", chunk)
+        got = jaccard_join.jaccard_components(df, 85, 4).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len(seen) == 2
 
 
 def test_keep_one(spark):
