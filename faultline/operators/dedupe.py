@@ -126,13 +126,12 @@ def duplicate_tiers(df: DataFrame, days: int = 3, window: int = 14, similarity:
     """(a, b, tier): likely duplicates of records (id, url, operator, occurred_on, place, event_type, title).
 
     Tier 1: equal digest of the normalised URL. Tier 2: equal operator, place
-    and type, at most ``days`` apart; blocks are windows of ``window`` days,
-    and each row also enters the next one when it lies near its end. A record
-    is compared with the one before it, so a block of any size gives at most
-    as many rows as it has members and groups come out as chains. Tier 3:
-    equal operator and type, at most ``window`` days apart and Jaccard
-    similarity of title trigrams; all such pairs are connected, over
-    representatives of equal titles of a day.
+    and type, all of them known, at most ``days`` apart. Tier 3: equal
+    operator and type, at most ``window`` days apart and Jaccard similarity of
+    title trigrams. The pairs connect all records of a tier that belong
+    together, over a representative of each URL, each signature and day, or
+    each title and day, so a group of any size gives about as many rows as it
+    has members, and no group is gathered.
     """
     keyed = df.withColumn("u", F.sha2(normalize_url(F.col("url")), 256))
     leads = keyed.filter("u is not null").groupBy("u").agg(F.min("id").alias("a"))
@@ -140,13 +139,14 @@ def duplicate_tiers(df: DataFrame, days: int = 3, window: int = 14, similarity:
     one = first.filter("a <> id").select("a", F.col("id").alias("b"), F.lit(1).alias("tier"))
     day = F.unix_date("occurred_on")
     dated = df.filter("occurred_on is not null and operator is not null").withColumn("day", day).withColumn("operator", fold_name(F.col("operator")))
-    slot = F.floor(F.col("day") / window)
-    both = F.when(F.pmod("day", F.lit(window)) >= window - days, F.array(slot, slot + 1)).otherwise(F.array(slot))
-    near = dated.withColumn("slot", F.explode(both))
-    chained = Window.partitionBy("operator", "slot", "event_type", "place").orderBy("day", "id")
-    two = near.withColumn("a", F.lag("id").over(chained)).withColumn("a_day", F.lag("day").over(chained))
-    two = two.filter(F.col("a").isNotNull() & (F.col("day") - F.col("a_day") <= days))
-    two = two.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), F.lit(2).alias("tier")).filter("a <> b")
+    sign = ["operator", "event_type", "place"]
+    signed = dated.filter("event_type is not null and place is not null").select(*sign, "day", "id")
+    classes = signed.groupBy(*sign, "day").agg(F.min("id").alias("rep"))
+    same = signed.join(classes, [*sign, "day"]).filter("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    chained = Window.partitionBy(*sign).orderBy("day")  # one row for a day
+    near = classes.select("day", F.col("rep").alias("y"), F.lag("rep").over(chained).alias("x"), F.lag("day").over(chained).alias("before"))
+    two = near.filter(F.col("day") - F.col("before") <= days).select("x", "y").unionByName(same)
+    two = two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).alias("tier"))
     block = F.to_json(F.array("operator", "event_type"))
     three = title_links(dated.withColumn("block", block), window, similarity).withColumn("tier", F.lit(3))
     return one.unionByName(two).unionByName(three).groupBy("a", "b").agg(F.min("tier").alias("tier"))

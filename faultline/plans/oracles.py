@@ -366,6 +366,28 @@ ORACLE: dict[str, str] = {
     "j13_frozen_keys": f"""WITH s AS (SELECT p_partkey AS legacy_id, {SLUGIFY.format('p_name')} AS before FROM part)
         SELECT legacy_id, before, CASE WHEN legacy_id % 10 = 0 THEN NULL WHEN legacy_id % 7 = 0 THEN 'moved' ELSE before END AS now,
         CASE WHEN legacy_id % 10 = 0 THEN 'dropped' ELSE 'changed' END AS problem FROM s WHERE legacy_id % 10 = 0 OR legacy_id % 7 = 0""",
+    "d1_duplicate_tiers": w(CORPUS, """, r AS (SELECT slug AS id, substr(slug, 8, 4) AS u, trim(regexp_replace(regexp_replace(lower(developer_or_operator), '[-.,]', ' ', 'g'), '\\s+', ' ', 'g')) AS op,
+          event_type AS kind, location_text AS place, lower(title) AS t, occurred_on - DATE '1970-01-01' AS day FROM events),
+        one AS (SELECT min(id) OVER (PARTITION BY u) AS x, id AS y, 1 AS tier FROM r QUALIFY x <> y),
+        dated AS (SELECT * FROM r WHERE day IS NOT NULL AND op IS NOT NULL),
+        signed AS (SELECT *, min(id) OVER (PARTITION BY op, kind, place, day) AS rep FROM dated WHERE place IS NOT NULL),
+        sday AS (SELECT DISTINCT op, kind, place, day, rep FROM signed),
+        two AS (SELECT rep AS x, id AS y FROM signed WHERE rep <> id UNION ALL SELECT x, y FROM
+          (SELECT lag(rep) OVER p AS x, rep AS y, day - lag(day) OVER p AS gap FROM sday WINDOW p AS (PARTITION BY op, kind, place ORDER BY day)) WHERE gap <= 3),
+        told AS (SELECT *, min(id) OVER (PARTITION BY op, kind, t, day) AS rep FROM dated WHERE t IS NOT NULL),
+        tday AS (SELECT DISTINCT op, kind, t, day, rep FROM told),
+        titles AS (SELECT DISTINCT op, kind, t, list_distinct(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: t[i:i + 2])) AS g FROM tday),
+        pairs AS (SELECT a.op, a.kind, a.t, b.t AS u FROM titles a JOIN titles b ON a.op = b.op AND a.kind = b.kind AND a.t < b.t
+          WHERE len(list_intersect(a.g, b.g)) >= 0.5 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))),
+        sides AS (SELECT p.*, 0 AS side, day, rep FROM pairs p JOIN tday d ON p.op = d.op AND p.kind = d.kind AND p.t = d.t
+          UNION ALL SELECT p.*, 1, day, rep FROM pairs p JOIN tday d ON p.op = d.op AND p.kind = d.kind AND p.u = d.t),
+        lasts AS (SELECT side, day, rep, last_value(CASE WHEN side = 0 THEN {'x': rep, 'd': day} END IGNORE NULLS) OVER p AS l0, last_value(CASE WHEN side = 1 THEN {'x': rep, 'd': day} END IGNORE NULLS) OVER p AS l1
+          FROM sides WINDOW p AS (PARTITION BY op, kind, t, u ORDER BY day, side ROWS UNBOUNDED PRECEDING)),
+        three AS (SELECT rep AS x, id AS y FROM told WHERE rep <> id
+          UNION ALL SELECT x, y FROM (SELECT lag(rep) OVER p AS x, rep AS y, day - lag(day) OVER p AS gap FROM tday WINDOW p AS (PARTITION BY op, kind, t ORDER BY day)) WHERE gap <= 14
+          UNION ALL SELECT CASE WHEN side = 0 THEN l1.x ELSE l0.x END, rep FROM lasts WHERE day - CASE WHEN side = 0 THEN l1.d ELSE l0.d END <= 14),
+        every AS (SELECT * FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three)
+        SELECT least(x, y) AS a, greatest(x, y) AS b, min(tier) AS tier FROM every GROUP BY 1, 2""").replace("\n, r AS", ", r AS"),
     "d2_scores": """WITH t AS (SELECT quality, lang, CASE WHEN n_chars > 2000 THEN 1 WHEN n_chars < 300 THEN 0 END AS p FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL)
         SELECT 'quality' AS field, lang AS subset, count(*) AS scored, count(p) AS predicted, count(*) FILTER (p = quality) AS correct,
         round(count(*) FILTER (p = quality) / nullif(count(p), 0), 6) AS precision, round(count(*) FILTER (p = quality) / count(*), 6) AS recall, round(1 - count(p) / count(*), 6) AS abstention FROM t GROUP BY lang""",
