@@ -182,11 +182,11 @@ def scenario_tags(df: DataFrame) -> DataFrame:
 
 def inconsistency_text(n: Column, fields: Column) -> Column:
     return F.concat(
-        F.lit("Contributing reports grouped under this NHTSA Same Incident ID contain materially inconsistent descriptions across "),
+        F.lit("There is a source-record inconsistency: the reports of this incident differ in "),
         n.cast("string"),
-        F.lit(" event-shape fields ("),
+        F.lit(" fields that shape the event ("),
         fields,
-        F.lit("). This source-record inconsistency is kept as it stands; which description holds, and of how many events, is left open."),
+        F.lit("). Which account holds, and whether it is one event, stays open."),
     )
 
 
@@ -207,11 +207,11 @@ def unknowns(df: DataFrame) -> DataFrame:
     said = F.transform(
         open_,
         lambda d: F.concat(
-            F.lit("Contributing reports disagree on "),
+            F.lit("The reports give several values of "),
             named(d["field"]),
-            F.lit(" ("),
+            F.lit(": "),
             F.array_join(d["values"], " / "),
-            F.lit(") — left unresolved for curator review."),
+            F.lit("; which one holds is for a curator to say."),
         ),
     )
     more = F.when(

@@ -39,6 +39,10 @@ FILING_PHRASES = (
 )
 
 
+# How a note begins and ends.
+NOTE_START, NOTE_END = "Import: contributing reports disagree on ", ". Left blank for curator review."
+
+
 def distinct_in_order(reports: Column, field: str) -> Column:
     """Distinct non-null values of a field, in the order of the reports."""
     values = F.transform(reports, lambda r: r[field])
@@ -126,9 +130,9 @@ def curator_note(disagreements: Column) -> Column:
     return F.when(
         F.size(disagreements) > 0,
         F.concat(
-            F.lit("Import: contributing reports disagree on "),
+            F.lit(NOTE_START),
             F.array_join(parts, "; "),
-            F.lit(". Left blank for curator review."),
+            F.lit(NOTE_END),
         ),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import format_partial_date
 from ..functions.text import external_record_id, hash_slug, location_text
 
+# Date and publisher of the batch.
 BATCH_DATE = "2026-09-06"
 PUBLISHER_LABEL = "NHTSA SGO report "
 # Labels of event types.

@@ -21,13 +21,7 @@ HEDGES = {
     "administrative": (r"investigated the alleged incident",),
     "other": (r"\breportedly\b",),
 }
-CONTACT_VERBS = (
-    r"\b(made|making)\s+contact\s+with\b",
-    r"\bcollided\s+with\b",
-    r"\bstruck\b",
-    r"\brear-ended\b",
-    r"\bto\s+contact\b",
-)
+CONTACT_VERBS = (r"\b(made|making)\s+contact\s+with\b|\bcollided\s+with\b|\bstruck\b|\brear-ended\b|\bto\s+contact\b",)
 MULTI_CONTACT = 3
 NO_CONTACT = (
     r"\b(made\s+)?no\s+contact\s+(or\s+collision\s+)?(between|with)\b",
@@ -86,7 +80,7 @@ OCCUPANT = (
 OTHER_OWNER = r"\b(parked|other|second|another)\s+(\w+\s+)?(av|ads|vehicle)\b"
 AVOIDANCE = (r"steer", r"reduced (vehicle )?speed", r"braked")
 
-#: Report fields and candidate fields that become atoms of their own.
+#: Report fields and candidate fields that become atoms of their own. Fixed values, like all names below.
 REPORT_FIELDS = (
     "reporting_entity",
     "developer_or_operator",
