@@ -23,6 +23,9 @@ SHARED = 2
 LIST_ROWS = 1024
 UNIT_ROWS = 20_000
 
+#: What tells inverted lists apart; ``second`` is -1 in a list that is not split.
+LIST_KEY = ["label", "dim", "pivot", "second"]
+
 CLASS_SCHEMA = "vec_id long, label string, digest string, dim int, raw binary"
 
 
@@ -114,18 +117,19 @@ def permutations(classes: DataFrame, pivots: dict[int, np.ndarray], kind: str) -
     )
 
 
-def list_links(pivot: int, rep: np.ndarray, copies: np.ndarray, units: np.ndarray, perm: np.ndarray, side: np.ndarray | None, least: float, shared: int) -> tuple[np.ndarray, list]:
+def list_links(pivot: int, second: int, rep: np.ndarray, copies: np.ndarray, units: np.ndarray, perm: np.ndarray, side: np.ndarray | None, least: float, shared: int) -> tuple[np.ndarray, list]:
     """Links of one inverted list, or across two chunks of it: how many vectors each one links with, and spanning pairs.
 
     Vectors that share at least ``shared`` pivots are candidates; a pair is
-    counted only in the list of the smallest pivot that both have, and only
-    if its cosine reaches ``least``.
+    counted only in the list of the smallest pivot that both have (of the two
+    smallest, where the list has a ``second``), and only if its cosine reaches
+    ``least``.
     """
     names, local = np.unique(perm, return_inverse=True)
     have = np.zeros((len(rep), len(names)), np.float32)
     have[np.arange(len(rep))[:, None], local.reshape(perm.shape)] = 1
     need = min(shared, perm.shape[1])
-    before = names < pivot
+    before = (names < second) & (names != pivot) if second >= 0 else names < pivot
     linked, groups, spans = np.zeros(len(rep), np.int64), Union(len(rep)), []
     for start in range(0, len(rep), 256):
         rows = slice(start, start + 256)
@@ -152,12 +156,12 @@ def unit_links(pdf: pd.DataFrame, least: float, shared: int, kind: str) -> pd.Da
     rep, copies, chunk = (pdf[c].to_numpy() for c in ("rep", "copies", "chunk"))
     raw, perms = pdf["raw"].to_numpy(), pdf["perm"].to_numpy()
     counted, spanning = [], []
-    for (_, _, pivot, low, high), rows in pdf.groupby(["label", "dim", "pivot", "low", "high"], sort=False).indices.items():
+    for (_, _, pivot, second, low, high), rows in pdf.groupby([*LIST_KEY, "low", "high"], sort=False).indices.items():
         if len(rows) < 2:
             continue
         side = chunk[rows] == high if low != high else None
         units, perm = unit_vectors(raw[rows], kind), np.stack(perms[rows])
-        linked, spans = list_links(int(pivot), rep[rows], copies[rows], units, perm, side, least, shared)
+        linked, spans = list_links(int(pivot), int(second), rep[rows], copies[rows], units, perm, side, least, shared)
         counted += [(int(rep[rows[i]]), int(linked[i])) for i in np.flatnonzero(linked)]
         spanning += spans
     return pd.DataFrame(
@@ -180,8 +184,9 @@ def vector_components(vectors: DataFrame, least: float = 0.98, shared: int = SHA
     Repeated rows are copies. The index may miss pairs that share fewer than
     ``shared`` of their ``PERMUTATION`` nearest pivots (tests measure recall
     against brute force); it never links a pair below ``least``. Inverted
-    lists above ``LIST_ROWS`` are cut by hash into chunks, and each pair of
-    chunks is joined by a task of its own, so no list is capped. Other columns
+    lists above ``LIST_ROWS`` are split by a second shared pivot; what is
+    still longer is cut by hash into chunks, and each pair of chunks is joined
+    by a task of its own, so no list is capped. Other columns
     are ignored; an empty table gives no rows.
     """
     rows = stored(classed(vectors))
@@ -198,24 +203,30 @@ def vector_components(vectors: DataFrame, least: float = 0.98, shared: int = SHA
     pivots = fit_pivots(classes, classes.count(), kind)
     index = stored(permutations(classes.filter(F.col("rep").isNotNull()), pivots, kind))
     posts = index.withColumn("pivot", F.explode("perm"))
-    key = ["label", "dim", "pivot"]
+    first = LIST_KEY[:3]
+    held = stored(posts.groupBy(*first).agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    posts = posts.join(held, first)
+    # A long list is split by a second pivot: two vectors that share the first and no smaller one meet under the next they share.
+    later = F.filter("perm", lambda p: p > F.col("pivot"))
+    seconds = F.when((F.col("held") > LIST_ROWS) & F.lit(shared >= 2), later).otherwise(F.array(F.lit(-1)))
+    posts = posts.withColumn("second", F.explode(seconds)).drop("held")
     sizes = stored(
-        posts.groupBy(*key)
+        posts.groupBy(*LIST_KEY)
         .agg(F.count(F.lit(1)).alias("held"))
         .filter("held > 1")
-        .select(*key, "held", F.ceil(F.col("held") / LIST_ROWS).cast("int").alias("chunks"))
+        .select(*LIST_KEY, "held", F.ceil(F.col("held") / LIST_ROWS).cast("int").alias("chunks"))
     )
     entries = sizes.filter("chunks = 1").agg(F.sum("held")).first()[0] or 0
-    posts = posts.join(sizes, key)
+    posts = posts.join(sizes.drop("held"), LIST_KEY)
     posts = posts.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     )
     posts = posts.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
     # Short lists share tasks; a pair of chunks of a long one has its own.
-    own = F.xxhash64(*key, "low", "high")
-    unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64(*key), F.lit(max(1, -(-entries // UNIT_ROWS))))).otherwise(own)
+    own = F.xxhash64(*LIST_KEY, "low", "high")
+    unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64(*LIST_KEY), F.lit(max(1, -(-entries // UNIT_ROWS))))).otherwise(own)
     found = stored(
-        posts.select(unit.alias("unit"), *key, "low", "high", "chunk", "rep", "copies", "raw", "perm")
+        posts.select(unit.alias("unit"), *LIST_KEY, "low", "high", "chunk", "rep", "copies", "raw", "perm")
         .groupBy("unit")
         .applyInPandas(lambda pdf: unit_links(pdf, least, shared, kind), "a long, b long, links long")
     )

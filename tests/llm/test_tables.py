@@ -221,7 +221,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(warc_store.warc_round_trip(wide, f"file://{tmp_path}/x").collect()) == len(rows)
 
 
-def test_vectors_against_brute_force(spark):
+def test_vectors_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(120, 32))
     rows, n = [], 0
@@ -246,6 +246,11 @@ def test_vectors_against_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(n, n + 5))
     assert got[n + 5].n_links >= 1 and not got[n + 5].kept
     assert vector_dedup.vector_components(df.limit(0)).collect() == []
+    # Long lists, split by a second pivot and into chunks, give the same rows.
+    monkeypatch.setattr(vector_dedup, "LIST_ROWS", 5)
+    monkeypatch.setattr(vector_dedup, "UNIT_ROWS", 50)
+    wide = df.withColumns({"pivot": F.lit("p"), "raw": F.lit(None), "rep": F.lit(1)})
+    assert {tuple(r) for r in vector_dedup.vector_components(wide).collect()} == {tuple(r) for r in got.values()}
 
 
 def test_mixing_follows_the_targets(spark, monkeypatch):
