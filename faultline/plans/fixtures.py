@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..operators import geo
+from ..sources import io
 from . import pipelines
 
 #: Sentences of our own; each rule of the evidence fires on some and not on others. None: no narrative.
@@ -112,9 +112,9 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     """All drafts as titled events of a catalogue: three in four public, one in four curated.
 
-    Not kept, a query computes only what it reads. Kept (spilling to disk), the
-    narrow rows are computed once for queries that read them on several
-    branches; an executor that is lost only has its part made again.
+    Not kept, a query computes only what it reads. Kept, the rows are written
+    once for queries that read them on several branches, each of which then
+    reads only its columns and plans no classification of its own.
     """
     e = ev.titled(ev.to_event(drafts(spark, sf_dir)))
     digit = F.conv(F.substring("slug", 7, 1), 16, 10).cast("int")
@@ -125,7 +125,7 @@ def events(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
             "first_published_at": F.lit(None).cast("timestamp"),
         }
     )
-    return e.persist(StorageLevel.MEMORY_AND_DISK) if keep else e
+    return io.stored(e) if keep else e
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,5 +134,5 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(events, sources), the events kept."""
-    return events(spark, sf_dir, keep=True), sources(spark, sf_dir)
+    """(events, sources), both kept."""
+    return events(spark, sf_dir, keep=True), io.stored(sources(spark, sf_dir))

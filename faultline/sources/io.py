@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a new table in the shared folder and read back: later plans start at its columns, and no lost executor undoes it."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_generation(
     spark: SparkSession, path: str, generation: str, columns: list[str], strict: bool = True, multiline: bool = True
 ) -> DataFrame:
