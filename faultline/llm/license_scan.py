@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .license_texts import DIGESTS, TEXTS
 
 #: Equivalent spellings, replaced in this order in lower-cased text. Fixed values.
@@ -85,11 +86,12 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known digests joins by hash; Spark broadcasts it while it is small.
     """
     known = known_licenses(docs.sparkSession) if known is None else known
-    digests = docs.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+    forms = {"canonical_sha256": canonical} | ({"unwrapped_sha256": unwrapped} if "unwrapped_sha256" in known.columns else {})
+    # Written once, so that no later plan of a join reads the texts again.
+    digests = stored(docs.select("doc_id", *(F.sha2(f(F.col("text")), 256).alias(k) for k, f in forms.items())))
     exact = known.filter("canonical_sha256 is not null").select("canonical_sha256", "license_id")
     if "unwrapped_sha256" not in known.columns:
         return digests.join(exact, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
     other = known.groupBy("unwrapped_sha256").agg(F.min("license_id").alias("other_id"))
-    digests = digests.withColumn("unwrapped_sha256", F.sha2(unwrapped(F.col("text")), 256)).drop("text")
     found = digests.join(exact, "canonical_sha256", "left").join(other, "unwrapped_sha256", "left")
     return found.select("doc_id", "canonical_sha256", F.coalesce("license_id", "other_id").alias("license_id"))
