@@ -31,7 +31,7 @@ EXACT_DIFFERENCES, MEETINGS = 48, 18.0
 #: Routing keys that one partition gets on average at most.
 PARTITION_KEYS = 1_500_000
 #: Entries that a task gathers before it merges them.
-COMBINE_BOXES = 500_000
+COMBINE_BOXES = 200_000
 #: Key blocks up to this size are compared pair by pair, larger ones through an R-tree.
 SMALL_BLOCK = 24
 #: Documents in blocks are broadcast to the texts up to this many, else joined by a shuffle.
@@ -287,8 +287,9 @@ class Boxes:
 
     @staticmethod
     def read(batch: pa.RecordBatch) -> Boxes:
-        raw = b"".join(batch.column("corner").to_pylist())
-        corners = np.frombuffer(raw, CORNER).reshape(-1, BOX_DIMS)
+        column = batch.column("corner")  # all corners have one width, so their bytes are one array
+        start = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+        corners = np.frombuffer(column.buffers()[2], CORNER, len(column) * BOX_DIMS, start).reshape(-1, BOX_DIMS)
         return Boxes(*(batch.column(n).to_numpy() for n in Boxes.NAMES[:4]), corners)
 
     def batch(self) -> pa.RecordBatch:
