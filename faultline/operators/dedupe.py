@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import fold_name, normalize_url, slug_from_title
+from ..sources.io import stored
 
 #: Characters of a title gram.
 TRIGRAM = 3
@@ -108,7 +109,7 @@ def title_links(dated: DataFrame, window: int, similarity: float) -> DataFrame:
     same = records.join(classes, ["block", "t", "day"]).filter("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
     own = Window.partitionBy("block", "t").orderBy("day")
     before = classes.withColumn("x", F.lag("rep").over(own)).withColumn("x_day", F.lag("day").over(own))
-    pairs = similar_titles(classes, window, similarity)
+    pairs = stored(similar_titles(classes, window, similarity))  # read on two sides below
     sides = pairs.select("block", "t", "u", F.lit(0).alias("side"), F.col("t").alias("v")).unionByName(
         pairs.select("block", "t", "u", F.lit(1).alias("side"), F.col("u").alias("v"))
     )
