@@ -436,14 +436,14 @@ def f5_filter_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w4_catalogue_page(spark: SparkSession, sf: str) -> DataFrame:
-    e, s = fixtures.corpus(spark, sf)
-    corpus = catalogue.source_count(e.filter("title is not null"), s)
+    e = fixtures.events(spark, sf, keep=True)
+    corpus = catalogue.source_count(e.filter("title is not null"), fixtures.sources(spark, sf))
     found = pipelines.catalogue_page(corpus, dictionary.names(spark), 2, event_type="collision")
     return found["rows"].select("slug", "title", "source_count").withColumns({"page": F.lit(found["page"]), "pages": F.lit(found["pages"])})
 
 
 def s7_read_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    c = catalogue.read_corpus(*fixtures.corpus(spark, sf))
+    c = catalogue.read_corpus(fixtures.events(spark, sf), fixtures.sources(spark, sf))
     return c.select("slug", F.size("sources").cast("long").alias("n"), joined(F.transform("sources", lambda s: s["external_record_id"]), ",").alias("ids"))
 
 
@@ -458,7 +458,7 @@ def a18_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a21_digest(spark: SparkSession, sf: str) -> DataFrame:
-    return digest.corpus_digest(catalogue.read_corpus(*fixtures.corpus(spark, sf)), ["slug", "event_type", "valence", "sources"])
+    return digest.corpus_digest(catalogue.read_corpus(fixtures.events(spark, sf), fixtures.sources(spark, sf)), ["slug", "event_type", "valence", "sources"])
 
 
 def p12_hash_slugs(spark: SparkSession, sf: str) -> DataFrame:
