@@ -12,6 +12,7 @@ from . import (
     license_scan,
     mixing,
     packing,
+    periodic_runs,
     pii,
     quality_rules,
     token_counts,
@@ -81,6 +82,11 @@ def op10_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repetitions(_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -94,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op8_warc_store,
         op9_raked_mixing,
         op10_pivot_vectors,
+        op13_periodic_runs,
     )
 }
 
