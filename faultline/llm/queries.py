@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    bin_completion,
     chat_format,
     jaccard_join,
     license_scan,
@@ -82,6 +83,10 @@ def op10_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack_completely(_table(spark, sf_dir, "documents"), tokenizer(PACKING_RANKS))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_repetitions(_table(spark, sf_dir, "documents"))
     return periodic_runs.run_digests(periodic_runs.periodic_runs(docs))
@@ -100,6 +105,7 @@ QUERIES: dict[str, Query] = {
         op8_warc_store,
         op9_raked_mixing,
         op10_pivot_vectors,
+        op12_bin_completion,
         op13_periodic_runs,
     )
 }
