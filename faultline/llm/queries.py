@@ -16,6 +16,7 @@ from . import (
     periodic_runs,
     pii,
     quality_rules,
+    token_alignment,
     token_counts,
     vector_dedup,
     warc_store,
@@ -83,6 +84,11 @@ def op10_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_same_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_alignment.token_links(docs, tokenizer(PACKING_RANKS), tokenizer("piece_bpe_32k.model"))
+
+
 def op12_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack_completely(_table(spark, sf_dir, "documents"), tokenizer(PACKING_RANKS))
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Query] = {
         op8_warc_store,
         op9_raked_mixing,
         op10_pivot_vectors,
+        op11_same_token_map,
         op12_bin_completion,
         op13_periodic_runs,
     )
