@@ -126,13 +126,18 @@ def e16_field_evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+LABELS = ("automation_status", "causation_status", "event_type", "valence")
+
+
 def c_classify(spark: SparkSession, sf: str) -> DataFrame:
-    d = fixtures.drafts(spark, sf)
-    labels = ("automation_status", "causation_status", "event_type", "valence")
+    return labels(fixtures.drafts(spark, sf))
+
+
+def labels(d: DataFrame) -> DataFrame:
     return d.select(
         "candidate_id",
-        *(F.col(f"{x}.value").alias(x) for x in labels),
-        *(F.col(f"{x}.confidence").alias(f"{x}_confidence") for x in labels),
+        *(F.col(f"{x}.value").alias(x) for x in LABELS),
+        *(F.col(f"{x}.confidence").alias(f"{x}_confidence") for x in LABELS),
         joined(F.coalesce("scenario_tags.value", F.array().cast("array<string>")), ",").alias("tags"),
         F.size("unknowns").cast("long").alias("n_unknowns"),
     )
