@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.dates import partial_date_sort_key
 from ..functions.text import url_lines
@@ -57,6 +60,84 @@ def newest_first():
     return [key.desc(), F.collate("title", "UNICODE").asc(), F.col("slug").asc()]
 
 
+def seek_page(df: DataFrame, after: tuple | None = None, size: int = PAGE_SIZE) -> DataFrame:
+    """The next ``size`` rows of :func:`newest_first` after a known row, given as (date key, title, slug).
+
+    The predicate is the order itself, lexicographic, with collated titles and
+    null titles first; only rows behind the known one are sorted, and of
+    those each task keeps a page.
+    """
+    if after is None:
+        return df.orderBy(*newest_first()).limit(size)
+    key = partial_date_sort_key(F.col("occurred_on"), F.col("occurred_on_precision"))
+    date, title, slug = (F.lit(x) for x in after)
+    mine = F.collate("title", "UNICODE")
+    later_slug = F.col("slug") > slug
+    if after[1] is None:
+        in_date = F.col("title").isNotNull() | later_slug
+    else:
+        there = F.collate(title.cast("string"), "UNICODE")
+        in_date = (mine > there) | ((mine == there) & later_slug)
+    behind = (key < date) | ((key == date) & in_date)
+    return df.filter(behind).orderBy(*newest_first()).limit(size)
+
+
+@dataclass(frozen=True)
+class PageDirectory:
+    """A list written in order: ``starts`` holds (part, rows before it, rows in it) of each range partition."""
+
+    path: str
+    starts: tuple[tuple[int, int, int], ...]
+    schema: StructType
+
+    @property
+    def rows(self) -> int:
+        return self.starts[-1][1] + self.starts[-1][2] if self.starts else 0
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """All rows, with ``row``: the place of each, from 0."""
+        stored = StructType([*self.schema.fields, StructField("_at", LongType()), StructField("_part", IntegerType())])
+        before = spark.createDataFrame([s[:2] for s in self.starts], "_part int, _before long")
+        rows = spark.read.schema(stored).parquet(self.path).join(F.broadcast(before), "_part")
+        return rows.select(*self.schema.names, (F.col("_before") + F.col("_at")).alias("row"))
+
+    def page(self, spark: SparkSession, number, size: int = PAGE_SIZE) -> tuple[DataFrame, dict]:
+        """As :func:`page`, but reading only the parts that hold the page, and of those only row groups with its rows."""
+        pages = max(1, -(-self.rows // size))
+        n = min(page_number(number), pages)
+        low, high = (n - 1) * size, n * size
+        stored = StructType([*self.schema.fields, StructField("_at", LongType()), StructField("_part", IntegerType())])
+        rows = spark.read.schema(stored).parquet(self.path)
+        wanted = F.lit(False)
+        for part, before, held in self.starts:
+            if before < high and before + held > low:
+                wanted = wanted | ((F.col("_part") == part) & F.col("_at").between(low - before, high - before - 1))
+        found = rows.filter(wanted).orderBy("_part", "_at").select(*self.schema.names)
+        return found, {"matched": self.rows, "page": n, "pages": pages}
+
+
+def page_directory(df: DataFrame, path: str, order=None) -> PageDirectory:
+    """Write ``df`` to ``path`` in order, by ranges, so that any page is read from the parts that hold it.
+
+    One shuffle by ranges of the order. Each range is a folder, sorted, its
+    rows numbered; the driver sees one count for each range.
+    """
+    order = order or newest_first()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id()
+    placed = ranged.withColumn("_row", row).withColumns(
+        {"_at": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)), "_part": F.shiftright("_row", 33).cast("int")}
+    )
+    placed.drop("_row").write.partitionBy("_part").parquet(path)
+    stored = StructType([*df.schema.fields, StructField("_at", LongType()), StructField("_part", IntegerType())])
+    counts = df.sparkSession.read.schema(stored).parquet(path).groupBy("_part").count().orderBy("_part").collect()
+    starts, before = [], 0
+    for part, held in counts:
+        starts.append((part, before, held))
+        before += held
+    return PageDirectory(path, tuple(starts), df.schema)
+
+
 def keyset_page(df: DataFrame, key: str, after=None, size: int = PAGE_SIZE) -> DataFrame:
     """The next ``size`` rows by a unique key after a known one. A page costs the same however deep it lies."""
     rows = df if after is None else df.filter(F.col(key) > F.lit(after))
@@ -90,13 +171,17 @@ def select_imports(records: DataFrame, collection: str | None = None) -> DataFra
     return out if collection is None else out.filter(F.col("collection") == collection)
 
 
+def page_number(number) -> int:
+    """The page asked for; what is no number of 1 or more is page 1."""
+    text = str(number)
+    return int(text) if text.isdigit() and int(text) >= 1 else 1
+
+
 def page(df: DataFrame, number, size: int = PAGE_SIZE, order=None) -> tuple[DataFrame, dict]:
     """Rows of one page, and {matched, page, pages}. Pages start at 1; a bad number is page 1, a high one the last page."""
     matched = df.count()
     pages = max(1, -(-matched // size))
-    text = str(number)
-    wanted = int(text) if text.isdigit() and int(text) >= 1 else 1
-    n = min(wanted, pages)
+    n = min(page_number(number), pages)
     rows = df.orderBy(*(order or newest_first())).offset((n - 1) * size).limit(size)
     return rows, {"matched": matched, "page": n, "pages": pages}
 

@@ -125,6 +125,77 @@ def build_candidates(reports: DataFrame) -> DataFrame:
     ).withColumn("curator_note", curator_note(F.col("disagreements")))
 
 
+#: The order of reports as one long: historical ones first, then by where a report came first.
+LATER = 1 << 61
+
+
+def keyed_reports(reports: DataFrame) -> DataFrame:
+    """Reports with ``candidate_id`` and ``place``, their order within an incident."""
+    key = identity_key(F.col("same_incident_id"), F.col("reporting_generation"), F.col("report_id"))
+    late = F.when(F.col("reporting_generation") == "historical", F.lit(0)).otherwise(F.lit(LATER))
+    return reports.withColumns({"candidate_id": key, "place": late + F.col("first_ord")})
+
+
+def stated_values(keyed: DataFrame) -> DataFrame:
+    """(candidate_id, field, value, first): distinct values that an incident's reports state, and where each came first.
+
+    The state of a value is one long, so tasks combine what they hold before
+    the shuffle, and an incident is spread over its fields and values.
+    ``field`` is a place in ``MIRRORED``; the number after them stands for the
+    date with its precision.
+    """
+    date = F.when(
+        F.col("incident_date_precision") != "unknown", F.concat_ws("|", F.col("incident_date").cast("string"), F.col("incident_date_precision"))
+    )
+    values = [F.col(f).cast("string") for f in MIRRORED.values()] + [date]
+    each = F.array(*(F.struct(F.lit(i).alias("field"), v.alias("value")) for i, v in enumerate(values)))
+    said = keyed.select("candidate_id", "place", F.explode(each).alias("s")).filter(F.col("s.value").isNotNull())
+    return said.groupBy("candidate_id", F.col("s.field").alias("field"), F.col("s.value").alias("value")).agg(F.min("place").alias("first"))
+
+
+def consolidate(reports: DataFrame) -> DataFrame:
+    """Candidates without their reports: agreed fields, disagreements, representative narrative, note and number of reports.
+
+    No step holds the reports of an incident: values are combined by (incident,
+    field, value) in :func:`stated_values`, and only the distinct ones are
+    gathered, in the order in which they came first; narratives are combined
+    as the best one so far. An incident of any number of reports takes as much
+    memory as it has distinct values. Reports stay rows: see :func:`members`.
+    """
+    keyed = keyed_reports(reports)
+    told = stated_values(keyed).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("field", "first", "value"))).alias("said"))
+    one = keyed.groupBy("candidate_id").agg(
+        F.min("same_incident_id").alias("same_incident_id"), representative_text().alias("narrative"), F.count(F.lit(1)).alias("n_reports")
+    )
+    wide = one.join(told, "candidate_id", "left")
+    n = len(MIRRORED)
+    values = lambda i: F.transform(F.filter("said", lambda s: s["field"] == i), lambda s: s["value"])
+    wide = wide.select("*", *(values(i).alias(f"_{i}") for i in range(n + 1)))
+    lone = lambda i: F.when(F.size(F.col(f"_{i}")) == 1, F.get(F.col(f"_{i}"), F.lit(0)))
+    wide = wide.withColumn("_date", lone(n))
+    names = [*MIRRORED.values(), "incident_date"]
+    conflicts = F.array(
+        *(F.when(F.size(F.col(f"_{i}")) > 1, F.struct(F.lit(name).alias("field"), F.col(f"_{i}").alias("values"))) for i, name in enumerate(names))
+    )
+    return wide.select(
+        "candidate_id",
+        "same_incident_id",
+        *(lone(i).alias(c) for i, c in enumerate(MIRRORED)),
+        F.split_part("_date", F.lit("|"), F.lit(1)).cast("date").alias("incident_date"),
+        F.coalesce(F.split_part("_date", F.lit("|"), F.lit(2)), F.lit("unknown")).alias("incident_date_precision"),
+        F.lit("US").alias("country_code"),
+        "narrative",
+        F.filter(conflicts, lambda x: x.isNotNull()).alias("disagreements"),
+        "n_reports",
+        F.lit("pending").alias("status"),
+    ).withColumn("curator_note", curator_note(F.col("disagreements")))
+
+
+def members(reports: DataFrame) -> DataFrame:
+    """Reports as rows of their candidates: candidate_id, place (their order in it) and all columns."""
+    return keyed_reports(reports)
+
+
 def curator_note(disagreements: Column) -> Column:
     parts = F.transform(disagreements, lambda d: F.concat(d["field"], F.lit(" ("), F.array_join(d["values"], " / "), F.lit(")")))
     return F.when(

@@ -175,3 +175,206 @@ def score_labels(truth: DataFrame, predicted: DataFrame, key: str, fields: list[
             "abstention": F.round(1 - F.col("predicted") / F.col("scored"), 6),
         }
     )
+
+
+#: Records of one gram key that a task compares with the others of that key; larger ones are cut into chunks of this size.
+HOT_GRAM = 10_000
+#: Weights of the grams of a title and of a lede.
+TITLE_WEIGHT, LEDE_WEIGHT = 2, 1
+SIDE = ["id", "block", "day", "grams", "weight"]
+
+
+def weighted_grams(title: Column, lede: Column) -> Column:
+    """array of struct(g, w): distinct trigrams of the lower-case title and lede, apart by field, with their weights."""
+    def of(text: Column, tag: str, weight: int) -> Column:
+        found = F.when(F.length(text) > 0, F.transform(grams(F.lower(text)), lambda g: F.struct(F.concat(F.lit(tag), g).alias("g"), F.lit(weight).alias("w"))))
+        return F.coalesce(found, F.array().cast("array<struct<g: string, w: int>>"))
+
+    return F.concat(of(title, "t:", TITLE_WEIGHT), of(lede, "l:", LEDE_WEIGHT))
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """Records with known operator and date as (id, block, day, grams, weight)."""
+    block = F.to_json(F.array(fold_name(F.col("operator")), F.col("event_type")))
+    rows = df.filter("occurred_on is not null and operator is not null").select(
+        "id", block.alias("block"), F.unix_date("occurred_on").alias("day"), weighted_grams(F.col("title"), F.col("lede")).alias("grams")
+    )
+    total = F.aggregate("grams", F.lit(0), lambda n, g: n + g["w"])
+    return rows.withColumn("weight", total).filter("weight > 0")
+
+
+def _prefixes(side: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(id, block, day, weight, g): grams of which two similar records share one, rarest first.
+
+    The grams after the prefix weigh less than ``similarity`` of the whole, so
+    two records that share only such grams can't reach it.
+    """
+    each = side.select("id", F.explode("grams").alias("x")).select("id", "x.g", "x.w").join(held, "g")
+    order = Window.partitionBy("id").orderBy("df", "g").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # What this gram and all after it weigh; once that is too little, no gram further on is needed.
+    ranked = each.withColumn("rest", F.sum("w").over(order)).join(side.drop("grams"), "id")
+    return ranked.filter(F.col("rest") >= F.col("weight") * similarity - 1e-9).select("id", "block", "day", "weight", "g")
+
+
+def similar_records(incoming: DataFrame, existing: DataFrame, window: int = 14, similarity: float = 0.5) -> DataFrame:
+    """(id, match, score): pairs of an incoming and an existing record (id, operator, event_type, occurred_on, title, lede) that are similar.
+
+    Equal operator and type, at most ``window`` days apart, weighted Jaccard
+    of the trigrams of title and lede of at least ``similarity``. Exact: a
+    prefix filter finds candidates by an equality join on block, slot of days
+    and gram, and all grams verify them. A gram that more than ``HOT_GRAM``
+    existing records of one block and slot share is cut into chunks by a hash
+    of the record, and an incoming record visits each of them.
+    """
+    a, b = stored(_side(incoming)), stored(_side(existing))
+    count = lambda df: df.select(F.explode("grams.g").alias("g"))
+    held = stored(count(a).unionByName(count(b)).groupBy("g").agg(F.count(F.lit(1)).alias("df")))
+    slot = F.floor(F.col("day") / window)
+    left = _prefixes(a, held, similarity).withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
+    right = _prefixes(b, held, similarity).withColumn("slot", slot)
+    key = ["block", "slot", "g"]
+    right = stored(right.select(F.col("id").alias("match"), F.col("day").alias("match_day"), F.col("weight").alias("match_weight"), *key))
+    hot = right.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / HOT_GRAM).cast("int").alias("chunks")).filter("chunks > 1")
+    chunks = F.coalesce("chunks", F.lit(1))
+    right = right.join(hot, key, "left").withColumn("chunk", F.pmod(F.xxhash64("match"), chunks).cast("int")).drop("chunks")
+    left = left.join(hot, key, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("chunks")
+    pairs = left.join(right, [*key, "chunk"]).filter(
+        (F.abs(F.col("day") - F.col("match_day")) <= window)
+        & (F.least("weight", "match_weight") >= F.greatest("weight", "match_weight") * similarity - 1e-9)
+    )
+    pairs = pairs.select("id", "match").distinct()
+    other = b.select(F.col("id").alias("match"), F.col("grams").alias("h"), F.col("weight").alias("v"))
+    both = pairs.join(a.select("id", "grams", "weight"), "id").join(other, "match")
+    common = F.aggregate(F.array_intersect("grams", "h"), F.lit(0), lambda n, g: n + g["w"])
+    score = common / (F.col("weight") + F.col("v") - common)
+    return both.select("id", "match", score.alias("score")).filter(F.col("score") >= similarity)
+
+
+def resolve_merged(ids: DataFrame, merged: DataFrame, column: str = "match", most_rounds: int = 40) -> DataFrame:
+    """``ids`` with ``column`` replaced by where it was merged into in the end; ``merged`` holds (id, merged_into).
+
+    Pointers are doubled round by round, so a chain of n redirects takes log n
+    rounds; a circle of redirects is an error. Redirects that point at
+    themselves are none.
+    """
+    cur = stored(merged.filter("merged_into is not null and merged_into <> id").select("id", "merged_into"))
+    for _ in range(most_rounds):
+        on = cur.select(F.col("id").alias("merged_into"), F.col("merged_into").alias("on"))
+        jumped = stored(cur.join(on, "merged_into", "left").select("id", F.coalesce("on", "merged_into").alias("merged_into"), F.col("on").isNotNull().alias("moved")))
+        moved, circle = jumped.agg(F.count_if("moved"), F.count_if(F.col("id") == F.col("merged_into"))).first()
+        if circle:
+            raise ValueError("records are merged into each other in a circle")
+        cur = jumped.drop("moved")
+        if not moved:
+            break
+    else:
+        raise ValueError("records are merged into each other in a circle")
+    ends = cur.select(F.col("id").alias(column), F.col("merged_into").alias("_end"))
+    return ids.join(ends, column, "left").withColumn(column, F.coalesce("_end", column)).drop("_end")
+
+
+def dispositions(
+    incoming: DataFrame, existing: DataFrame, merged: DataFrame | None = None, days: int = 3, window: int = 14, similarity: float = 0.5
+) -> DataFrame:
+    """(id, disposition, match, tier, score) of every incoming record: attach, possible-duplicate or new.
+
+    Records: id, url, operator, occurred_on, place, event_type, title, lede.
+    Strong: a source has the same normalised URL (tier 1), or operator, place
+    and type agree within ``days`` and the texts are similar as well (tier 2).
+    Partial: one of the two alone (tier 2 or 3). The best match is taken: by
+    strength, tier, score, then the smallest id, which is followed to the
+    record it was merged into. A record without a match is new. An existing
+    record that a signature or URL shares with very many is one of them: each
+    key keeps its smallest and its nearest day only.
+    """
+    url = F.sha2(normalize_url(F.col("url")), 256)
+    known = existing.filter("url is not null").groupBy(url.alias("u")).agg(F.min("id").alias("match"))
+    one = incoming.select("id", url.alias("u")).join(known, "u").select("id", "match", F.lit(1).alias("tier"), F.lit(None).cast("double").alias("score"))
+    texts = stored(similar_records(incoming, existing, window, similarity))
+
+    def signed(df: DataFrame) -> DataFrame:
+        rows = df.filter("occurred_on is not null and operator is not null and place is not null and event_type is not null")
+        return rows.select("id", fold_name(F.col("operator")).alias("op"), "place", "event_type", F.unix_date("occurred_on").alias("day"))
+
+    sign = ["op", "place", "event_type"]
+    days_of = signed(existing).groupBy(*sign, "day").agg(F.min("id").alias("match"))
+    near = signed(incoming).withColumn("to", F.explode(F.sequence(F.col("day") - days, F.col("day") + days)))
+    met = near.join(days_of.withColumnRenamed("day", "to"), [*sign, "to"])
+    gap = F.abs(F.col("to") - F.col("day"))
+    two = met.groupBy("id").agg(F.min(F.struct(gap.alias("gap"), "match")).alias("m")).select("id", "m.match")
+    # Similar records whose signature agrees too are strong.
+    pairs = texts.join(signed(incoming).withColumnRenamed("day", "d1"), "id", "left").join(
+        signed(existing).select(F.col("id").alias("match"), *(F.col(c).alias(f"e_{c}") for c in sign), F.col("day").alias("d2")), "match", "left"
+    )
+    agree = (F.abs(F.col("d1") - F.col("d2")) <= days)
+    for c in sign:
+        agree = agree & (F.col(c) == F.col(f"e_{c}"))
+    agree = F.coalesce(agree, F.lit(False))
+    three = pairs.select("id", "match", F.when(agree, 2).otherwise(3).alias("tier"), "score", agree.alias("strong"))
+    every = one.withColumn("strong", F.lit(True)).unionByName(three).unionByName(
+        two.withColumns({"tier": F.lit(2), "score": F.lit(None).cast("double"), "strong": F.lit(False)})
+    )
+    best = every.groupBy("id").agg(F.min(F.struct(~F.col("strong"), "tier", -F.coalesce("score", F.lit(0.0)), "match", "score", "strong")).alias("m"))
+    found = best.select("id", "m.match", "m.tier", "m.score", "m.strong")
+    if merged is not None:
+        found = resolve_merged(found, merged)
+    out = incoming.select("id").join(found, "id", "left")
+    kind = F.when(F.col("strong"), "attach").when(F.col("match").isNotNull(), "possible-duplicate").otherwise("new")
+    return out.select("id", kind.alias("disposition"), "match", "tier", "score")
+
+
+#: Terms of a sign test that are added up; from there on they are below a double's last digit.
+SIGN_TERMS = 200_000
+
+
+def log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!, by Stirling's series above 20."""
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
+def sign_test(wins: Column, losses: Column) -> Column:
+    """Two-sided exact sign test of ``wins`` against ``losses``; 1 without either."""
+    n, m = wins + losses, F.least(wins, losses)
+    first = log_factorial(n) - log_factorial(m) - log_factorial(n - m) - n * F.lit(0.6931471805599453)
+    # The sum of the binomial's tail, as its largest term times falling ratios.
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    steps = F.when(m > 0, F.sequence(F.lit(0).cast("long"), F.least(m, F.lit(SIGN_TERMS)) - 1))
+    tail = F.aggregate(
+        F.coalesce(steps, F.array().cast("array<long>")),
+        start,
+        lambda s, i: F.struct(
+            (s["term"] * (m - i) / (n - m + i + 1)).alias("term"), (s["sum"] + s["term"] * (m - i) / (n - m + i + 1)).alias("sum")
+        ),
+        lambda s: s["sum"],
+    )
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(first) * tail))
+
+
+def label_transitions(truth: DataFrame, before: DataFrame, after: DataFrame, key: str, fields: list[str], subset: str | None = None) -> DataFrame:
+    """Paired comparison of two labellings by field (and subset): what became right, what became wrong, and whether that is chance.
+
+    A missing or null label is not right. Rows without a truth are not scored.
+    Counts (scored, kept_right, kept_wrong, fixed, regressed, changed_wrong:
+    wrong both times, but not in the same way), the net gain and ``p_value``
+    of an exact two-sided sign test on fixed against regressed. One pass: both
+    labellings are joined by key, and only counts are grouped.
+    """
+    b = before.select(key, *(F.col(f).cast("string").alias(f"b_{f}") for f in fields))
+    a = after.select(key, *(F.col(f).cast("string").alias(f"a_{f}") for f in fields))
+    both = truth.join(b, key, "left").join(a, key, "left")
+    each = F.explode(
+        F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("t"), F.col(f"b_{f}").alias("b"), F.col(f"a_{f}").alias("a")) for f in fields))
+    )
+    rows = both.select(F.col(subset).cast("string").alias("subset") if subset else F.lit("all").alias("subset"), each.alias("x")).select("subset", "x.*")
+    was, now = (F.coalesce(F.col(c) == F.col("t"), F.lit(False)) for c in ("b", "a"))
+    out = rows.filter("t is not null").groupBy("field", "subset").agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.count_if(was & now).alias("kept_right"),
+        F.count_if(~was & ~now).alias("kept_wrong"),
+        F.count_if(~was & now).alias("fixed"),
+        F.count_if(was & ~now).alias("regressed"),
+        F.count_if(~was & ~now & ~F.col("a").eqNullSafe(F.col("b"))).alias("changed_wrong"),
+    )
+    return out.withColumns({"net": F.col("fixed") - F.col("regressed"), "p_value": F.round(sign_test(F.col("fixed"), F.col("regressed")), 6)})

@@ -116,6 +116,33 @@ def before_after(before: DataFrame, after: DataFrame, key: str, column: str) ->
     return sides.filter("value is not null").groupBy("value").agg(F.sum("nb").alias("before"), F.sum("na").alias("after"), F.sum("ch").alias("changed"))
 
 
+#: Keys of places in a box that go into the scan of the events; with more of them, only the joins decide.
+PUSHED_KEYS = 5_000
+
+
+def event_map_in(events: DataFrame, override: DataFrame, places: DataFrame, *box: float) -> DataFrame:
+    """:func:`event_map` inside a box: the rows that ``filter_bounds`` leaves of it, found from the places in the box.
+
+    The box filters the places first. Overrides are joined with those alone.
+    For derived events the keys of these places, one of which an event must
+    have on some level, are a filter of the scan, so few events reach the
+    joins; the joins then see to it that no finer level has a place elsewhere.
+    """
+    inside = filter_bounds(places, *box)
+    o = override.join(inside.select(F.col("key").alias("lookup_key")), "lookup_key", "left_semi")
+    curated = resolve_override(events, o, inside)
+    keys = [r["key"] for r in inside.select("key").limit(PUSHED_KEYS + 1).collect()]
+    if len(keys) <= PUSHED_KEYS:
+        city, region = location_tokens(F.col("location_text"))
+        country = F.upper("location_country_code")
+        ladder = (F.concat_ws("|", city, region, country), F.concat_ws("|", region, country), country)
+        reach = F.lit(False)
+        for k in ladder:
+            reach = reach | k.isin(keys)
+        events = events.filter(F.coalesce(reach, F.lit(False)))
+    return curated.unionByName(filter_bounds(resolve_hierarchical(events, places), *box))
+
+
 def filter_bounds(points: DataFrame, min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> DataFrame:
     """Points inside a box, edges included. A box that is not finite, inverted, out of range or over the antimeridian is an error."""
     box = (min_lat, max_lat, min_lon, max_lon)

@@ -128,6 +128,27 @@ def duplicate_keys(df: DataFrame, key: str, member: str, rule: str = "duplicate"
     )
 
 
+def unique_rows(df: DataFrame, columns: list[str], member: str, rule: str = "duplicate", where: Column | str | None = None, nulls_distinct: bool = False) -> DataFrame:
+    """(key, rule, message, members): combinations of ``columns`` that several rows hold, among the rows of ``where``.
+
+    As a unique index does, only rows for which ``where`` is true count. Nulls
+    are equal to each other, as in NULLS NOT DISTINCT, unless
+    ``nulls_distinct``. The key is the columns' values as JSON, nulls
+    included, so no text can pass for another combination; counts are combined
+    before the shuffle.
+    """
+    rows = df if where is None else df.filter(where)
+    if nulls_distinct:
+        rows = rows.dropna(subset=columns)
+    key = F.to_json(F.array(*(F.col(c).cast("string") for c in columns)), {"ignoreNullFields": "false"})
+    held = rows.groupBy(key.alias("key")).agg(
+        F.count(F.lit(1)).alias("members"), F.min(F.col(member).cast("string")).alias("least"), F.max(F.col(member).cast("string")).alias("most")
+    )
+    return held.filter("members > 1").select(
+        "key", F.lit(rule).alias("rule"), said("held by ", F.col("least"), F.col("most")).alias("message"), "members"
+    )
+
+
 def missing_references(df: DataFrame, key: str, column: str, target: DataFrame, target_key: str, rule: str) -> DataFrame:
     """Rows whose reference resolves to no target row."""
     known = target.select(F.col(target_key).alias(column)).distinct()
@@ -237,20 +258,83 @@ def source_checks() -> list[Check]:
     ]
 
 
+#: Marks of what a batch holds, beside its violations.
+EVENTS, NO_URL = "#events", "#null-urls"
+MARK = "struct<rule: string, key: string, detail: string, nth: long, event: long, source: long>"
+
+
+def structural_marks(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """(rule, key, detail, n, events, sources): one scan of events and of sources, one shuffle, for all structural checks.
+
+    Each row says all that the checks need of it in one array: the row checks
+    it fails (numbered, so they stay apart), the keys that have to be unique
+    or referred to, and what is to be counted. Marks are counted by rule and
+    key with a partial step before the shuffle, so a key that many rows hold
+    sends one row from each task. Counters are marks too, so they are right
+    when tasks run again.
+    """
+    c = F.col
+
+    def mark(rule, key, detail=None, event=0, source=0, nth=None) -> Column:
+        longs = (F.lit(None) if nth is None else nth, F.lit(event), F.lit(source))
+        parts = (F.lit(rule) if isinstance(rule, str) else rule, key, F.lit(None) if detail is None else detail)
+        return F.struct(*(x.cast("string") for x in parts), *(x.cast("long") for x in longs)).cast(MARK)
+
+    def marks(df: DataFrame, checks: list[Check], key: str, *more: Column) -> DataFrame:
+        checked = with_violations(df, checks).withColumn("_nth", F.monotonically_increasing_id())
+        failed = F.transform("violations", lambda v: mark(v["rule"], c(key), v["message"], nth=c("_nth")))
+        kept = F.filter(F.array(*more), lambda m: m.isNotNull())
+        return checked.select(F.explode(F.concat(failed, kept)).alias("m")).select("m.*")
+
+    unique = lambda rule, key: F.when(c(key).isNotNull(), mark(rule, c(key)))
+    e = marks(
+        events,
+        event_checks(),
+        "slug",
+        unique("duplicate-candidate", "candidate_id"),
+        unique("duplicate-slug", "slug"),
+        mark("no-source", c("slug"), event=1),
+        mark(EVENTS, F.lit(None)),
+    )
+    s = marks(
+        sources,
+        source_checks(),
+        "event_slug",
+        mark("duplicate-external-id", c("event_slug"), c("external_record_id")),
+        F.when(c("event_slug").isNotNull(), mark("no-source", c("event_slug"), source=1)),
+        F.when(c("url").isNull(), mark(NO_URL, F.lit(None))),
+    )
+    keys = ["rule", "key", "detail", "nth"]
+    out = e.unionByName(s).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"), F.sum("source").alias("sources")
+    )
+    return out.drop("nth")
+
+
+def _violated() -> Column:
+    """Whether a mark of :func:`structural_marks` is a violation."""
+    r = F.col("rule")
+    several = r.isin("duplicate-candidate", "duplicate-slug", "duplicate-external-id")
+    return (
+        F.when(r == "no-source", (F.col("events") > 0) & (F.col("sources") == 0))
+        .when(r.startswith("#"), F.lit(False))
+        .otherwise(~several | (F.col("n") > 1))
+    )
+
+
+def marked_violations(marks: DataFrame) -> DataFrame:
+    """(key, rule, message) of the marks that are violations."""
+    message = (
+        F.when(F.col("rule") == "no-source", F.lit("no source"))
+        .when(F.col("n") > 1, F.concat_ws(": ", F.concat(F.lit("rows that hold it: "), F.col("n").cast("string")), F.col("detail")))
+        .otherwise(F.col("detail"))
+    )
+    return marks.filter(_violated()).select("key", "rule", message.alias("message"))
+
+
 def structural_qa(events: DataFrame, sources: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
     """All structural violations of a batch of events and sources: rows, unique keys, at least one source, unknowns carried over."""
-    found = violations(events, "slug", event_checks()).unionByName(violations(sources, "event_slug", source_checks()))
-    for df in (
-        duplicate_keys(events, "candidate_id", "slug", "duplicate-candidate"),
-        duplicate_keys(events, "slug", "candidate_id", "duplicate-slug"),
-    ):
-        found = found.unionByName(df.drop("members"))
-    twice = sources.groupBy("event_slug", "external_record_id").count().filter("`count` > 1")
-    found = found.unionByName(
-        twice.select(F.col("event_slug").alias("key"), F.lit("duplicate-external-id").alias("rule"), said("twice: ", F.col("external_record_id")).alias("message"))
-    )
-    bare = events.join(sources.select(F.col("event_slug").alias("slug")), "slug", "left_anti")
-    found = found.unionByName(violations(bare, "slug", [Check("no-source", F.lit(True), "no source")]))
+    found = marked_violations(structural_marks(events, sources))
     if drafts is not None:
         both = events.select("candidate_id", "slug", "unknowns").join(drafts.select("candidate_id", F.col("unknowns").alias("drafted")), "candidate_id")
         found = found.unionByName(violations(both, "slug", [Check("unknowns", ~F.col("unknowns").eqNullSafe(F.col("drafted")), "unknowns differ from the draft's")]))
@@ -263,21 +347,30 @@ QA_RULES = (
 )
 
 
-def qa_counters(found: DataFrame, sources: DataFrame, processed: int, events: DataFrame, invalid: int = 0) -> DataFrame:
-    """One row: a counter and a passed flag for each rule, sources without a URL (a blocker, not a failure), and one event for each candidate."""
+def qa_counters(marks: DataFrame, processed: int | None = None, invalid: int = 0, more: DataFrame | None = None) -> DataFrame:
+    """One row from :func:`structural_marks`: a counter and a passed flag for each rule, sources without a URL (a blocker, not a failure), and one event for each candidate.
+
+    ``processed`` is the number of candidates (without it, that of the
+    events); ``more`` holds violations found elsewhere. Nothing is scanned
+    again: events and sources are counted by their marks.
+    """
+    tally = marks.select("rule", "n", _violated().alias("bad"))
+    if more is not None:
+        tally = tally.unionByName(more.select("rule", F.lit(1).cast("long").alias("n"), F.lit(True).alias("bad")))
     kind = F.substring_index("rule", ":", 1)
     name = lambda r: r.replace("-", "_")
-    counts = found.agg(*(F.count_if(kind == r).alias(f"n_{name(r)}") for r in QA_RULES))
-    generated = events.count()
+    held = lambda r: F.coalesce(F.sum(F.when(F.col("rule") == r, F.col("n"))), F.lit(0))
+    counts = tally.agg(
+        *(F.count_if(F.col("bad") & (kind == r)).alias(f"n_{name(r)}") for r in QA_RULES), held(EVENTS).alias("generated"), held(NO_URL).alias("null_urls")
+    )
     flags = {f"ok_{name(r)}": F.col(f"n_{name(r)}") == 0 for r in QA_RULES}
+    done = F.col("generated") if processed is None else F.lit(processed).cast("long")
     return counts.withColumns(
         flags
         | {
-            "processed": F.lit(processed),
-            "generated": F.lit(generated),
-            "ok_one_event_each": F.lit(generated + invalid == processed),
+            "processed": done,
+            "ok_one_event_each": F.col("generated") + invalid == done,
             "ok_no_invalid_draft": F.lit(invalid == 0),
-            "null_urls": F.lit(sources.filter("url is null").count()),
         }
     )
 
@@ -425,23 +518,71 @@ def assert_counts(actual: dict[str, int], expected: dict[str, int]) -> None:
         raise ValueError(f"counts differ from the approved ones (actual, expected): {off}")
 
 
-def snapshot_transitions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Violations between two snapshots of events: frozen slugs and publish times, new rows private, no rename while publishing."""
-    b = before.select("id", *(F.col(x).alias(f"b_{x}") for x in ("slug", "is_public", "first_published_at", "title")))
-    a = after.select("id", "slug", "is_public", "first_published_at", "title")
-    both = b.withColumn("old", F.lit(True)).join(a.withColumn("new", F.lit(True)), "id", "full_outer")
+def snapshot_transitions(
+    before: DataFrame, after: DataFrame, sources: tuple[DataFrame, DataFrame] | None = None, submissions: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """Violations between two snapshots, one keyed pass over all tables.
+
+    Events (id, slug, title, is_public, first_published_at): frozen slugs and
+    publish times, new rows private, no rename while publishing. Sources
+    (before, after; event_slug): an event that is public keeps a source.
+    Submissions (id, status, reviewed_at): a review stamp comes only with a
+    move off pending, and a move off pending has one; reviewed ones do not go
+    back. Every row of every snapshot becomes one slim row, and all of them
+    meet in a single shuffle by table and key; sources are counted before it.
+    """
     c = F.col
-    published = c("b_first_published_at").isNotNull()
-    kept = c("old") & c("new")
+    fields = ("slug", "is_public", "first_published_at", "title", "status", "reviewed_at")
+    kinds = dict.fromkeys(fields, "string") | {"is_public": "boolean", "first_published_at": "timestamp", "reviewed_at": "timestamp"}
+
+    def side(df: DataFrame, table: str, key: str, old: bool, *have: str, n: Column | None = None) -> DataFrame:
+        row = F.struct(*((c(x) if x in have else F.lit(None)).cast(kinds[x]).alias(x) for x in fields))
+        none = F.lit(None).cast(row_type)
+        return df.select(
+            F.lit(table).alias("table"),
+            c(key).cast("string").alias("key"),
+            (row if old else none).alias("old"),
+            (none if old else row).alias("new"),
+            (F.lit(0) if n is None else n).cast("long").alias("n"),
+        )
+
+    row_type = "struct<" + ", ".join(f"{x}: {kinds[x]}" for x in fields) + ">"
+    kept = ("slug", "is_public", "first_published_at", "title")
+    parts = [side(before, "event", "id", True, *kept), side(after, "event", "id", False, *kept)]
+    if sources is not None:
+        # By slug: public events, and how many sources each has in the later snapshot; an earlier one shows what was lost.
+        parts.append(side(after.filter("is_public"), "source", "slug", False, "slug", "is_public"))
+        for df, old in zip(sources, (True, False)):
+            counts = df.groupBy("event_slug").agg(F.count(F.lit(1)).alias("held"))
+            parts.append(side(counts, "source", "event_slug", True, n=c("held") * (1 << 40 if old else 1)))
+    if submissions is not None:
+        parts += [side(df, "submission", "id", old, "status", "reviewed_at") for df, old in zip(submissions, (True, False))]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    both = rows.groupBy("table", "key").agg(F.max("old").alias("old"), F.max("new").alias("new"), F.sum("n").alias("n"))
+    old, new = (lambda x: c("old")[x]), (lambda x: c("new")[x])
+    is_event, is_source, is_sub = (c("table") == t for t in ("event", "source", "submission"))
+    there = c("old").isNotNull() & c("new").isNotNull()
+    published = old("first_published_at").isNotNull()
+    frozen, stamped = is_event & there & published, is_sub & new("reviewed_at").isNotNull()
+    pending = lambda s: s.eqNullSafe("pending")
     checks = [
-        Check("frozen-slug", kept & published & ~c("slug").eqNullSafe(c("b_slug")), said("slug changed: ", c("b_slug"), c("slug"))),
-        Check("frozen-publish-time", kept & published & ~c("first_published_at").eqNullSafe(c("b_first_published_at")), "first publish time changed"),
-        Check("created-public", c("old").isNull() & c("is_public"), "created public"),
-        Check("renamed-on-publish", kept & ~c("b_is_public") & c("is_public") & ~c("slug").eqNullSafe(c("b_slug")), "slug changed while publishing"),
-        Check("unstamped", c("new") & c("is_public") & c("first_published_at").isNull(), "public without a publish time"),
-        Check("deleted-public", c("new").isNull() & c("b_is_public"), "a public event is gone"),
-    ]
-    return violations(both, "id", checks)
+        Check("frozen-slug", frozen & ~new("slug").eqNullSafe(old("slug")), said("slug changed: ", old("slug"), new("slug"))),
+        Check("frozen-publish-time", frozen & ~new("first_published_at").eqNullSafe(old("first_published_at")), "first publish time changed"),
+        Check("created-public", is_event & c("old").isNull() & new("is_public"), "created public"),
+        Check("renamed-on-publish", is_event & there & ~old("is_public") & new("is_public") & ~new("slug").eqNullSafe(old("slug")), "slug changed while publishing"),
+        Check("unstamped", is_event & c("new").isNotNull() & new("is_public") & new("first_published_at").isNull(), "public without a publish time"),
+        Check("deleted-public", is_event & c("new").isNull() & old("is_public"), "a public event is gone"),
+        Check("last-source-lost", is_source & new("is_public") & (c("n") >= 1 << 40) & (c("n") % (1 << 40) == 0), "a public event lost its last source"),
+        Check("public-without-source", is_source & new("is_public") & (c("n") == 0), "a public event has no source"),
+        Check("stamped-while-pending", stamped & pending(new("status")), "a review stamp on a pending submission"),
+        Check("unstamped-review", is_sub & there & pending(old("status")) & ~pending(new("status")) & new("reviewed_at").isNull(), "reviewed without a stamp"),
+        Check("back-to-pending", is_sub & there & ~pending(old("status")) & pending(new("status")), "a reviewed submission is pending again"),
+        Check("review-stamp-changed", is_sub & there & old("reviewed_at").isNotNull() & ~new("reviewed_at").eqNullSafe(old("reviewed_at")), "the review stamp changed"),
+        Check("created-reviewed", is_sub & c("old").isNull() & ~pending(new("status")), "created reviewed"),
+    ]
+    return violations(both, "key", checks)
 
 
 def submission_checks() -> list[Check]:

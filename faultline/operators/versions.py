@@ -41,11 +41,12 @@ def split_malformed_versions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def latest_version(df: DataFrame, key: tuple[str, ...] = ("generation", "report_id"), version: str = "version", order: str = "src_ord") -> DataFrame:
     """The row of the highest version of each key; the first row wins a tie. ``first_ord`` is where the key came first.
 
-    One hash aggregate with a partial step before the shuffle, so a key with
+    ``order`` may be any type that has an order, a struct of file and row too.
+    One aggregate with a partial step before the shuffle, so a key with
     many versions sends one row from each task.
     """
     rest = [c for c in df.columns if c not in key]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(version), -F.col(order)))
+    best = F.min_by(F.struct(*rest), F.struct(-F.col(version), F.col(order)))
     return (
         df.groupBy(*key)
         .agg(best.alias("best"), F.min(order).alias("first_ord"))

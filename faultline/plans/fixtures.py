@@ -109,22 +109,27 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.drafts_of(raw_reports(spark, sf_dir))
 
 
-def events(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
-    """All drafts as titled events of a catalogue: three in four public, one in four curated.
-
-    Not kept, a query computes only what it reads. Kept, the rows are written
-    once for queries that read them on several branches, each of which then
-    reads only its columns and plans no classification of its own.
-    """
-    e = ev.titled(ev.to_event(drafts(spark, sf_dir)))
+def titled_events(classified: DataFrame) -> DataFrame:
+    """Drafts as titled events of a catalogue: three in four public, one in four curated."""
+    e = ev.titled(ev.to_event(classified))
     digit = F.conv(F.substring("slug", 7, 1), 16, 10).cast("int")
-    e = e.withColumns(
+    return e.withColumns(
         {
             "is_public": digit % 4 != 0,
             "origin": F.when(digit >= 12, "curated").otherwise("source-derived"),
             "first_published_at": F.lit(None).cast("timestamp"),
         }
     )
+
+
+def events(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    """All drafts as :func:`titled_events`.
+
+    Not kept, a query computes only what it reads. Kept, the rows are written
+    once for queries that read them on several branches, each of which then
+    reads only its columns and plans no classification of its own.
+    """
+    e = titled_events(drafts(spark, sf_dir))
     return io.stored(e) if keep else e
 
 
@@ -133,6 +138,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.to_event_source(candidates(spark, sf_dir))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(events, sources), both kept."""
-    return events(spark, sf_dir, keep=True), io.stored(sources(spark, sf_dir))
+def corpus(spark: SparkSession, sf_dir: str, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(events, sources) of one written table of candidates, so raw rows are read, ranked and grouped once.
+
+    Kept, the events are a written table too; else a query computes of them
+    only what it reads.
+    """
+    c = io.stored(pipelines.marked_candidates(raw_reports(spark, sf_dir)))
+    e = titled_events(pipelines.normalize(c))
+    return (io.stored(e) if keep else e), ev.to_event_source(c)

@@ -102,8 +102,9 @@ def m6_set_origin(spark: SparkSession, sf: str) -> DataFrame:
 )
 def m8_unpublish(spark: SparkSession, sf: str) -> DataFrame:
     """A quarter of the slugs become private; the time of first publication stays."""
-    e = merge.stamp_first_published(fixtures.events(spark, sf), AT)
-    slugs = fixtures.sources(spark, sf).select(F.col("event_slug").alias("slug")).distinct().filter(digit("slug") < 4)
+    e, s = fixtures.corpus(spark, sf, keep=False)
+    e = merge.stamp_first_published(e, AT)
+    slugs = s.select(F.col("event_slug").alias("slug")).distinct().filter(digit("slug") < 4)
     out = merge.unpublish(e, slugs)
     return out.select("slug", "title", "is_public", F.col("first_published_at").isNotNull().alias("stamped"), "action")
 

@@ -20,9 +20,14 @@ def build_incidents(raw: DataFrame) -> DataFrame:
     return consolidate.build_candidates(latest_reports(raw))
 
 
+def marked_candidates(raw: DataFrame) -> DataFrame:
+    """Raw rows to candidates; narratives are read before the reports are grouped."""
+    return consolidate.build_candidates(evidence.marked_reports(latest_reports(raw)))
+
+
 def drafts_of(raw: DataFrame) -> DataFrame:
-    """Raw rows to classified drafts; narratives are read before the reports are grouped."""
-    return normalize(consolidate.build_candidates(evidence.marked_reports(latest_reports(raw))))
+    """Raw rows to classified drafts."""
+    return normalize(marked_candidates(raw))
 
 
 def normalize(candidates: DataFrame) -> DataFrame:
@@ -50,11 +55,10 @@ def catalogue_page(corpus: DataFrame, names: DataFrame, number=1, size: int = ca
 
 def map_query(corpus: DataFrame, override: DataFrame, places: DataFrame, names: DataFrame, bounds: tuple, event_type: str | None = None, valence: str | None = None, name: str | None = None, cap: int = catalogue.MAP_CAP) -> DataFrame:
     """Placed events in a box, with facets, at most ``cap`` with the count of all."""
-    points = geo.filter_bounds(geo.event_map(corpus, override, places), *bounds)
-    if event_type is not None:
-        points = points.filter(F.col("event_type") == event_type)
-    if valence is not None:
-        points = points.filter(F.col("valence") == valence)
+    for column, wanted in (("event_type", event_type), ("valence", valence)):
+        if wanted is not None:
+            corpus = corpus.filter(F.col(column) == wanted)
+    points = geo.event_map_in(corpus, override, places, *bounds)
     if name is not None:
         points = dictionary.filter_raw_in(points, names, name)
     return catalogue.capped(points, cap)

@@ -73,6 +73,12 @@ def w1_build_incidents(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(*CANDIDATE, F.col("incident_date").cast("string").alias("incident_date"), F.size("reports").cast("long").alias("n_reports"))
 
 
+def a2_consolidate(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of w1 from values that merge, without any array of reports; its two branches read one written table."""
+    c = consolidate.consolidate(io.stored(pipelines.latest_reports(fixtures.raw_reports(spark, sf))))
+    return c.select(*CANDIDATE, F.col("incident_date").cast("string").alias("incident_date"), "n_reports")
+
+
 def a4_disagreements(spark: SparkSession, sf: str) -> DataFrame:
     d = consolidate.disagreements(fixtures.candidates(spark, sf))
     return d.select("candidate_id", "field", joined("values").alias("said"))
@@ -200,7 +206,7 @@ def v2_structural_qa(spark: SparkSession, sf: str) -> DataFrame:
 
 def a20_qa_counters(spark: SparkSession, sf: str) -> DataFrame:
     e, s = broken(spark, sf)
-    return quality.qa_counters(quality.structural_qa(e, s), s, e.count(), e)
+    return quality.qa_counters(quality.structural_marks(e, s))
 
 
 def v3_publication(spark: SparkSession, sf: str) -> DataFrame:
@@ -441,14 +447,14 @@ def f5_filter_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w4_catalogue_page(spark: SparkSession, sf: str) -> DataFrame:
-    e = fixtures.events(spark, sf, keep=True)
-    corpus = catalogue.source_count(e.filter("title is not null"), fixtures.sources(spark, sf))
+    e, s = fixtures.corpus(spark, sf)
+    corpus = catalogue.source_count(e.filter("title is not null"), s)
     found = pipelines.catalogue_page(corpus, dictionary.names(spark), 2, event_type="collision")
     return found["rows"].select("slug", "title", "source_count").withColumns({"page": F.lit(found["page"]), "pages": F.lit(found["pages"])})
 
 
 def s7_read_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    c = catalogue.read_corpus(fixtures.events(spark, sf), fixtures.sources(spark, sf))
+    c = catalogue.read_corpus(*fixtures.corpus(spark, sf, keep=False))
     return c.select("slug", F.size("sources").cast("long").alias("n"), joined(F.transform("sources", lambda s: s["external_record_id"]), ",").alias("ids"))
 
 
@@ -463,7 +469,7 @@ def a18_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a21_digest(spark: SparkSession, sf: str) -> DataFrame:
-    return digest.corpus_digest(catalogue.read_corpus(fixtures.events(spark, sf), fixtures.sources(spark, sf)), ["slug", "event_type", "valence", "sources"])
+    return digest.corpus_digest(catalogue.read_corpus(*fixtures.corpus(spark, sf, keep=False)), ["slug", "event_type", "valence", "sources"])
 
 
 def p12_hash_slugs(spark: SparkSession, sf: str) -> DataFrame:
@@ -524,7 +530,7 @@ def d2_scores(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        w1_build_incidents, f1_placeholders, f2_malformed_versions, a1_latest_version, p3_map_report, p4_report_anomalies,
+        w1_build_incidents, a2_consolidate, f1_placeholders, f2_malformed_versions, a1_latest_version, p3_map_report, p4_report_anomalies,
         p5_partial_dates, a8_generation_stats, a4_disagreements, a9_disagreement_histogram, a10_group_stats, j1_reports_of,
         e1_engagement_cues, e2_hedges, e3_narrative_flags, e15_atoms, e16_field_evidence, c_classify, w2_events,
         p15_event_sources, p16_titles, v1_draft_violations, v2_structural_qa, a20_qa_counters, v3_publication,

@@ -195,7 +195,7 @@ def p24_context_snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(w(CORPUS, """SELECT slug, title, strftime(occurred_on, '%Y-%m-%d') AS occurred_on, developer_or_operator, event_type, valence, origin, (SELECT count(*) FROM sources WHERE event_slug = slug) AS source_count FROM events"""))
 def p26_event_summary(spark: SparkSession, sf: str) -> DataFrame:
-    e = catalogue.source_count(fixtures.events(spark, sf), fixtures.sources(spark, sf))
+    e = catalogue.source_count(*fixtures.corpus(spark, sf, keep=False))
     s = catalogue.event_summary(e).withColumn("occurred_on", F.col("occurred_on").cast("string"))
     return s.select("slug", "title", "occurred_on", "developer_or_operator", "event_type", "valence", "origin", "source_count")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,30 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column], expected: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """Write ``df`` to ``path`` if it has the expected counts; else write nothing there and return name: (actual, expected).
+
+    ``counts`` are aggregates by name, observed while the rows are written, so
+    there is no second scan; they stand right before the write, in the stage
+    whose tasks count once however often they run. Rows go to a folder beside
+    ``path`` that takes its name only when all counts hold.
+    """
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}.unchecked-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, *(F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in counts.items())).write.parquet(aside)
+    actual = seen.get
+    off = {n: (actual.get(n), v) for n, v in expected.items() if actual.get(n) != v}
+    off |= {n: (v, None) for n, v in actual.items() if n not in expected}
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    files = name(aside).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if off:
+        files.delete(name(aside), True)
+    elif not files.rename(name(aside), name(path)):
+        raise OSError(f"could not rename {aside} to {path}")
+    return off
+
+
 def read_generation(
     spark: SparkSession, path: str, generation: str, columns: list[str], strict: bool = True, multiline: bool = True
 ) -> DataFrame:
@@ -85,6 +109,18 @@ def with_source_order(df: DataFrame) -> DataFrame:
     return numbered.select(*df.columns, order.alias("src_ord"))
 
 
+def with_row_index(df: DataFrame) -> DataFrame:
+    """Adds ``src_ord`` to rows of Parquet files: struct(file, row), the file's path and the row's own number in it.
+
+    It compares as :func:`with_source_order` does, files by path, then rows as
+    they stand, however Spark cuts files into tasks. The number comes from the
+    file, so no list of files is made and nothing is broadcast. Call it right
+    at the scan.
+    """
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return df.select("*", order.alias("src_ord"))
+
+
 def with_raw_row(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Adds ``raw_row``: the source row as JSON, nulls kept."""
     return df.withColumn("raw_row", F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}))
