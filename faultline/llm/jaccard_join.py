@@ -86,8 +86,10 @@ class Spaces:
 
     Link: ``q * |A & B| >= p * |A | B|``, so sets of total size S differ in
     at most ``(q - p) * S / (p + q)`` shingles. Sizes are split into octaves;
-    a pair is within one octave or on both sides of a power of two. In each
-    such space the shingles are dealt by hash to groups, and each non-empty
+    a pair is within one octave or on both sides of a power of two, as long as
+    no set links with one of more than twice its size (``2 * p >= q``, else an
+    error). Below 1 / sqrt(2) a size can be near two powers of two and has keys
+    in both spaces. In each such space the shingles are dealt by hash to groups, and each non-empty
     group gives a key of its content.
 
     Up to ``certain`` differences (``EXACT_DIFFERENCES`` by default) there are more groups than a pair can differ
@@ -101,6 +103,8 @@ class Spaces:
     """
 
     def __init__(self, p: int, q: int, certain: int | None = None) -> None:
+        if 2 * p < q:
+            raise ValueError("a threshold below one half is not supported")
         self.p, self.q = p, q
         self.certain = EXACT_DIFFERENCES if certain is None else certain
 
@@ -115,15 +119,14 @@ class Spaces:
         top = (1 << (e + 1)) - 1
         return 2 * e, self.differ(2 * top)
 
-    def border(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same for the power of two near each size, and whether there is one."""
-        e = self.octave(n)[0] // 2
-        above = n * self.q >= self.p * (1 << (e + 1))  # may link over the upper end
-        b = np.where(above, e + 1, e)
-        edge = 1 << b
-        most = (edge - 1) * self.q // self.p
-        near = above | ((n >= edge) & (n <= most))
-        return 2 * b + 1, self.differ(edge - 1 + most), near
+    def borders(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for the powers of two above and below each size, and whether it may link over them."""
+        e, out = self.octave(n)[0] // 2, []
+        for b, near in ((e + 1, n * self.q >= self.p * (1 << (e + 1))), (e, n * self.p <= ((1 << e) - 1) * self.q)):
+            edge = 1 << b
+            most = (edge - 1) * self.q // self.p
+            out.append((2 * b + 1, self.differ(edge - 1 + most), near))
+        return out
 
     def groups(self, differ: np.ndarray) -> np.ndarray:
         """Groups of a space whose pairs differ in at most ``differ`` shingles."""
@@ -144,8 +147,7 @@ def routing_keys(sets: list[np.ndarray], spaces: Spaces) -> tuple[np.ndarray, np
     n_all = np.array([len(s) for s in sets], np.int64)
     keys, owners = [], []
     own = spaces.octave(n_all)
-    border = spaces.border(n_all)
-    for number, most, chosen in ((*own, np.ones(len(sets), bool)), border):
+    for number, most, chosen in ((*own, np.ones(len(sets), bool)), *spaces.borders(n_all)):
         which = np.flatnonzero(chosen)
         if not len(which):
             continue
@@ -560,7 +562,7 @@ def _with_texts(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, certain: int | None = None) -> DataFrame:
     """Class of every document under Jaccard links of word shingles: doc_id, n_shingles, component_id.
 
-    Documents link when 100 * intersection >= ``percent`` * union of their
+    Documents link when 100 * intersection >= ``percent`` (50 or more) * union of their
     sets of distinct ``width``-word shingles; component_id is the smallest
     doc_id reachable. A text with fewer words is one shingle; a null or
     wordless text has none and links with nothing (component_id is its

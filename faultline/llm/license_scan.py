@@ -56,23 +56,52 @@ def unwrapped(text: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
 
 
+#: Words without which no text is taken for a licence beyond its canonical form. Fixed values.
+LICENSE_WORD = r"(?i)licen[cs]e|permission|redistribut|public domain|warrant"
+#: What frames a licence, in its unwrapped form: titles in front, the names of holders and list marks. Fixed values.
+TITLE = (
+    r"^(?:(?:the )?(?:(?:mit|isc|zlib|x11|expat|unlicense|apache|bsd|new|modified|revised|simplified|freebsd|0bsd|zero|no attribution|clause|style|or|[0-9]) ){1,6}license"
+    r"(?: (?:mit|isc|zlib|x11|expat|0bsd|bsd|clause|[0-9]))*(?: |$))+"
+)
+HOLDER = (
+    (r"neither the names? of .{1,120}? nor the names? of (?:its|their|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"this software is provided by .{1,120}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    (r"in no event shall .{1,120}? be liable for any direct indirect", "in no event shall the copyright holder or contributors be liable for any direct indirect"),
+)
+LIST_MARK = r"(?<= )(?:[0-9]|i{1,3}|iv|[a-e]|o) (?=redistributions (?:of|in)|neither the|the origin of|altered source|this notice may)"
+#: A holder's line that goes on: words between the notice and the licence's own first words.
+HOLDER_LINES = r"^(?:[\p{L}\p{N}]+ ){0,12}?(?=permission is hereby granted|permission to use copy modify|redistribution and use in source)"
+
+
+def unframed(form: Column) -> Column:
+    """An unwrapped form without title, holder's names and list marks, so that the usual frames of one licence are equal."""
+    c = F.regexp_replace(form, TITLE, "")
+    c = F.regexp_replace(c, HOLDER_LINES, "")
+    for pattern, plain in HOLDER:
+        c = F.regexp_replace(c, pattern, plain)
+    return F.trim(F.regexp_replace(c, LIST_MARK, ""))
+
+
 def known_licenses(spark, texts: dict[str, str] = TEXTS, digests: tuple = DIGESTS) -> DataFrame:
-    """(canonical_sha256, license_id, unwrapped_sha256) of known texts; of equal canonical texts the first id stays.
+    """(canonical_sha256, license_id, unwrapped_sha256, unframed_sha256) of known texts; of equal canonical texts the first id stays.
 
-    Licences of which only the digest of the unwrapped form is known have a
-    null canonical_sha256. Without texts and digests the table is empty.
+    Licences of which only digests of the unwrapped form are known (whole, and
+    without what follows the terms) have a null canonical_sha256. Without
+    texts and digests the table is empty.
     """
     rows = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
+    form = unwrapped(F.col("text"))
     short = (
         rows.select(
             "license_id",
             F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"),
-            F.sha2(unwrapped(F.col("text")), 256).alias("u"),
+            F.struct(F.sha2(form, 256).alias("u"), F.sha2(unframed(form), 256).alias("f")).alias("more"),
         )
         .groupBy("canonical_sha256")
-        .agg(F.min("license_id").alias("license_id"), F.min_by("u", "license_id").alias("unwrapped_sha256"))
+        .agg(F.min("license_id").alias("license_id"), F.min_by("more", "license_id").alias("more"))
+        .select("canonical_sha256", "license_id", F.col("more.u").alias("unwrapped_sha256"), F.col("more.f").alias("unframed_sha256"))
     )
-    long = spark.createDataFrame(list(digests), "license_id string, unwrapped_sha256 string")
+    long = spark.createDataFrame([(i, d, d) for i, d in digests], "license_id string, unwrapped_sha256 string, unframed_sha256 string")
     return short.unionByName(long.withColumn("canonical_sha256", F.lit(None).cast("string")))
 
 
@@ -80,18 +109,26 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Licence of every whole text: doc_id, canonical_sha256, license_id (null: none).
 
     A text is a known licence when the canonical forms have the same SHA-256,
-    or else the unwrapped ones, where ``known`` has unwrapped_sha256.
-    A null text is empty and no licence; repeated rows give repeated results;
-    other columns are ignored; an empty table gives no rows. The table of
-    known digests joins by hash; Spark broadcasts it while it is small.
+    or else the unwrapped ones, or else the unframed ones, where ``known`` has
+    unwrapped_sha256 and unframed_sha256. The latter two are made only of
+    texts that hold a word without which there is no licence. A null text is
+    empty and no licence; repeated rows give repeated results; other columns
+    are ignored; an empty table gives no rows. The table of known digests
+    joins by hash; Spark broadcasts it while it is small.
     """
     known = known_licenses(docs.sparkSession) if known is None else known
-    forms = {"canonical_sha256": canonical} | ({"unwrapped_sha256": unwrapped} if "unwrapped_sha256" in known.columns else {})
+    more = [c for c in ("unwrapped_sha256", "unframed_sha256") if c in known.columns]
+    rows = docs.select("doc_id", "text")
+    if more:
+        likely = F.regexp_like("text", F.lit(LICENSE_WORD))
+        rows = rows.withColumn("form", F.when(likely, unwrapped(F.col("text"))))
+    made = {"unwrapped_sha256": lambda: F.col("form"), "unframed_sha256": lambda: unframed(F.col("form"))}
     # Written once, so that no later plan of a join reads the texts again.
-    digests = stored(docs.select("doc_id", *(F.sha2(f(F.col("text")), 256).alias(k) for k, f in forms.items())))
-    exact = known.filter("canonical_sha256 is not null").select("canonical_sha256", "license_id")
-    if "unwrapped_sha256" not in known.columns:
-        return digests.join(exact, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
-    other = known.groupBy("unwrapped_sha256").agg(F.min("license_id").alias("other_id"))
-    found = digests.join(exact, "canonical_sha256", "left").join(other, "unwrapped_sha256", "left")
-    return found.select("doc_id", "canonical_sha256", F.coalesce("license_id", "other_id").alias("license_id"))
+    digests = stored(
+        rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), *(F.sha2(made[c](), 256).alias(c) for c in more))
+    )
+    out = digests.join(known.filter("canonical_sha256 is not null").select("canonical_sha256", "license_id"), "canonical_sha256", "left")
+    for i, c in enumerate(more):
+        other = known.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("license_id").alias(f"other_{i}"))
+        out = out.join(other, c, "left")
+    return out.select("doc_id", "canonical_sha256", F.coalesce("license_id", *(f"other_{i}" for i in range(len(more)))).alias("license_id"))

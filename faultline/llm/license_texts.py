@@ -116,10 +116,11 @@ For more information, please refer to <https://unlicense.org>
 """,
 }
 
-#: Licences known by digest alone: SHA-256 of the unwrapped form of the published text, and of its terms where an
-#: appendix follows them. Fixed values.
+#: Licences known by digest alone: SHA-256 of the unwrapped form of the published text, of it with a dated holder in its
+#: appendix, and of its terms where an appendix follows them. Fixed values.
 DIGESTS = (
     ("Apache-2.0", "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3"),
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
     ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
     ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
     ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),

@@ -26,6 +26,9 @@ UNIT_ROWS = 20_000
 #: What tells inverted lists apart; ``second`` is -1 in a list that is not split.
 LIST_KEY = ["label", "dim", "pivot", "second"]
 
+#: Classes of which no row has a vec_id are named from here on, so that any vec_id below is smaller.
+UNNAMED = 1 << 62
+
 CLASS_SCHEMA = "vec_id long, label string, digest string, dim int, raw binary"
 
 
@@ -181,7 +184,9 @@ def vector_components(vectors: DataFrame, least: float = 0.98, shared: int = SHA
     vector that is null, empty, zero, or holds a null, NaN or infinite part
     links with nothing and is kept. Equal vectors become one class first, so
     a group of copies is one entry of the index; copies count as links.
-    Repeated rows are copies. The index may miss pairs that share fewer than
+    Repeated rows are copies. Rows without a vec_id link like any other and
+    are kept; their component is the smallest vec_id that they reach (below
+    2^62), or null where they reach none. The index may miss pairs that share fewer than
     ``shared`` of their ``PERMUTATION`` nearest pivots (tests measure recall
     against brute force); it never links a pair below ``least``. Inverted
     lists above ``LIST_ROWS`` are split by a second shared pivot; what is
@@ -191,9 +196,10 @@ def vector_components(vectors: DataFrame, least: float = 0.98, shared: int = SHA
     """
     rows = stored(classed(vectors))
     valid = rows.filter(F.col("digest").isNotNull())
+    unnamed = F.lit(UNNAMED) + F.pmod(F.xxhash64("label", "digest"), F.lit(UNNAMED - 1))
     classes = stored(
         valid.groupBy("label", "digest").agg(
-            F.min("vec_id").alias("rep"),
+            F.coalesce(F.min("vec_id"), unnamed).alias("rep"),
             F.count(F.lit(1)).alias("copies"),
             F.first("dim").alias("dim"),
             F.first("raw").alias("raw"),
@@ -201,7 +207,7 @@ def vector_components(vectors: DataFrame, least: float = 0.98, shared: int = SHA
     )
     kind = raw_type(vectors)
     pivots = fit_pivots(classes, classes.count(), kind)
-    index = stored(permutations(classes.filter(F.col("rep").isNotNull()), pivots, kind))
+    index = stored(permutations(classes, pivots, kind))
     posts = index.withColumn("pivot", F.explode("perm"))
     first = LIST_KEY[:3]
     held = stored(posts.groupBy(*first).agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
@@ -244,7 +250,7 @@ def vector_components(vectors: DataFrame, least: float = 0.98, shared: int = SHA
         )
     )
     out = rows.select("vec_id", "label", "digest").join(named, ["label", "digest"], "left")
-    component = F.coalesce("root", "vec_id")
+    component = F.coalesce(F.when(F.col("root") < UNNAMED, F.col("root")), F.col("vec_id"))
     return out.select(
         "vec_id",
         F.coalesce("n", F.lit(0)).alias("n_links"),

@@ -39,7 +39,9 @@ def write_archive(pages: DataFrame, path: str, date: str = WARC_DATE) -> None:
     are equal when SHA-256, a second 64-bit hash and length agree. Null html
     is an empty payload; a null url gives no target header; line breaks in a
     url are percent-encoded. Repeated rows with the smallest page_id are all
-    responses on one stored payload. Only digests, ids and urls are grouped
+    responses on one stored payload. A page without a page_id never is the
+    smallest: it revisits a page that has one, and where no page with its
+    payload has one, all of them are responses on one stored payload. Only digests, ids and urls are grouped
     and joined; the first copies, whose count is checked, are picked by a
     broadcast, or by a shuffle that moves each payload once. An empty table gives empty tables.
     """
@@ -91,7 +93,9 @@ def write_archive(pages: DataFrame, path: str, date: str = WARC_DATE) -> None:
     first = owners.select(F.col("owner").alias("page_id"), *key)
     if owners.limit(BROADCAST_OWNERS + 1).count() <= BROADCAST_OWNERS:
         first = F.broadcast(first)
-    kept = base.filter(F.col("n") >= LEAST_SHARED).select("page_id", *key, "payload").join(first, ["page_id", *key])
+    # Null-safe: a payload that only pages without an id have is owned by such a page.
+    own = [F.col("p.page_id").eqNullSafe(F.col("f.page_id")), *(F.col(f"p.{c}") == F.col(f"f.{c}") for c in key)]
+    kept = base.filter(F.col("n") >= LEAST_SHARED).alias("p").join(first.alias("f"), own).select("p.page_id", *(f"p.{c}" for c in key), "p.payload")
     again = slim.groupBy("page_id").count().filter("`count` > 1")
     if not again.isEmpty():  # a repeated first row would store its payload twice
         kept = kept.dropDuplicates(key)

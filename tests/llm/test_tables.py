@@ -171,6 +171,35 @@ def test_routing_meets_threshold_pairs():
                 assert set(keys[which == 0]) & set(keys[which == 1]), n
 
 
+@pytest.mark.parametrize("percent", [50, 60, 65, 70, 71])
+def test_routing_meets_pairs_at_low_thresholds(percent):
+    """Below 1 / sqrt(2) a set can be near two powers of two; nested and shifted sets at the threshold meet in every draw."""
+    rng = np.random.default_rng(percent)
+    spaces = jaccard_join.Spaces(percent, 100, 1 << 62)
+    for n in (2, 3, 6, 11, 15, 16, 22, 31, 45, 64, 90, 130, 240, 256):
+        for nested in (True, False):
+            for _ in range(8):
+                a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+                lose, gain = (0, int(n * (100 - percent) / percent)) if nested else ((100 - percent) * n // (100 + percent),) * 2
+                b = np.unique(np.concatenate([a[lose:], rng.integers(0, 2**63, gain, dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                assert 100 * both >= percent * len(np.union1d(a, b))
+                keys, which = jaccard_join.routing_keys([a, b], spaces)
+                assert set(keys[which == 0]) & set(keys[which == 1]), (n, nested)
+    with pytest.raises(ValueError):
+        jaccard_join.Spaces(49, 100)
+
+
+@pytest.mark.parametrize("percent", [50, 65])
+def test_jaccard_components_at_low_thresholds(spark, percent):
+    docs = near_copies(5, [3, 5, 8, 12, 25, 60], 20)
+    words = [f"v{i}" for i in range(40)]
+    docs += [(5000 + i, " ".join(words[: 10 + 7 * i])) for i in range(5)]  # nested texts over two powers of two
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, percent, 4, certain=1 << 62).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == links_of(docs, percent, 4)
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(5, 5)]
@@ -221,6 +250,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(warc_store.warc_round_trip(wide, f"file://{tmp_path}/x").collect()) == len(rows)
 
 
+def test_warc_pages_without_an_id(spark, tmp_path):
+    long, other = "x" * 200, "y" * 150
+    rows = [(None, "a", long), (None, "b", long), (None, "c", other), (5, "d", other), (None, "e", None), (None, "f", "z" * 99), (6, "g" * 3, "w" * 100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in warc_store.warc_round_trip(df, f"file://{tmp_path}/a").collect())
+    want = [(None, 200, "response", None)] * 2 + [(None, 150, "revisit", 5), (5, 150, "response", None), (None, 0, "response", None), (None, 99, "response", None), (6, 100, "response", None)]
+    assert got == sorted(map(str, want))
+    assert spark.read.parquet(f"file://{tmp_path}/a/payloads").count() == 3
+    back = warc_store.read_archive(spark, f"file://{tmp_path}/a").filter("record_type = 'response' and payload_bytes = 200")
+    assert [bytes(r.payload).decode() for r in back.collect()] == [long] * 2
+
+
+def test_vectors_without_an_id_link(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 1e-9], 1), (None, [0.0, 1.0], 1), (None, [0.0, 1.0, 0.0], 1), (7, [1.0, 0.0], 2), (9, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in vector_dedup.vector_components(df).collect())
+    want = [(None, 3, 3, True)] * 2 + [(3, 3, 3, True), (9, 3, 3, False), (None, 0, None, True), (None, 0, None, True), (7, 0, 7, True)]
+    assert got == sorted(map(str, want))
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(120, 32))

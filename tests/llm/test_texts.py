@@ -375,6 +375,41 @@ def test_long_licenses_by_digest(spark):
     assert got == want
 
 
+def test_licenses_in_the_frames_of_real_trees(spark):
+    mit, bsd3, bsd2, isc = (TEXTS[k] for k in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC"))
+    grant = mit[mit.index("Permission is hereby") :]
+    terms = bsd3[bsd3.index("Redistribution and use") :]
+    bullets = re.sub(r"(?m)^[0-9]\. ", "* ", terms)
+    framed = [
+        (grant, "MIT"),
+        ("The MIT License (MIT)\n\nCopyright (c) 2019 Foo Authors\n\n" + grant, "MIT"),
+        ("MIT License\n\nCopyright (c) 2019, Foo and Bar\n  and the contributors of Baz\n\n" + grant, "MIT"),
+        ("Expat License\n\n" + grant, "MIT"),
+        (terms, "BSD-3-Clause"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2017, Ann\nAll rights reserved.\n\n" + bullets, "BSD-3-Clause"),
+        ("Copyright 2016 Foo Inc.\n\n" + terms.replace("the copyright holder nor", "Foo Inc. nor").replace("1. ", "a) ").replace("2. ", "b) ").replace("3. ", "c) "), "BSD-3-Clause"),
+        ("New BSD License\n\n" + terms, "BSD-3-Clause"),
+        ("Simplified BSD License\n\nCopyright (c) 2001 X\n\n" + bsd2[bsd2.index("Redistribution and use") :], "BSD-2-Clause"),
+        ("The ISC License\n\nCopyright (c) Isaac\n\n" + isc[isc.index("Permission to use") :], "ISC"),
+        (grant + "\nNo warranty besides.", None),
+        (grant.replace("free of charge", "for a fee"), None),
+        (terms.replace("contributors may be used", "contributors may not be used"), None),
+        ("word " * 60 + grant, None),
+    ]
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(framed)], "doc_id long, text string")).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(framed)}
+
+
+@pytest.mark.skipif(not (COMMON / "Apache-2.0").exists(), reason="no published texts here")
+def test_a_filled_in_appendix_is_a_frame(spark):
+    whole = (COMMON / "Apache-2.0").read_text()
+    filled = re.sub(r"Copyright \[yyyy\] \[name of copyright owner\]", "Copyright 2019 The Foo Authors", whole)
+    assert filled != whole
+    rows = [(1, filled), (2, whole[: whole.index("APPENDIX")]), (3, filled.replace("perpetual", "temporary"))]
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "Apache-2.0", 2: "Apache-2.0", 3: None}
+
+
 def test_licenses_in_other_wrapping_and_comments(spark):
     import textwrap
 
