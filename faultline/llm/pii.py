@@ -90,11 +90,12 @@ GENERATORS = (
     ("email", re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}\x20?{_AT}\x20?[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,6}}", re.I)),
     ("ip", re.compile(r"(?<![0-9A-Za-z.:])[0-9]{1,3}(?:\x20?(?:\.|\[\.\]|\(\.\))\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])")),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![0-9A-Za-z:])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{2,6}(?:[\x20._/-]{0,2}[0-9]{2,7}){2,5}(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20._/-][0-9]{4}){3}(?![0-9])")),
     ("phone", re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{4}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z.])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20()./-]{0,2}[0-9]{2,5}){2,5}(?![0-9A-Za-z])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.])(?:\+|00)?\(?[0-9]{1,5}\)?(?:[\x20()./-]{0,3}[0-9]{2,5}){2,5}(?![0-9A-Za-z])")),
 )
 #: Part of each e-mail the generator proposes, so a text without it has none.
 EMAIL_AT = re.compile(_AT, re.I)
@@ -183,14 +184,26 @@ def _planted(rnd: random.Random) -> tuple[str | None, str, str]:
         at, dot = pick([("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", ".")])
         return kind, cue, f"{w()}{pick(['', '.' + w(), d(2)])}{at}{w()}{dot}{pick(['com', 'org', 'net', 'de', 'fr', 'es'])}"
     if kind == "ip":
-        if rnd.random() < 0.3:
-            return kind, cue, ":".join(f"{rnd.getrandbits(16):x}" for _ in range(8))
+        part = lambda n: ":".join(f"{rnd.getrandbits(16):x}" for _ in range(n))
+        if rnd.random() < 0.2:
+            return kind, cue, part(8)
+        if rnd.random() < 0.25:
+            head = rnd.randint(1, 4)
+            return kind, cue, f"{pick(['fe80', '2001:db8', part(head)])}::{part(rnd.randint(1, 4))}"
         return kind, cue, pick([".", "[.]", "(.)", " . "]).join(octet() for _ in range(4))
     if kind == "card":
         body = pick("3456") + d(14)
         body += next(c for c in "0123456789" if luhn(body + c))
         return kind, cue, pick(["", " ", "-", ".", "/", "_"]).join(body[i : i + 4] for i in range(0, 16, 4))
     if kind == "phone":
+        if rnd.random() < 0.4:
+            # National forms: without a cue few of them could be told from other numbers.
+            lead, pair = pick("1234679"), lambda: d(2)
+            form = pick([
+                pick([" ", ".", "-"]).join([f"0{lead}", pair(), pair(), pair(), pair()]), f"0{pick('1236789')}{d(pick([1, 2, 3]))}{pick([' / ', '/', ' ', '-'])}{d(rnd.randint(5, 8))}",
+                f"{pick('69')}{d(2)} {d(3)} {d(3)}", f"0{pick('17')}{d(3)} {d(6)}", f"020 {d(4)} {d(4)}", f"{pick('23456789')}{d(9)}",
+            ])
+            return kind, pick(CUES["phone"]) + pick([" ", ": ", " is ", " no. "]), form
         area, x, y = d(3), d(3), d(4)
         form = pick(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "+1 ({}) {}-{}", "001 {} {} {}", "({}){}-{}"])
         plain = "(" not in form and not form.startswith(("+", "00"))
@@ -203,6 +216,8 @@ def _planted(rnd: random.Random) -> tuple[str | None, str, str]:
         f"{rnd.randint(1, 28):02d}/{rnd.randint(1, 12):02d}/{rnd.randint(1990, 2030)}", f"{d(3)},{d(3)}.{d(2)}", d(rnd.randint(5, 12)),
         bad_luhn, " ".join(bad_luhn[i : i + 4] for i in range(0, 16, 4)), f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
         f"{d(2)}:{d(2)}:{d(2)}", f"{d(4)}-{d(4)}", f"{rnd.randint(256, 999)}.{d(3)}.{d(3)}.{rnd.randint(300, 999)}", f"{d(6)}-{d(6)}-{d(2)}",
+        d(10), f"{d(3)} {d(3)} {d(3)}", ":".join(d(2) for _ in range(3)), ":".join(f"{rnd.getrandbits(8):02x}" for _ in range(6)), f"{w()}::{w()}", f"{pick(['add', 'bad', 'face', 'cafe', 'dec'])}::{w()}",
+        " ".join(f"{rnd.randint(1, 49):02d}" for _ in range(5)), f"{d(4)} / {d(5)}", f"{d(2)}/{d(4)}",
         f"{w()} at {w()} dot {w()}", f"{w()} at {w()}.{w()}", f"{w()} at {w()}", f"{w()} at {d(rnd.randint(1, 4))}.{d(2)}", f"{rnd.randint(1, 12)} {rnd.randint(10, 60)} {rnd.randint(100, 999)}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}",
     ])
 

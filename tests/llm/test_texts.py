@@ -205,6 +205,15 @@ BY_HAND = [
     ("telefon 415.555.0132 bitte", "415.555.0132"),
     ("Tel: 001 202 555 0143", "001 202 555 0143"),
     ("phone 202-555-0176 or mail", "202-555-0176"),
+    ("phone: 06 12 34 56 78 (Paris)", "06 12 34 56 78"),
+    ("my cell is 5551234567, any time", "5551234567"),
+    ("call 0171 / 123456 after six", "0171 / 123456"),
+    ("tel 020 7946 0018 in London", "020 7946 0018"),
+    ("the host fe80::1ff:fe23:4567:890a is up", "fe80::1ff:fe23:4567:890a"),
+    ("std::vector and face::value", None),
+    ("order 5551234567 was shipped", None),
+    ("rooms 12 13 14 15 16 are free", None),
+    ("MAC 00:1b:44:11:3a:b7 of the card", None),
     ("Version 3.11.4 was released", None),
     ("on 2024-05-17 at noon", None),
     ("ISBN 978-3-16-148410-0 is out", None),
@@ -230,7 +239,7 @@ def test_detector_on_sentences_written_by_hand(detector):
         else:
             start = text.index(secret)
             hits += any(a <= start and start + len(secret) <= b for _, a, b in every)
-    assert hits >= 10 and false <= 1, (hits, false)
+    assert hits >= 16 and false <= 1, (hits, false)
 
 
 def test_probabilities_are_calibrated(detector):
