@@ -378,3 +378,38 @@ def label_transitions(truth: DataFrame, before: DataFrame, after: DataFrame, key
         F.count_if(~was & ~now & ~F.col("a").eqNullSafe(F.col("b"))).alias("changed_wrong"),
     )
     return out.withColumns({"net": F.col("fixed") - F.col("regressed"), "p_value": F.round(sign_test(F.col("fixed"), F.col("regressed")), 6)})
+
+
+def attach_or_create(incoming: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, sources) of a feed after :func:`dispositions`: what attaches is a source of its match, all else is a new event.
+
+    Events are the incoming rows with ``possible_duplicate_of``, null unless
+    the match is partial; sources are (event, id, url, title), one for each
+    incoming row, of the match or of the row's own new event.
+    """
+    rows = incoming.join(found.select("id", "disposition", "match"), "id")
+    attaches = F.col("disposition") == "attach"
+    events = rows.filter(~attaches).select(*incoming.columns, F.when(F.col("disposition") == "possible-duplicate", F.col("match")).alias("possible_duplicate_of"))
+    sources = rows.select(F.when(attaches, F.col("match")).otherwise(F.col("id")).alias("event"), "id", "url", "title")
+    return events, sources
+
+
+def merge_events(events: DataFrame, sources: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, sources) after ``merges`` (loser, winner): losers become private redirects, their sources go to the winner.
+
+    Merges may be chained; a loser points at the last winner, and a circle is
+    an error. Of sources that an event then holds twice (equal
+    external_record_id, nulls apart), one stays. Events get ``merged_into``
+    and ``action``; rows that no merge names stay as they are.
+    """
+    pairs = merges.select(F.col("loser").alias("id"), F.col("winner").alias("merged_into")).filter("id <> merged_into").dropDuplicates(["id"])
+    ends = stored(resolve_merged(pairs.select("id", F.col("merged_into").alias("match")), pairs)).select(F.col("id").alias("slug"), F.col("match").alias("_into"))
+    lost = F.col("_into").isNotNull()
+    out = events.join(ends, "slug", "left").withColumn("is_public", F.col("is_public") & ~lost)
+    out = out.select(*events.columns, F.col("_into").alias("merged_into"), F.when(lost, "merge").otherwise("noop").alias("action"))
+    moved = sources.join(ends.withColumnRenamed("slug", "event_slug"), "event_slug", "left")
+    moved = moved.withColumn("event_slug", F.coalesce("_into", "event_slug")).select(*sources.columns)
+    rest = [c for c in sources.columns if c not in ("event_slug", "external_record_id")]
+    named = moved.filter("external_record_id is not null").groupBy("event_slug", "external_record_id").agg(F.min(F.struct(*rest)).alias("s"))
+    one = named.select("event_slug", "external_record_id", "s.*").select(*sources.columns)
+    return out, one.unionByName(moved.filter("external_record_id is null"))

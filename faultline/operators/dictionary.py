@@ -82,10 +82,10 @@ def filter_events(
 
 def filter_raw_in(events: DataFrame, dictionary: DataFrame, canonical: str) -> DataFrame:
     """Events whose raw name stands for ``canonical``; a canonical name that is not known stands for itself."""
-    raws = dictionary.filter(F.col("canonical") == canonical).select(F.col("raw").alias("developer_or_operator"))
-    if raws.isEmpty():
-        return events.filter(F.col("developer_or_operator") == canonical)
-    return events.join(raws.distinct(), "developer_or_operator", "left_semi")
+    raws = dictionary.filter(F.col("canonical") == canonical).select("raw", "canonical")
+    itself = events.sparkSession.createDataFrame([(canonical, canonical)], "raw string, canonical string")
+    names = raws.unionByName(itself.join(raws, "canonical", "left_anti").select("raw", "canonical"))
+    return events.join(names.select(F.col("raw").alias("developer_or_operator")), "developer_or_operator", "left_semi")
 
 
 def facet_options(events: DataFrame, dictionary: DataFrame, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:

@@ -9,7 +9,8 @@ from ..operators import catalogue, dedupe, geo, quality
 from ..sources import io
 from . import fixtures, oracles
 from .fixtures import table
-from .oracles import MAP, w
+from .lifecycle_queries import d_sql, digit
+from .oracles import CORPUS, MAP, w
 from .queries import BOX
 from .source_queries import LISTED, listed, scratch
 
@@ -183,6 +184,12 @@ existing AS (SELECT * FROM r WHERE id % 10 <> 3), incoming AS (SELECT * FROM r W
 )
 def d1_dispositions(spark: SparkSession, sf: str) -> DataFrame:
     """A tenth of the parts as a feed against the others: by URL, signature, title and lede, with redirects followed."""
+    incoming, existing, merged = feed(spark, sf)
+    return dedupe.dispositions(incoming, existing, merged).withColumn("score", F.round("score", 9))
+
+
+def feed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(incoming, existing, merged) parts as records."""
     k = F.col("p_partkey")
     r = table(spark, sf, "part").select(
         k.alias("id"),
@@ -196,4 +203,40 @@ def d1_dispositions(spark: SparkSession, sf: str) -> DataFrame:
     )
     existing, incoming = r.filter("id % 10 <> 3"), r.filter("id % 10 = 3")
     merged = existing.filter("id % 10 = 2 and id > 10").select("id", (F.col("id") - 2).alias("merged_into"))
-    return dedupe.dispositions(incoming, existing, merged).withColumn("score", F.round("score", 9))
+    return incoming, existing, merged
+
+
+@query(
+    """WITH i AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 10 = 3), a AS (SELECT id, CASE WHEN id <= 10 THEN id ELSE id - 3 END AS event FROM i)
+    SELECT event, count(*) AS sources, count(*) FILTER (id = event) AS created FROM a GROUP BY event"""
+)
+def d1_attached(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed after its dispositions by URL alone: attached rows are sources of what they match, after redirects; others are new events."""
+    incoming, existing, merged = feed(spark, sf)
+    only_url = existing.withColumn("operator", F.lit(None).cast("string"))
+    found = dedupe.dispositions(incoming, only_url, merged)
+    events, sources = dedupe.attach_or_create(incoming, found)
+    made = events.select(F.col("id").alias("event"), F.lit(1).alias("made"))
+    out = sources.groupBy("event").agg(F.count(F.lit(1)).alias("sources")).join(made, "event", "left")
+    return out.select("event", "sources", F.coalesce("made", F.lit(0)).cast("long").alias("created"))
+
+
+MERGES = f"""win AS (SELECT substr(slug, 7, 1) AS g, min(slug) AS winner FROM events WHERE {d_sql('slug')} = 4 GROUP BY 1),
+merges AS (SELECT slug AS loser, winner FROM events JOIN win ON g = substr(slug, 7, 1) WHERE {d_sql('slug')} = 3)"""
+
+
+@query(
+    w(CORPUS, f""", {MERGES}, n AS (SELECT coalesce(winner, event_slug) AS slug, count(DISTINCT external_record_id) AS n FROM sources LEFT JOIN merges ON event_slug = loser GROUP BY 1)
+    SELECT e.slug, is_public AND winner IS NULL AS is_public, winner AS merged_into, CASE WHEN winner IS NULL THEN 'noop' ELSE 'merge' END AS action, coalesce(n, 0) AS n_sources
+    FROM events e LEFT JOIN merges ON e.slug = loser LEFT JOIN n ON n.slug = e.slug""".replace("\n, win", ", win", 1))
+)
+def m15_merge_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of one digit are merged into an event of their group: redirects, and sources that follow."""
+    e, s = fixtures.corpus(spark, sf)
+    group = F.substring("slug", 7, 1)
+    winners = e.filter(digit("slug") == 4).groupBy(group.alias("g")).agg(F.min("slug").alias("winner"))
+    merges = e.filter(digit("slug") == 3).select(F.col("slug").alias("loser"), group.alias("g")).join(winners, "g").select("loser", "winner")
+    events, sources = dedupe.merge_events(e, s, merges)
+    n = sources.groupBy(F.col("event_slug").alias("slug")).agg(F.count(F.lit(1)).alias("n"))
+    out = events.join(n, "slug", "left")
+    return out.select("slug", "is_public", "merged_into", "action", F.coalesce("n", F.lit(0)).cast("long").alias("n_sources"))

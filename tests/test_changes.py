@@ -265,3 +265,19 @@ def test_transitions_of_sources_and_submissions(spark):
         ("4", "review-stamp-changed"), ("5", "created-reviewed"), ("a", "last-source-lost"), ("d", "public-without-source"),
     ]
     assert quality.snapshot_transitions(e, e).count() == 0
+
+
+def test_merged_events_redirect_and_keep_sources(spark):
+    e = spark.createDataFrame([(s, True) for s in "abcdx"], "slug string, is_public boolean")
+    s = spark.createDataFrame([("a", "1", "u"), ("b", "1", "v"), ("b", "2", "w"), ("c", None, "n"), ("d", None, "n"), ("x", "9", "z")], "event_slug string, external_record_id string, url string")
+    merges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("x", "x")], "loser string, winner string")
+    events, sources = dedupe.merge_events(e, s, merges)
+    assert {r["slug"]: (r["is_public"], r["merged_into"], r["action"]) for r in events.collect()} == {
+        "a": (False, "c", "merge"), "b": (False, "c", "merge"), "c": (True, None, "noop"), "d": (False, "c", "merge"), "x": (True, None, "noop"),
+    }
+    assert sorted(map(tuple, sources.collect()), key=str) == [("c", "1", "u"), ("c", "2", "w"), ("c", None, "n"), ("c", None, "n"), ("x", "9", "z")]
+    found = spark.createDataFrame([(1, "attach", 7), (2, "possible-duplicate", 8), (3, "new", None)], "id long, disposition string, match long")
+    rows = spark.createDataFrame([(1, "u1", "t"), (2, "u2", "t"), (3, None, None)], "id long, url string, title string")
+    made, told = dedupe.attach_or_create(rows, found)
+    assert sorted((r["id"], r["possible_duplicate_of"]) for r in made.collect()) == [(2, 8), (3, None)]
+    assert sorted((r["event"], r["id"]) for r in told.collect()) == [(2, 2), (3, 3), (7, 1)]
