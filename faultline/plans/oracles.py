@@ -392,3 +392,4 @@ ORACLE: dict[str, str] = {
         SELECT 'quality' AS field, lang AS subset, count(*) AS scored, count(p) AS predicted, count(*) FILTER (p = quality) AS correct,
         round(count(*) FILTER (p = quality) / nullif(count(p), 0), 6) AS precision, round(count(*) FILTER (p = quality) / count(*), 6) AS recall, round(1 - count(p) / count(*), 6) AS abstention FROM t GROUP BY lang""",
 }
+ORACLE["a2_consolidate"] = ORACLE["w1_build_incidents"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import dates, text
 from faultline.operators import catalogue, consolidate, geo, merge, quality, versions
-from faultline.plans import fixtures, lifecycle_queries, oracles, pipelines, queries, source_queries
+from faultline.plans import change_queries, detail_queries, fixtures, lifecycle_queries, oracles, pipelines, queries, rule_queries, source_queries
 from faultline.sources import io
 
 
@@ -128,4 +128,6 @@ def test_entities_of_groups(spark, sf):
 def test_every_query_has_its_sql():
     without = {*queries.QUERIES} - {*oracles.ORACLE, *lifecycle_queries.ORACLE}
     assert not without
-    assert {*source_queries.QUERIES} == {*source_queries.ORACLE} and {*lifecycle_queries.QUERIES} <= {*lifecycle_queries.ORACLE}
+    assert {*lifecycle_queries.QUERIES} <= {*lifecycle_queries.ORACLE}
+    for part in (source_queries, rule_queries, change_queries, detail_queries):
+        assert {*part.QUERIES} == {*part.ORACLE}
