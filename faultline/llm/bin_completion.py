@@ -11,15 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import small_batches, spread, stored
 from .packing import best_fit_decreasing, encoder
 
 #: Pieces that one group holds on average.
 GROUP_PIECES = 4096
+#: Groups that one partition holds on average, where there are more than partitions of a shuffle.
+PARTITION_GROUPS = 64
 #: Of a group's pieces, one in so many is packed again with those of other groups.
 OPEN_SHARE = 8
 #: Steps that the search takes for one filling, and for one group for each of its pieces. The incumbent stands where they end.
 FILL_STEPS, STEPS_PER_PIECE = 100, 40
+#: Full windows that are searched together with the emptiest ones, and such searches in a row that may fail.
+NEIGHBOURS, TRIES = 12, 24
 #: Lengths that the search puts beside the largest one; fillings with more are made of largest fits.
 FILL_ITEMS = 8
 END_ID = 2
@@ -140,50 +144,31 @@ class Fillings:
             yield many, room - sum(many)
 
 
-def bin_completion(lengths: np.ndarray, window: int, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Window and offset of each of ``lengths``, which are in descending order and at most ``window``.
+def search(lengths: list[int], window: int, best: int, least: int, limit: int) -> list[tuple[int, ...]] | None:
+    """Windows that hold all ``lengths``, fewer than ``best`` of them; None where none are found in ``limit`` steps.
 
-    The incumbent is the better of best-fit decreasing and ``given``, a
-    packing that is known already. The search fills windows one by one around
-    the largest length left, tries undominated fillings in order of waste, and
-    gives a branch up when its waste leaves no room for a better packing. It
-    ends when the lower bound is met or its steps are used up.
+    Windows are filled one by one around the largest length left, with
+    undominated fillings in order of waste; a branch ends when its waste
+    leaves no room for a better packing. The search ends at ``least`` windows.
     """
-    seq, offset = best_fit_decreasing(lengths, window)
-    best = int(seq.max()) + 1 if len(seq) else 0
-    if given is not None and len(np.unique(given)) <= best:
-        seq = np.unique(given, return_inverse=True)[1]
-        best = int(seq.max()) + 1
-        offset = np.zeros(len(seq), np.int64)
-        order = np.argsort(seq, kind="stable")
-        before = np.cumsum(lengths[order]) - lengths[order]
-        first = np.searchsorted(seq[order], np.arange(best))
-        offset[order] = before - before[first][seq[order]]
-    # Full windows stand; the others are searched.
-    full = int(np.searchsorted(-lengths, -window, side="right"))
-    rest = lengths[full:].tolist()
-    total, least = sum(rest), least_windows(lengths[full:], window)
-    best -= full
-    if best <= least:
-        return seq, offset
-    left, limit = Fillings(rest, window), STEPS_PER_PIECE * len(rest)
+    total, left = sum(lengths), Fillings(lengths, window)
     path: list[tuple[int, ...]] = []
     wastes, solution = [0], None
 
-    def branch() -> Iterator[tuple[tuple[int, ...], int]]:
+    def branch() -> Iterator[bool]:
         largest = left.present.bit_length() - 1
         left.take((largest,))
         for items, waste in left.around(largest, (best - 1) * window - total - wastes[-1]):
             left.take(items)
             path.append((largest, *items))
             wastes.append(wastes[-1] + waste)
-            yield items, waste
+            yield True
             wastes.pop()
             path.pop()
             left.give(items)
         left.give((largest,))
 
-    stack = [branch()]
+    stack = [branch()] if lengths else []
     while stack and left.steps < limit:
         left.steps += 1
         if next(stack[-1], None) is None:
@@ -195,20 +180,91 @@ def bin_completion(lengths: np.ndarray, window: int, given: np.ndarray | None =
                 best, solution = len(path), list(path)
                 if best <= least:
                     break
-    if solution is None:
-        return seq, offset
+    return solution
+
+
+def place(lengths: np.ndarray, solution: list[tuple[int, ...]]) -> np.ndarray:
+    """Window of each of ``lengths`` in a solution."""
     where: dict[int, list[int]] = {}
-    for i in range(len(lengths) - 1, full - 1, -1):
+    for i in range(len(lengths) - 1, -1, -1):
         where.setdefault(int(lengths[i]), []).append(i)
-    seq, offset = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    seq[:full] = np.arange(full)
+    seq = np.empty(len(lengths), np.int64)
     for at, items in enumerate(solution):
-        used = 0
         for x in items:
-            i = where[x].pop()
-            seq[i], offset[i] = full + at, used
-            used += x
-    return seq, offset
+            seq[where[x].pop()] = at
+    return seq
+
+
+def offsets(lengths: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """Place of each length in its window, in the order in which they stand."""
+    out, order = np.zeros(len(seq), np.int64), np.argsort(seq, kind="stable")
+    before = np.cumsum(lengths[order]) - lengths[order]
+    at = seq[order]
+    first = np.searchsorted(at, at)
+    out[order] = before - before[first]
+    return out
+
+
+def improved(lengths: np.ndarray, seq: np.ndarray, window: int, least: int) -> np.ndarray:
+    """``seq`` with fewer windows, where some of them can be packed into one less.
+
+    The emptiest windows, together a window empty, and some of those with the
+    most pieces, which leave most ways to fill, are searched as a set of their
+    own; ``TRIES`` sets in a row without success end it. The choice is drawn
+    from a fixed seed, so a task that runs again finds the same.
+    """
+    draw, tries = np.random.default_rng(len(lengths)), 0
+    while tries < TRIES and len(lengths):
+        n = int(seq.max()) + 1
+        waste = window - np.bincount(seq, lengths, n).astype(np.int64)
+        if n <= least or waste.sum() < window:
+            break
+        held = np.bincount(seq, minlength=n)
+        order = np.argsort(-waste, kind="stable")
+        few = int(np.searchsorted(np.cumsum(waste[order]), window)) + 1
+        rest = order[few:]
+        rest = rest[np.argsort(-(held[rest] * draw.uniform(0.3, 1, len(rest))), kind="stable")]
+        chosen = np.zeros(n, bool)
+        chosen[order[:few]] = chosen[rest[: NEIGHBOURS * (1 + tries % 4)]] = True
+        own = np.flatnonzero(chosen[seq])
+        k = int(chosen.sum())
+        found = search(lengths[own].tolist(), window, k, k - 1, STEPS_PER_PIECE * len(own))
+        tries += 1
+        if found is not None:
+            names = np.flatnonzero(chosen)
+            seq = seq.copy()
+            seq[own] = names[place(lengths[own], found)]
+            seq, tries = np.unique(seq, return_inverse=True)[1], 0
+    return seq
+
+
+def bin_completion(lengths: np.ndarray, window: int, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Window and offset of each of ``lengths``, which are in descending order and at most ``window``.
+
+    The incumbent is the better of best-fit decreasing and ``given``, a
+    packing that is known already. The search (:func:`search`) takes all
+    lengths first, then sets of windows (:func:`improved`); it ends when the
+    lower bound is met or its steps are used up.
+    """
+    seq, offset = best_fit_decreasing(lengths, window)
+    best = int(seq.max()) + 1 if len(seq) else 0
+    if given is not None and len(np.unique(given)) <= best:
+        seq = np.unique(given, return_inverse=True)[1]
+        best, offset = int(seq.max()) + 1, offsets(lengths, seq)
+    # Full windows stand; the others are searched.
+    full = int(np.searchsorted(-lengths, -window, side="right"))
+    rest = lengths[full:].tolist()
+    least = least_windows(lengths[full:], window)
+    best -= full
+    if best <= least:
+        return seq, offset
+    solution = search(rest, window, best, least, STEPS_PER_PIECE * len(rest))
+    if solution is not None:
+        seq[full:], best = place(lengths[full:], solution), len(solution)
+        seq[full:] += full
+    seq[full:] = improved(lengths[full:], np.unique(seq[full:], return_inverse=True)[1], window, least) + full
+    seq[:full] = np.arange(full)
+    return seq, offsets(lengths, seq)
 
 
 def pieces(docs: DataFrame, ranks_path: str, window: int = 1024) -> DataFrame:
@@ -288,7 +344,9 @@ def pack_completely(docs: DataFrame, ranks_path: str, window: int = 1024, group_
     while True:
         groups = max(1, -(-count // group_pieces))
         rows = dealt.select(*COLUMNS, "sequence_id", F.pmod(F.xxhash64("deal"), F.lit(groups)).alias("packing_group"))
-        packed = stored(rows.groupBy("packing_group").applyInArrow(packer(level, groups == 1), schema))
+        # Few bytes but much search: as many partitions as there is work for, which small sizes must not merge.
+        parts = min(groups, max(spread(docs.sparkSession), groups // PARTITION_GROUPS))
+        packed = stored(rows.repartition(parts, "packing_group").groupBy("packing_group").applyInArrow(packer(level, groups == 1), schema))
         done.append(packed.filter("NOT open").select(*COLUMNS, "sequence_id", "offset"))
         if groups == 1:
             break
