@@ -31,12 +31,12 @@ EXACT_DIFFERENCES, MEETINGS = 48, 18.0
 #: Routing keys that one partition gets on average at most.
 PARTITION_KEYS = 1_500_000
 #: Entries that a task gathers before it merges them.
-COMBINE_BOXES = 200_000
+COMBINE_BOXES = 50_000
 #: Key blocks up to this size are compared pair by pair, larger ones through an R-tree.
 SMALL_BLOCK = 24
 #: Documents in blocks are broadcast to the texts up to this many, else joined by a shuffle.
 BROADCAST_DOCS = 100_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 U = np.uint64
 
@@ -322,7 +322,7 @@ class Boxes:
         for m in np.unique(held[(held > 1) & (held <= SMALL_BLOCK)]).tolist():
             at = first[held == m]
             x, y = np.triu_indices(m, 1)
-            step = max(1, 200_000 // len(x))
+            step = max(1, 40_000 // len(x))
             for cut in range(0, len(at), step):
                 a = (at[cut : cut + step, None] + x).ravel()
                 b = (at[cut : cut + step, None] + y).ravel()
