@@ -238,13 +238,13 @@ def improved(lengths: np.ndarray, seq: np.ndarray, window: int, least: int) -> n
     return seq
 
 
-def bin_completion(lengths: np.ndarray, window: int, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def bin_completion(lengths: np.ndarray, window: int, given: np.ndarray | None = None, sets: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Window and offset of each of ``lengths``, which are in descending order and at most ``window``.
 
     The incumbent is the better of best-fit decreasing and ``given``, a
     packing that is known already. The search (:func:`search`) takes all
-    lengths first, then sets of windows (:func:`improved`); it ends when the
-    lower bound is met or its steps are used up.
+    lengths first, then, with ``sets``, sets of windows (:func:`improved`); it
+    ends when the lower bound is met or its steps are used up.
     """
     seq, offset = best_fit_decreasing(lengths, window)
     best = int(seq.max()) + 1 if len(seq) else 0
@@ -262,7 +262,9 @@ def bin_completion(lengths: np.ndarray, window: int, given: np.ndarray | None =
     if solution is not None:
         seq[full:], best = place(lengths[full:], solution), len(solution)
         seq[full:] += full
-    seq[full:] = improved(lengths[full:], np.unique(seq[full:], return_inverse=True)[1], window, least) + full
+    seq[full:] = np.unique(seq[full:], return_inverse=True)[1] + full
+    if sets:
+        seq[full:] = improved(lengths[full:], seq[full:] - full, window, least) + full
     seq[:full] = np.arange(full)
     return seq, offsets(lengths, seq)
 
@@ -330,7 +332,8 @@ def pack_completely(docs: DataFrame, ranks_path: str, window: int = 1024, group_
             rows = rows.sort_by(order)
             lengths = rows["length"].to_numpy()
             given = rows["sequence_id"].to_numpy() if level else None
-            seq, offset = bin_completion(lengths, window, given)
+            # The emptiest windows of all but the last level are packed again anyway.
+            seq, offset = bin_completion(lengths, window, given, sets=last)
             again = np.zeros(len(seq), bool) if last else still_open(lengths, seq, window, OPEN_SHARE)
             base = ((level << 32) + rows["packing_group"][0].as_py()) << 24
             out = rows.select(COLUMNS).append_column("sequence_id", pa.array(base + seq, pa.int64()))
