@@ -224,13 +224,17 @@ def similar_records(incoming: DataFrame, existing: DataFrame, window: int = 14,
     prefix filter finds candidates by an equality join on block, slot of days
     and gram, and all grams verify them. A gram that more than ``HOT_GRAM``
     existing records of one block and slot share is cut into chunks by a hash
-    of the record, and an incoming record visits each of them.
+    of the record, and an incoming record visits each of them. Existing
+    records of blocks and slots that no incoming one can meet are left out
+    before their grams are made.
     """
-    a, b = stored(_side(incoming)), stored(_side(existing))
+    a, slot = stored(_side(incoming)), F.floor(F.col("day") / window)
+    near = F.explode(F.array(slot - 1, slot, slot + 1))
+    met = a.select("block", near.alias("slot")).distinct()
+    b = stored(_side(existing).withColumn("slot", slot).join(met, ["block", "slot"], "left_semi").select(*SIDE))
     count = lambda df: df.select(F.explode("grams.g").alias("g"))
     held = stored(count(a).unionByName(count(b)).groupBy("g").agg(F.count(F.lit(1)).alias("df")))
-    slot = F.floor(F.col("day") / window)
-    left = _prefixes(a, held, similarity).withColumn("slot", F.explode(F.array(slot - 1, slot, slot + 1)))
+    left = _prefixes(a, held, similarity).withColumn("slot", near)
     right = _prefixes(b, held, similarity).withColumn("slot", slot)
     key = ["block", "slot", "g"]
     right = stored(right.select(F.col("id").alias("match"), F.col("day").alias("match_day"), F.col("weight").alias("match_weight"), *key))
@@ -285,12 +289,14 @@ def dispositions(
     strength, tier, score, then the smallest id, which is followed to the
     record it was merged into. A record without a match is new. An existing
     record that a signature or URL shares with very many is one of them: each
-    key keeps its smallest and its nearest day only.
+    key keeps its smallest and its nearest day only. Nothing goes before a URL,
+    so only records without a known one are compared by their texts.
     """
     url = F.sha2(normalize_url(F.col("url")), 256)
     known = existing.filter("url is not null").groupBy(url.alias("u")).agg(F.min("id").alias("match"))
     one = incoming.select("id", url.alias("u")).join(known, "u").select("id", "match", F.lit(1).alias("tier"), F.lit(None).cast("double").alias("score"))
-    texts = stored(similar_records(incoming, existing, window, similarity))
+    one = stored(one)
+    texts = stored(similar_records(incoming.join(one.select("id"), "id", "left_anti"), existing, window, similarity))
 
     def signed(df: DataFrame) -> DataFrame:
         rows = df.filter("occurred_on is not null and operator is not null and place is not null and event_type is not null")

@@ -281,3 +281,25 @@ def test_merged_events_redirect_and_keep_sources(spark):
     made, told = dedupe.attach_or_create(rows, found)
     assert sorted((r["id"], r["possible_duplicate_of"]) for r in made.collect()) == [(2, 8), (3, None)]
     assert sorted((r["event"], r["id"]) for r in told.collect()) == [(2, 2), (3, 3), (7, 1)]
+
+
+def test_records_that_a_url_decides_are_not_compared_by_text(spark, monkeypatch):
+    day = dt.date(2024, 1, 10)
+    old = [(i, f"https://a.org/{i}", "Op", day, "P", "c", f"A van met robotaxi {i}", "It stopped") for i in range(40)]
+    new = [(100 + i, f"https://a.org/{i}", "Op", day, "P", "c", f"A van met robotaxi {i}", "It stopped") for i in range(20)]
+    new.append((200, None, "Op", day + dt.timedelta(90), "P", "c", "A van met robotaxi 1", "It stopped"))
+    rows, real = [], dedupe.similar_records
+
+    def similar(incoming, *rest):
+        found = real(incoming, *rest)
+        rows.append((incoming.count(), found.count()))
+        return found
+
+    sides, stored = [], dedupe.stored
+    monkeypatch.setattr(dedupe, "similar_records", similar)
+    monkeypatch.setattr(dedupe, "stored", lambda df: (sides.append(df), stored(df))[1])
+    got = {r["id"]: (r["disposition"], r["match"], r["tier"]) for r in dedupe.dispositions(spark.createDataFrame(new, RECORD), spark.createDataFrame(old, RECORD)).collect()}
+    assert got == {**{100 + i: ("attach", i, 1) for i in range(20)}, 200: ("new", None, None)}
+    assert rows == [(1, 0)]
+    # No existing record is near the one that is left, so no grams of any are written.
+    assert [df.count() for df in sides if df.columns == dedupe.SIDE] == [1, 0]
