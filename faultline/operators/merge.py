@@ -96,7 +96,7 @@ def merge_singletons(candidates: DataFrame, reports: DataFrame, source: DataFram
     """
     links = reports.select(*REPORT_KEY, F.col("candidate_id").alias("link"))
     keyed = source.drop("candidate_id").join(links, REPORT_KEY, "left")
-    own = hash_slug("c-", F.concat_ws(":", F.lit("singleton"), *REPORT_KEY))
+    own = hash_slug("c-", F.concat_ws(":", F.lit("singleton"), *REPORT_KEY), 32)
     keyed = keyed.withColumn("candidate_id", F.coalesce("link", own)).drop("link", *REPORT_KEY)
     return merge_candidates(candidates, keyed, "candidate_id")
 
