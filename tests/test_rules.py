@@ -1,5 +1,8 @@
 """Evidence rules on short sentences of our own: each fires, and its negative control does not."""
 
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +182,32 @@ def test_text_functions(spark):
     got = pick(dates.parse_month_year(lit("may-2024")))
     assert (str(got.date), got.precision, got.malformed) == ("2024-05-01", "month", False)
     assert pick(dates.parse_month_year(lit("SOON"))).malformed and not pick(dates.parse_month_year(lit(" "))).malformed
+
+
+def test_texts_are_trimmed_of_white_space_alone(spark):
+    cases = {w + "a" + w + "b" + w: "a" + w + "b" for w in text.WHITE} | {text.WHITE: None, "": None, "\u0085 a \u0085": "\u0085 a \u0085", "é漢": "é漢"}
+    got = spark.createDataFrame([(c,) for c in cases], "s string").select("s", text.trim_or_null(F.col("s")).alias("t")).collect()
+    assert {r["s"]: r["t"] for r in got} == cases
+
+
+def test_positions_of_cues_are_sought_only_where_both_occur(spark):
+    on, off = "The Level 4 ADS was engaged.", "The ADS was not engaged."
+    rows = spark.createDataFrame([(f"{on}\n{off}",), (f"{off}\n{on}",), (on,), (off,), ("nothing",), (None,)], "t string")
+    cue = rows.select(evidence.engagement_cue(F.col("t"))["value"].alias("v"))
+    assert [r["v"] for r in cue.collect()] == ["not-engaged", "engaged", "engaged", "not-engaged", None, None]
+    # What Spark would compute before the conditions, for every text, are the expressions that are asked twice outside branches of their own.
+    conditions = cue._jdf.queryExecution().optimizedPlan().toString().split(" WHEN ")
+    assert not any("AND" in c.split(" THEN ")[0] and "regexp_extract" in c.split(" THEN ")[0] for c in conditions)
+
+
+def test_long_methods_are_cut_up(spark, sf):
+    sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+    import __spark_entry__ as entry
+
+    before = spark.conf.get(entry.HUGE_METHODS)
+    try:
+        spark.conf.set(entry.HUGE_METHODS, "65535")
+        entry.queries()["f1_placeholders"](spark, sf)
+        assert int(spark.conf.get(entry.HUGE_METHODS)) <= 8000
+    finally:
+        spark.conf.set(entry.HUGE_METHODS, before)
