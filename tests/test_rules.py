@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions import dates, text
 from faultline.operators import classify, consolidate, evidence
-from faultline.plans import pipelines
+from faultline.operators import rules_data as R
+from faultline.plans import fixtures, pipelines
 
 RAW = (
     "generation string, src_ord long, report_id string, report_version string, report_type string, same_incident_id string, "
@@ -211,3 +212,24 @@ def test_long_methods_are_cut_up(spark, sf):
         assert int(spark.conf.get(entry.HUGE_METHODS)) <= 8000
     finally:
         spark.conf.set(entry.HUGE_METHODS, before)
+
+
+def test_patterns_are_tried_only_where_they_can_match(spark):
+    groups = [R.ENGAGED, R.NOT_ENGAGED, *R.HEDGES.values(), R.CONTACT_VERBS, *(f[4] for f in evidence.FLAGS if f[4]), *((p,) for p in consolidate.FILING_PHRASES)]
+    said = [t for t in fixtures.NARRATIVES if t] + ["", "  ", "THE KDS WAS NOT ENGAGED", "İN MANUAL MODE, Straße. IN MANUAL MODE", None]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    for g in groups:
+        assert text.needed_texts(tuple(g))
+        found = F.coalesce(F.regexp_like("t", F.lit(text.any_of(tuple(g)))), F.lit(False))
+        assert rows.filter(~found.eqNullSafe(text.matches(F.col("t"), tuple(g)))).count() == 0
+    marked = evidence.marked_reports(rows.withColumnRenamed("t", "narrative"))
+    plan = marked._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains(lower" in plan and "lambdafunction" not in plan  # what a lambda holds is interpreted
+
+
+def test_conflicts_are_those_of_the_reports(spark, sf):
+    c = fixtures.candidates(spark, sf)
+    # The disagreements say all of it, so the reports are not read again.
+    said, read = (evidence.field_evidence(c.drop(x)).select("candidate_id", "conflicts", "shape_conflicts", "inconsistent") for x in ("reports", "disagreements"))
+    assert said.filter("size(conflicts) > 1").count() > 0
+    assert said.exceptAll(read).count() == 0 == read.exceptAll(said).count()
