@@ -24,6 +24,12 @@ def test_no_such_atoms(read):
         evidence.atoms(read, only=("nothing",))
 
 
+def test_values_of_fields_need_no_narrative(spark, sf):
+    """No pattern is tried for atoms of report fields."""
+    plan = detail_queries.e15_atom_values(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?i)" not in plan
+
+
 def test_hedges_are_read_once(spark, sf):
     """Both sides of the comparison read the written evidence, not the raw rows."""
     plan = detail_queries.v1_hedges_carried(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
