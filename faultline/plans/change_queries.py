@@ -117,7 +117,7 @@ def o1_seek_page(spark: SparkSession, sf: str) -> DataFrame:
 @query(w(MAP, f"SELECT * FROM points WHERE latitude BETWEEN {BOX[0]} AND {BOX[1]} AND longitude BETWEEN {BOX[2]} AND {BOX[3]}"))
 def f4_bounded_map(spark: SparkSession, sf: str) -> DataFrame:
     """All placed events in a box, the box pushed into the places and from there into the scan."""
-    e = fixtures.events(spark, sf, keep=True)
+    e = fixtures.events(spark, sf, *fixtures.MAPPED, keep=True)
     return geo.event_map_in(e, geo.overrides(spark, fixtures.OVERRIDES), geo.lookup(spark), *BOX)
 
 
