@@ -90,7 +90,7 @@ def m5_promotion_problems(spark: SparkSession, sf: str) -> DataFrame:
 )
 def m6_set_origin(spark: SparkSession, sf: str) -> DataFrame:
     """Linked events get their origin, and lose it again."""
-    e = fixtures.events(spark, sf, keep=True)
+    e = fixtures.events(spark, sf, "slug", "candidate_id", "origin", keep=True)
     c = links(e, digit("slug") < 8)
     out = merge.set_origin(e, c)
     undone = merge.set_origin(out.drop("action"), c, undo="curated").select("slug", F.col("origin").alias("undone"))
@@ -113,7 +113,7 @@ def m8_unpublish(spark: SparkSession, sf: str) -> DataFrame:
 def m12_stamp(spark: SparkSession, sf: str) -> DataFrame:
     """Public events are stamped once; a stamp from before stays."""
     old = F.when(digit("slug") == 5, F.lit("2025-01-01 00:00:00").cast("timestamp"))
-    e = merge.stamp_first_published(fixtures.events(spark, sf).withColumn("first_published_at", old), AT)
+    e = merge.stamp_first_published(fixtures.events(spark, sf, "slug", "is_public").withColumn("first_published_at", old), AT)
     return e.select("slug", F.date_format("first_published_at", "yyyy-MM-dd").alias("stamped"))
 
 

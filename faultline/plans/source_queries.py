@@ -158,7 +158,7 @@ def s10_reference_data(spark: SparkSession, sf: str) -> DataFrame:
     || coalesce(',"developer_or_operator":"' || developer_or_operator || '"', '') || ',"resolved_level":"' || resolved_level || '"}}' AS feature FROM points""")
 )
 def s11_geojson_features(spark: SparkSession, sf: str) -> DataFrame:
-    e = fixtures.events(spark, sf, keep=True)
+    e = fixtures.events(spark, sf, *fixtures.MAPPED, keep=True)
     return catalogue.to_geojson_features(geo.event_map(e, geo.overrides(spark, fixtures.OVERRIDES), geo.lookup(spark)))
 
 
@@ -230,7 +230,7 @@ def p27_submission_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query(w(CORPUS, "SELECT slug, 'event' AS kind FROM events WHERE is_public AND origin = 'curated' UNION ALL SELECT page_id::VARCHAR, 'submission' FROM pages WHERE page_id % 3 = 0"))
 def f6_public_by_origin(spark: SparkSession, sf: str) -> DataFrame:
     """Public curated events, and submissions of one status."""
-    e = catalogue.by_origin(catalogue.public_only(fixtures.events(spark, sf)), "curated")
+    e = catalogue.by_origin(catalogue.public_only(fixtures.events(spark, sf, "slug", "is_public", "origin")), "curated")
     s = catalogue.by_status(submissions(spark, sf), "accepted")
     return e.select("slug", F.lit("event").alias("kind")).unionByName(s.select(F.col("id").cast("string").alias("slug"), F.lit("submission").alias("kind")))
 
