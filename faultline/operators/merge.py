@@ -132,6 +132,18 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, cols: list[str]
     return both.select(key, names.alias("changed")).filter(F.size("changed") > 0)
 
 
+def unlike_rows(before: DataFrame, after: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Keys of rows of both snapshots in which some column is written differently.
+
+    Each row is joined as the SHA-256 of its columns, not whole. A row that
+    this does not name is equal in all of them; of those that it names,
+    :func:`snapshot_diff` says which columns differ.
+    """
+    micros = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    row = F.unhex(F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", **micros}), 256))
+    return before.select(key, row.alias("was")).join(after.select(key, row.alias("now")), key).filter(F.col("was") != F.col("now")).select(key)
+
+
 def assert_set_equal(a: DataFrame, b: DataFrame) -> None:
     """Raise when the distinct rows of two frames differ."""
     if not (a.subtract(b).isEmpty() and b.subtract(a).isEmpty()):

@@ -1,5 +1,7 @@
 """What queries leave on disk: written tables, and shuffles of steps that have ended."""
 
+import datetime as dt
+import re
 import sys
 import time
 from pathlib import Path
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__
 
-from faultline.operators import evidence, rule_table
-from faultline.plans import fixtures, pipelines
+from faultline.operators import consolidate, evidence, merge, rule_table
+from faultline.plans import fixtures, lifecycle_queries, pipelines
+from faultline.sources import io
 
 
 def tables(spark) -> int:
@@ -50,3 +53,53 @@ def test_named_fields_of_reports_are_those_of_all(spark, sf):
     some = pipelines.latest_reports(raw, *fields)
     assert some.columns == list(fields)
     assert rows(some) == rows(pipelines.latest_reports(raw).select(*fields))
+
+
+def shuffle_files(spark) -> int:
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(f.endswith(".data") and f.startswith("shuffle_") for f in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())))
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    before = shuffle_files(spark)
+    kept = io.CLEANUP, spark.conf.get(io.CLEANUP)
+    t = io.stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # they are removed in the background
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(io.CLEANUP) == kept[1] and t.count() == 7
+
+
+def test_reports_are_shuffled_as_rows(spark, sf):
+    """One shuffle of reports by candidate, before anything of a group is gathered."""
+    reports = spark.createDataFrame(pipelines.latest_reports(fixtures.raw_reports(spark, sf)).limit(50).collect(), pipelines.latest_reports(fixtures.raw_reports(spark, sf)).schema)
+    plan = consolidate.build_candidates(reports)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(candidate_id") == 1
+    assert "collect_list" not in plan[plan.index("Exchange hashpartitioning(candidate_id") :]
+
+
+def test_corpus_deletes_its_written_reports(spark, sf):
+    before = tables(spark)
+    e, s = fixtures.corpus(spark, sf)
+    assert tables(spark) - before == 2 and e.count() > 0 and s.count() > 0  # candidates and events
+    with pytest.raises(ValueError):
+        io.discard(spark.read.parquet(f"{sf}/nation.parquet"))
+
+
+def test_unlike_rows(spark):
+    kind = "k long, a string, t timestamp, x double, n array<string>"
+    at = dt.datetime(2026, 1, 1, 0, 0, 0, 1)
+    before = spark.createDataFrame([(1, "a", at, 0.0, ["u"]), (2, None, None, None, None), (3, "null", None, 1.5, []), (4, "b", at, 2.0, [None])], kind)
+    after = spark.createDataFrame([(1, "a", at.replace(microsecond=2), 0.0, ["u"]), (2, None, None, None, None), (3, None, None, 1.5, []), (4, "b", at, 2.0, [None])], kind)
+    cols = ["a", "t", "x", "n"]
+    assert rows(merge.unlike_rows(before, after, "k", cols)) == rows(merge.snapshot_diff(before, after, "k", cols).select("k")) == ["Row(k=1)", "Row(k=3)"]
+    assert merge.unlike_rows(before, before, "k", cols).isEmpty()
+
+
+def test_batch_joins_fixed_columns_once(spark, sf, monkeypatch):
+    """Of the two snapshots that publishing compares, rows are joined as fingerprints."""
+    seen = []
+    monkeypatch.setattr(merge, "snapshot_diff", lambda *a: seen.append(a))
+    assert lifecycle_queries.w6_publication_batch(spark, sf).count() > 0 and not seen
