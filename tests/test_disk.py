@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__
 
 from faultline.operators import consolidate, evidence, merge, rule_table
-from faultline.plans import fixtures, lifecycle_queries, pipelines
+from faultline.plans import fixtures, lifecycle_queries, pipelines, rule_queries
 from faultline.sources import io
 
 
@@ -80,6 +80,18 @@ def test_reports_are_shuffled_as_rows(spark, sf):
     assert "collect_list" not in plan[plan.index("Exchange hashpartitioning(candidate_id") :]
 
 
+def test_rule_evidence_joins_candidates_as_they_lie(spark, sf):
+    """c_rule_table shuffles reports by candidate, and neither candidates nor evidence after that."""
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        plan = rule_queries.c_rule_table(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    by = re.findall(r"Exchange hashpartitioning\(candidate_id\S*, \d+\), (\w+)", plan)
+    assert by and set(by) == {"REPARTITION_BY_COL"}
+
+
 def test_corpus_deletes_its_written_reports(spark, sf):
     before = tables(spark)
     e, s = fixtures.corpus(spark, sf)
